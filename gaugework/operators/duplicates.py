@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
 from gaugework.operators.skew import join_on_counted_keys
-from gaugework.session import col
+from gaugework.session import col, cut_lineage
 
 _A, _B, _COPIES, _POSITION = "_print_a", "_print_b", "_copies", "_position"
 
@@ -41,11 +41,19 @@ def _printed(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.withColumns({_A: _fingerprint(df, columns, 1), _B: _fingerprint(df, columns, 2)})
 
 
-def _suspects(df: DataFrame, columns: list[str], spread_by: list[str]) -> DataFrame:
-    """Rows whose fingerprint occurs more than once."""
-    printed = _printed(df, columns)
+def suspect_rows(df: DataFrame, columns: list[str], row_id: str | None = None) -> DataFrame:
+    """Rows whose fingerprint occurs more than once: all that can be duplicates.
+
+    Written to the shared folder, because counting and listing both start here.
+    """
+    kept = [*([row_id] if row_id else []), *columns]
+    printed = _printed(df, columns).select(*map(col, kept), _A, _B)
     repeated = printed.groupBy(_A, _B).agg(F.count(F.lit(1)).alias(_COPIES)).filter(F.col(_COPIES) > 1)
-    return join_on_counted_keys(printed, repeated, [_A, _B], _COPIES, "left_semi", spread_by)
+    spread = row_id or "_spread"
+    if not row_id:  # copies are alike, so only their place can tell them apart
+        printed = printed.withColumn(spread, F.monotonically_increasing_id())
+    found = join_on_counted_keys(printed, repeated, [_A, _B], _COPIES, "left_semi", [spread])
+    return cut_lineage(found.select(*map(col, kept), _A, _B))
 
 
 def _groups(suspects: DataFrame, columns: list[str]) -> DataFrame:
@@ -57,17 +65,17 @@ def _groups(suspects: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def exact_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
+def exact_duplicates(
+    df: DataFrame, columns: list[str], rows: int | None = None, suspects: DataFrame | None = None
+) -> DataFrame:
     """rows, exact_count (droppable rows), exact_pct, rows_in_groups: one row."""
-    total = df.agg(F.count(F.lit(1)).alias("rows"))
-    # rows of a group are alike, so the fingerprint itself is no good for spreading
-    marked = df.select(*map(col, columns)).withColumn("_spread", F.monotonically_increasing_id())
-    groups = _groups(_suspects(marked, columns, ["_spread"]), columns)
-    counted = groups.agg(
+    if rows is None:
+        rows = df.agg(F.count(F.lit(1))).first()[0]
+    suspects = suspect_rows(df, columns) if suspects is None else suspects
+    counted = _groups(suspects, columns).agg(
         F.coalesce(F.sum(F.col(_COPIES) - 1), F.lit(0)).alias("exact_count"),
         F.coalesce(F.sum(_COPIES), F.lit(0)).alias("rows_in_groups"),
     )
-    rows = total.first()["rows"]
     share = F.bround(F.try_divide(F.col("exact_count") * 100, F.lit(rows)), 2)
     return counted.select(
         F.lit(rows).cast("bigint").alias("rows"),
@@ -77,13 +85,15 @@ def exact_duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def duplicate_rows(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+def duplicate_rows(
+    df: DataFrame, columns: list[str], row_id: str, suspects: DataFrame | None = None
+) -> DataFrame:
     """Every row that has an exact copy, including the first of each group."""
-    suspects = _suspects(df, columns, [row_id])
+    suspects = suspect_rows(df, columns, row_id) if suspects is None else suspects
     groups = _groups(suspects, columns)
     kept = suspects.withColumns({c: _plain(suspects, c) for c in columns})
     same = join_on_counted_keys(kept, groups, [_A, _B], _COPIES, "left_semi", [row_id], null_safe=columns)
-    return same.select(*[col(c) for c in df.columns])
+    return same.select(col(row_id), *map(col, columns))
 
 
 def near_duplicate_ids(
@@ -91,6 +101,7 @@ def near_duplicate_ids(
     columns: list[str],
     row_id: str,
     unique_columns: list[str] = (),
+    suspects: DataFrame | None = None,
     thresholds: Thresholds = DEFAULTS,
 ) -> DataFrame:
     """Row ids equal to some other row on all columns but one, without the rows
@@ -127,8 +138,8 @@ def near_duplicate_ids(
         .select(*on, _COPIES)
     )
     candidates = join_on_counted_keys(keyed, shared, on, _COPIES, "left_semi", [row_id])
-    confirmed = _confirm(df, columns, row_id, candidates.select(row_id, _POSITION))
-    copies = duplicate_rows(df, columns, row_id).select(col(row_id))
+    confirmed = _confirm(df, columns, row_id, cut_lineage(candidates.select(row_id, _POSITION)))
+    copies = duplicate_rows(df, columns, row_id, suspects).select(col(row_id))
     return confirmed.join(copies, row_id, "left_anti")
 
 
@@ -140,11 +151,13 @@ def _confirm(df: DataFrame, columns: list[str], row_id: str, candidates: DataFra
     other = F.transform(
         F.col("_cells"), lambda cell, i: F.when(i == F.col(_POSITION), F.lit("")).otherwise(cell)
     )
-    digests = candidates.join(cells, row_id).select(
-        row_id,
-        _POSITION,
-        F.sha2(F.concat_ws("", other), 256).alias("_rest"),
-        F.sha2(F.element_at("_cells", F.col(_POSITION) + 1), 256).alias("_own"),
+    digests = cut_lineage(
+        candidates.join(cells, row_id).select(
+            row_id,
+            _POSITION,
+            F.sha2(F.concat_ws("", other), 256).alias("_rest"),
+            F.sha2(F.element_at("_cells", F.col(_POSITION) + 1), 256).alias("_own"),
+        )
     )
     on = [_POSITION, "_rest"]
     real = (

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions.scalars import storage_kind
-from gaugework.session import col
+from gaugework.session import col, cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
 MIN_ROWS_PER_BUCKET = 5_000
@@ -35,53 +35,55 @@ def order_number(df: DataFrame, order_by: str) -> Column:
     raise ValueError(f"order column '{order_by}' must be a number, date or timestamp")
 
 
-def bucket_in_order(df: DataFrame, order_by: str, buckets: int | None = None) -> tuple[DataFrame, int]:
-    """Adds ``_bucket``, rising with ``order_by``; also returns the bucket count.
+def order_borders(df: DataFrame, order_by: str, buckets: int | None = None) -> list[float]:
+    """Border values that cut the order into buckets of similar size.
 
     Keys should be (nearly) unique: equal keys share a bucket.
     """
-    key = order_number(df, order_by)
-    rows = df.agg(F.count(key)).first()[0]
+    keys = df.select(order_number(df, order_by).alias("k"))
+    rows = keys.agg(F.count("k")).first()[0]
     if buckets is None:
         parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
         buckets = max(-(-rows // ROWS_PER_BUCKET), min(parallel, rows // MIN_ROWS_PER_BUCKET))
     buckets = int(min(MAX_BUCKETS, max(1, buckets)))
-    splits: list[float] = []
-    if buckets > 1:
-        share = min(1.0, SAMPLE_ROWS / max(rows, 1))
-        sampled = df.select(key.alias("k")).sample(share, seed=17) if share < 1.0 else df.select(key.alias("k"))
-        cuts = [i / buckets for i in range(1, buckets)]
-        found = sampled.agg(F.approx_percentile("k", cuts, 10 * buckets)).first()[0]
-        splits = sorted(set(found or []))
-    keyed = df.withColumn(_KEY, key)
-    if not splits:
-        return keyed.withColumn(_BUCKET, F.lit(0)).drop(_KEY), 1
-    borders = [float("-inf"), *splits, float("inf")]
-    cutter = Bucketizer(splits=borders, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep")
-    cut = cutter.transform(keyed).withColumn(_BUCKET, F.coalesce(F.col(_BUCKET).cast("int"), F.lit(0)))
-    return cut.drop(_KEY), len(borders) - 1
+    if buckets == 1:
+        return []
+    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
+    sampled = keys.sample(share, seed=17) if share < 1.0 else keys
+    cuts = [i / buckets for i in range(1, buckets)]
+    found = sampled.agg(F.approx_percentile("k", cuts, 10 * buckets)).first()[0]
+    return sorted(set(found or []))
+
+
+def cut_in_order(df: DataFrame, order_by: str, borders: list[float]) -> DataFrame:
+    """Adds ``_bucket``, rising with ``order_by``."""
+    if not borders:
+        return df.withColumn(_BUCKET, F.lit(0))
+    splits = [float("-inf"), *borders, float("inf")]
+    cutter = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep")
+    cut = cutter.transform(df.withColumn(_KEY, order_number(df, order_by)))
+    return cut.withColumn(_BUCKET, F.coalesce(F.col(_BUCKET).cast("int"), F.lit(0))).drop(_KEY)
 
 
 def fill_in_order(
-    df: DataFrame, column: str, order_by: str, backward: bool = False, buckets: int | None = None
+    df: DataFrame, column: str, order_by: str, backward: bool = False, borders: list[float] | None = None
 ) -> DataFrame:
     """Give each NULL the nearest earlier (or, ``backward``, later) known value."""
-    cut, _ = bucket_in_order(df, order_by, buckets)
+    cut = cut_in_order(df, order_by, order_borders(df, order_by) if borders is None else borders)
     value, order = col(column), col(order_by)
     inside = Window.partitionBy(_BUCKET).orderBy(order)
-    known = cut.filter(value.isNotNull()).groupBy(_BUCKET)
-    all_buckets = cut.select(_BUCKET).distinct()
+    known_at = F.when(value.isNotNull(), order)
     if backward:
         near = F.first(value, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-        edge = known.agg(F.min_by(value, order).alias("_edge"))
+        edge = F.min_by(value, known_at)
         reach = Window.orderBy(_BUCKET).rowsBetween(1, Window.unboundedFollowing)
         carry = F.first("_edge", ignorenulls=True).over(reach)
     else:
         near = F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        edge = known.agg(F.max_by(value, order).alias("_edge"))
+        edge = F.max_by(value, known_at)
         reach = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
         carry = F.last("_edge", ignorenulls=True).over(reach)
-    carried = all_buckets.join(edge, _BUCKET, "left").select(_BUCKET, carry.alias(_CARRY))
+    carried = cut.groupBy(_BUCKET).agg(edge.alias("_edge")).select(_BUCKET, carry.alias(_CARRY))
     filled = cut.withColumn(column, near).join(F.broadcast(carried), _BUCKET, "left")
     return filled.withColumn(column, F.coalesce(value, F.col(_CARRY))).select(*map(col, df.columns))
 
@@ -91,10 +93,9 @@ def day_gaps(df: DataFrame, timestamp: Column, buckets: int | None = None) -> Da
 
     Equal timestamps are merged first, each repeat being a gap of zero days.
     """
-    times = (
-        df.select(timestamp.alias("t")).filter(F.col("t").isNotNull()).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    )
-    cut, _ = bucket_in_order(times, "t", buckets)
+    found = df.select(timestamp.alias("t")).filter(F.col("t").isNotNull())
+    times = cut_lineage(found.groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    cut = cut_in_order(times, "t", order_borders(times, "t", buckets))
     inside = Window.partitionBy(_BUCKET).orderBy("t")
     ends = cut.groupBy(_BUCKET).agg(F.max("t").alias("_last"))
     carried = ends.select(_BUCKET, F.lag("_last").over(Window.orderBy(_BUCKET)).alias(_CARRY))
