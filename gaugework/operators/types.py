@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 
 from gaugework.config import DEFAULTS, Thresholds
 from gaugework.operators.frequency import raw_and_normal
+from gaugework.operators.stats import present_counts
 from gaugework.operators.summary import summarise
 from gaugework.session import small_frame
 
@@ -91,3 +92,49 @@ def detect_types(
         {"column": c} | {k: v for k, v in types[c].items() if not k.startswith("distinct")} for c in summary
     ]
     return small_frame(df.sparkSession, rows, TYPES_SCHEMA)
+
+
+def parse_shares(df: DataFrame, columns: list[str]) -> DataFrame:
+    """What the rules look at, per text column: the share of present values that
+    parse as number or date, whether all are yes/no words, whether all are ISO
+    dates in one zone convention."""
+    rows = []
+    for c, f in summarise(df, columns).items():
+        present = f["rows"] - f["nulls"]
+        rows.append(
+            {
+                "column": c,
+                "present": present,
+                "is_boolean": bool(present) and f["words"] == present and f["word_low"] != f["word_high"],
+                "numeric_share": f["numbers"] / present if present else None,
+                "datetime_share": f["dates"] / present if present else None,
+                "all_iso": bool(present) and f["iso"] == present and f["zoned"] in (0, present),
+            }
+        )
+    schema = (
+        "column string, present bigint, is_boolean boolean, numeric_share double, "
+        "datetime_share double, all_iso boolean"
+    )
+    return small_frame(df.sparkSession, rows, schema)
+
+
+def label_counts(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, present, distinct_raw, distinct_normal, cardinality_ratio, case_inconsistent."""
+    raw, normal = raw_and_normal(df, columns)
+    rows = []
+    for c, present in present_counts(df, columns).items():
+        rows.append(
+            {
+                "column": c,
+                "present": present,
+                "distinct_raw": raw[c],
+                "distinct_normal": normal[c],
+                "cardinality_ratio": raw[c] / present if present else 0.0,
+                "case_inconsistent": normal[c] < raw[c],
+            }
+        )
+    schema = (
+        "column string, present bigint, distinct_raw bigint, distinct_normal bigint, "
+        "cardinality_ratio double, case_inconsistent boolean"
+    )
+    return small_frame(df.sparkSession, rows, schema)

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.operators.cleaning import MISSING_STRATEGIES, OUTLIER_STRATEGIES, TYPE_TARGETS
 from gaugework.plans.pipeline import step_priority
 from gaugework.plans.profile import Profile
+from gaugework.session import small_frame
 
 # The order in which strategies are offered.
 _ANY_COLUMN = ("drop_rows", "drop_column", "fill_mode", "fill_constant", "ffill", "bfill")
@@ -24,7 +25,7 @@ def strategy_options(table: DataFrame) -> DataFrame:
     numeric = F.col("inferred_type").isin("numeric", "mixed")
     nothing = F.array().cast("array<string>")
 
-    def options(names) -> F.Column:
+    def options(names) -> Column:
         return F.array(*map(F.lit, names))
 
     filled = F.when(numeric & F.col("mean").isNotNull(), options(MISSING_STRATEGIES)).otherwise(options(_ANY_COLUMN))
@@ -86,11 +87,8 @@ def suggest_plan(profile: Profile, choices: Mapping, table: DataFrame | None = N
 
 def before_after(before: Profile, after: Profile) -> DataFrame:
     """metric, before, after, delta for rows, columns, gaps, copies and score."""
-    rows = []
-    for state, p in (("before", before), ("after", after)):
-        data = p.dataset_summary().first()
-        rows.append((state, data, p.exact_duplicates["exact_count"]))
-    (_, old, old_copies), (_, new, new_copies) = rows
+    old, new = before.dataset_summary().first(), after.dataset_summary().first()
+    old_copies, new_copies = before.exact_duplicates["exact_count"], after.exact_duplicates["exact_count"]
     metrics = [
         ("rows", old["rows"], new["rows"]),
         ("columns", old["columns"], new["columns"]),
@@ -98,7 +96,5 @@ def before_after(before: Profile, after: Profile) -> DataFrame:
         ("exact_duplicates", old_copies, new_copies),
         ("quality_score", old["quality_score"], new["quality_score"]),
     ]
-    frame = before.spark.createDataFrame(
-        [(m, int(a), int(b)) for m, a, b in metrics], "metric string, before bigint, after bigint"
-    )
-    return frame.withColumn("delta", F.col("after") - F.col("before"))
+    rows = [{"metric": m, "before": int(a), "after": int(b), "delta": int(b) - int(a)} for m, a, b in metrics]
+    return small_frame(before.spark, rows, "metric string, before bigint, after bigint, delta bigint")
