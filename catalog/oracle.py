@@ -84,9 +84,9 @@ def long_texts(columns: list[str], source: str) -> str:
 
 # -- shared pieces -------------------------------------------------------------
 
-NUMERIC_ROW = """SELECT "column", round(avg(x), 4) AS mean, round(quantile_cont(x, 0.5), 4) AS median,
-  round(stddev_samp(x), 4) AS std, round(min(x), 4) AS min, round(max(x), 4) AS max, round(skewness(x), 4) AS skewness,
-  round(kurtosis(x), 4) AS kurtosis, count(*) FILTER (x = 0) AS zeros, count(DISTINCT x) AS unique_count,
+NUMERIC_ROW = """SELECT "column", round_even(avg(x), 4) AS mean, round_even(quantile_cont(x, 0.5), 4) AS median,
+  round_even(stddev_samp(x), 4) AS std, round_even(min(x), 4) AS min, round_even(max(x), 4) AS max, round_even(skewness(x), 4) AS skewness,
+  round_even(kurtosis(x), 4) AS kurtosis, count(*) FILTER (x = 0) AS zeros, count(DISTINCT x) AS unique_count,
   CAST(0 AS BIGINT) AS infinite_count FROM numbers GROUP BY "column\""""
 
 FENCES = """fences AS (SELECT "column", quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3, avg(x) AS m,
@@ -307,11 +307,10 @@ SUGGESTED = f"""{MESSY}, filled AS (SELECT row_id, o_custkey, status, coalesce(p
 
 
 def oracle_sql() -> dict[str, str]:
-    text_of = {c: f"count({c}) AS present" for c in TEXTS}
     return {
         "scan_csv": messy(f"SELECT row_id, {ALL} FROM messy"),
         "sniff_separator": messy("SELECT ';' AS separator, 10 AS columns, count(*) AS rows FROM messy"),
-        "sniff_encoding": "SELECT 'UTF-8' AS written, 'UTF-8' AS encoding UNION ALL SELECT 'windows-1252', CASE WHEN count(*) FILTER (regexp_matches(text, '[\\x{80}-\\x{FF}]')) > 0 THEN 'windows-1252' ELSE 'UTF-8' END FROM documents",
+        "sniff_encoding": "SELECT 'UTF-8' AS written, 'UTF-8' AS encoding UNION ALL SELECT 'ISO-8859-1', CASE WHEN count(*) FILTER (regexp_matches(text, '[à-ÿ]')) > 0 THEN 'windows-1252' ELSE 'UTF-8' END FROM documents",
         "null_tokens": "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 11 IN (0, 1, 2, 3, 5, 6) THEN NULL WHEN o_orderkey % 11 = 4 THEN 'none' ELSE o_orderpriority END AS text FROM orders",
         "bad_lines": "SELECT count(*) FILTER (o_orderkey % 50 <> 1) AS kept, count(*) FILTER (o_orderkey % 50 = 2) AS padded, count(*) FILTER (o_orderkey % 50 = 1) AS dropped FROM orders",
         "input_guards": messy("SELECT count(*) AS rows, 10 AS columns, count(*) = 0 AS is_empty, true AS has_columns, count(*) > 100000 AS is_large FROM messy"),
@@ -355,6 +354,12 @@ def oracle_sql() -> dict[str, str]:
         "point_biserial": messy('SELECT target, "column", n, round(value, 4) AS value FROM biserial WHERE value IS NOT NULL', BISERIAL),
         "missing_cramers": messy('SELECT target, "column", n, levels, round(chi2, 4) AS chi2, round(value, 4) AS value FROM gap_v', GAP_V),
         "missing_phi": messy('SELECT target, "column", n, round(value, 4) AS value FROM phi', PHI),
+        "missing_tests": messy(
+            """SELECT target, "column", method, round(value, 4) AS value, count(*) OVER (PARTITION BY target) AS tests FROM (
+              SELECT target, "column", 'point_biserial' AS method, value FROM biserial WHERE value IS NOT NULL
+              UNION ALL SELECT target, "column", 'cramers_v', value FROM gap_v UNION ALL SELECT target, "column", 'missing_together', value FROM phi)""",
+            BISERIAL, GAP_V, PHI,
+        ),
         "missing_related": messy("SELECT * FROM related", BISERIAL, GAP_V, PHI, RELATED),
         "missing_pattern": messy(
             'SELECT "column", missing_count, CASE WHEN missing_count = 0 THEN \'none\' WHEN "column" IN (SELECT target FROM related) THEN \'MAR\' ELSE \'MCAR\' END AS missing_pattern FROM cols',
@@ -379,9 +384,9 @@ def oracle_sql() -> dict[str, str]:
         "pearson": f"WITH {LINE_PAIRS}, {MIRRORED} SELECT col_a, col_b, round(value, 4) AS value FROM both_ways",
         "pearson_messy": messy(f"SELECT col_a, col_b, n, round(value, 4) AS value FROM ({pearson_rows(NUMBERS, 'messy')})"),
         "pearson_wide": messy(f"SELECT col_a, col_b, n, round(value, 4) AS value FROM ({pearson_rows(NUMBERS, 'messy')})"),
-        "pearson_matrix": f"WITH {LINE_PAIRS}, {MIRRORED} SELECT col_a AS \"column\", "
-        + ", ".join(f"max(round(round(value, 4), 3)) FILTER (col_b = '{c}') AS {c}" for c in LINE_NUMBERS)
-        + " FROM both_ways GROUP BY 1",
+        "pearson_matrix": f"WITH {LINE_PAIRS}, {MIRRORED}, four AS (SELECT col_a, col_b, round(value, 4) AS value FROM both_ways) SELECT col_a AS \"column\", "
+        + ", ".join(f"max(round(value, 3)) FILTER (col_b = '{c}') AS {c}" for c in LINE_NUMBERS)
+        + " FROM four GROUP BY 1",
         "contingency": "SELECT 'l_returnflag' AS col_a, 'l_linestatus' AS col_b, l_returnflag AS value_a, l_linestatus AS value_b, count(*) AS count FROM lineitem GROUP BY ALL",
         "chi2": messy(f"SELECT col_a, col_b, n, rows_a, rows_b, round(chi2, 4) AS chi2 FROM ({cramers_rows(LABELS, 'messy')})"),
         "cramers_v": messy(f"SELECT col_a, col_b, round(value, 4) AS value FROM ({cramers_rows(LABELS, 'messy')})"),
@@ -397,7 +402,7 @@ def oracle_sql() -> dict[str, str]:
         "recommendations": messy('SELECT severity, category, "column", message FROM ranked', COLUMN_TABLE),
         "drop_rows": messy("SELECT row_id, rating FROM messy WHERE rating IS NOT NULL"),
         "drop_column": messy("SELECT * EXCLUDE (rating) FROM messy"),
-        "fill_mean": messy("SELECT row_id, coalesce(price, (SELECT avg(price) FROM messy)) AS price FROM messy"),
+        "fill_mean": messy("SELECT row_id, round(coalesce(price, (SELECT avg(price) FROM messy)), 4) AS price FROM messy"),
         "fill_median": messy(f"SELECT row_id, coalesce(price, {MEDIAN_PRICE.format(source='messy')}) AS price FROM messy"),
         "fill_mode": messy("SELECT row_id, coalesce(rating, (SELECT rating FROM messy WHERE rating IS NOT NULL GROUP BY rating ORDER BY count(*) DESC, rating LIMIT 1)) AS rating FROM messy"),
         "fill_constant": messy("SELECT row_id, coalesce(price_text, '0.00') AS price_text FROM messy"),
@@ -479,6 +484,15 @@ def oracle_sql() -> dict[str, str]:
               coalesce((SELECT string_agg(concat("column", ' (', iqr_count, ')'), ', ' ORDER BY iqr_count DESC, position) FROM (SELECT * FROM cols WHERE iqr_count > 0 ORDER BY iqr_count DESC, position LIMIT 5)), 'none detected') AS outlier_summary FROM quality q""",
             COLUMN_TABLE,
         ),
+        "column_facts": messy(
+            f"""SELECT cols."column", cols.inferred_type, CASE WHEN cols.inferred_type IN ('numeric', 'mixed') THEN
+                concat('mean=', s.mean, ', median=', s.median, ', std=', s.std, ', min=', s.min, ', max=', s.max, ', unique_count=', s.unique_count)
+                WHEN cols.inferred_type = 'datetime' THEN 'n/a' ELSE concat('unique_count=', raw) END AS stats,
+              concat(format('{{:.1f}}', missing_pct), '%') AS missing, iqr_count AS outliers,
+              coalesce((SELECT string_agg(warning, '; ' ORDER BY rule) FROM warned w WHERE w."column" = cols."column"), 'none') AS warnings
+            FROM cols LEFT JOIN typed ON cols."column" = typed."column" LEFT JOIN ({NUMERIC_ROW}) s ON cols."column" = s."column\"""",
+            COLUMN_TABLE,
+        ),
         "digest": messy(
             """SELECT (SELECT string_agg(concat("column", ' (', inferred_type, CASE WHEN missing_count > 0 THEN concat(', ', format('{:.1f}', missing_pct), '% missing') ELSE '' END,
                 CASE WHEN iqr_count > 0 THEN concat(', ', iqr_count, ' outliers') ELSE '' END, CASE WHEN type_mismatch THEN ', type mismatch' ELSE '' END, ')'), '; ' ORDER BY position) FROM cols) AS columns,

@@ -58,7 +58,7 @@ def sniff_separator(spark, sf):
 def sniff_encoding(spark, sf):
     texts = table(spark, sf, "documents").select(F.regexp_replace("text", r"[\r\n]", " ").alias("text"))
     found = []
-    for encoding in ("UTF-8", "windows-1252"):
+    for encoding in ("UTF-8", "ISO-8859-1"):
         path = scratch_path(spark, "encoded")
         texts.write.option("encoding", encoding).csv(path)
         found.append(F.struct(F.lit(encoding).alias("written"), F.lit(files.sniff_encoding(spark, path)).alias("encoding")))
@@ -288,7 +288,12 @@ def _typed(spark, sf) -> tuple[DataFrame, dict, dict]:
 
 
 def missing_tests(spark, sf):
-    """Every tested pair with its p-value."""
+    """Every tested pair, and how many tests its target has."""
+    found = missing_p_values(spark, sf).select("target", "column", "method", "value", "tests")
+    return _rounded(found, 4, "value")
+
+
+def missing_p_values(spark, sf):
     messy, types, summary = _typed(spark, sf)
     return missing.associations(messy, types, summary)
 
@@ -466,6 +471,10 @@ def _missing(strategy, column, value=None):
     return query
 
 
+def fill_mean(spark, sf):
+    return _rounded(_missing("fill_mean", "price")(spark, sf), 4, "price")
+
+
 def _filled_events(strategy):
     def query(spark, sf):
         cleaned = cleaning.handle_missing(events_null(spark, sf), strategy, "value", order_by="event_id")
@@ -690,6 +699,7 @@ def queries() -> dict:
         "missing_cramers": missing_cramers,
         "missing_phi": missing_phi,
         "missing_tests": missing_tests,
+        "missing_p_values": missing_p_values,
         "missing_related": missing_related,
         "missing_pattern": missing_pattern,
         # outliers
@@ -729,7 +739,7 @@ def queries() -> dict:
         # cleaning
         "drop_rows": _missing("drop_rows", "rating"),
         "drop_column": _missing("drop_column", "rating"),
-        "fill_mean": _missing("fill_mean", "price"),
+        "fill_mean": fill_mean,
         "fill_median": _missing("fill_median", "price"),
         "fill_mean_text": _missing("fill_mean", "price_text"),
         "fill_mode": _missing("fill_mode", "rating"),

@@ -31,6 +31,11 @@ _MONTH_NAME = (
     r"sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
 
+_YEAR_FIRST = r"(?i)^\d{4}-\d{1,2}-\d{1,2}" + _CLOCK + r"$"
+_NUMERIC_DATE = r"(?i)^(\d{1,2})[/.](\d{1,2})[/.](\d{4})(" + _CLOCK + r")$"
+_DAY_NAME = r"(?i)^(\d{1,2})[- ]" + _MONTH_NAME + r"[- ](\d{4})(" + _CLOCK + r")$"
+_NAME_DAY = r"(?i)^" + _MONTH_NAME + r" (\d{1,2}),? (\d{4})(" + _CLOCK + r")$"
+
 POSITIVE_INFINITY = float("inf")
 LONGEST_DATE = 80  # characters; every accepted spelling is far shorter, blanks around it aside
 
@@ -104,26 +109,23 @@ def text_to_timestamp(text: Column) -> Column:
         *[F.lit(x) for i, m in enumerate(_MONTHS, 1) for x in (m, f"{i:02d}")]
     )
 
-    def named(pattern: str, day: int, month: int, year: int, clock: int) -> Column:
-        part = lambda group: F.regexp_extract(t, pattern, group)
-        number = month_of[F.lower(F.substring(part(month), 1, 3))]
-        return F.when(t.rlike(pattern), F.concat(part(year), F.lit("-"), number, F.lit("-"), part(day), part(clock)))
-
-    def rewritten(pattern: str, order: str) -> Column:
-        return F.when(t.rlike(pattern), F.regexp_replace(t, pattern, order))
-
-    iso = r"(?i)^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(" + _CLOCK + r")$"
-    numeric = r"(?i)^(\d{1,2})[/.](\d{1,2})[/.](\d{4})(" + _CLOCK + r")$"
-    day_name = r"(?i)^(\d{1,2})[- ]" + _MONTH_NAME + r"[- ](\d{4})(" + _CLOCK + r")$"
-    name_day = r"(?i)^" + _MONTH_NAME + r" (\d{1,2}),? (\d{4})(" + _CLOCK + r")$"
-    readings = [
-        rewritten(iso, "$1-$2-$3$4"),
-        rewritten(numeric, "$3-$1-$2$4"),
-        rewritten(numeric, "$3-$2-$1$4"),
-        named(day_name, 1, 2, 3, 4),
-        named(name_day, 2, 1, 3, 4),
-    ]
-    parsed = F.coalesce(*[r.try_cast("timestamp") for r in readings])
+    def named(pattern: str, day: int, month: int) -> Column:
+        number = month_of[F.lower(F.regexp_extract(t, pattern, month).substr(1, 3))]
+        return F.concat(
+            F.regexp_extract(t, pattern, 3), F.lit("-"), number, F.lit("-"),
+            F.regexp_replace(t, pattern, f"${day}$4"),
+        )
+
+    month_first = (
+        F.when(t.rlike(_DAY_NAME), named(_DAY_NAME, 1, 2))
+        .when(t.rlike(_NAME_DAY), named(_NAME_DAY, 2, 1))
+        .otherwise(F.translate(F.regexp_replace(t, _NUMERIC_DATE, "$3-$1-$2$4"), "/", "-"))
+    )
+    day_first = F.when(t.rlike(_NUMERIC_DATE), F.regexp_replace(t, _NUMERIC_DATE, "$3-$2-$1$4"))
+    parsed = F.coalesce(
+        F.when(month_first.rlike(_YEAR_FIRST), month_first.try_cast("timestamp")),
+        day_first.try_cast("timestamp"),
+    )
     plausible = (F.length(text) <= LONGEST_DATE) & t.rlike(r"^\w.*[-/. ]") & t.rlike(r"\d{4}")
     return F.when(plausible, parsed)
 

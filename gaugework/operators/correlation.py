@@ -14,7 +14,7 @@ from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
 from gaugework.operators.skew import join_on_counted_keys
 from gaugework.operators.summary import finite_view, summarise
-from gaugework.session import chunks, col, small_frame
+from gaugework.session import chunks, col, round_small, small_frame
 
 PAIRWISE_COLUMNS = 10
 PAIRS_PER_JOB = 50
@@ -132,7 +132,7 @@ def pearson(pairs: DataFrame, columns: list[str], diagonal: dict[str, bool]) ->
     itself = [{"col_a": c, "col_b": c, "n": None, "value": 1.0 if diagonal[c] else None} for c in columns]
     mirrored = pairs.select(F.col("col_b").alias("col_a"), F.col("col_a").alias("col_b"), "n", "value")
     everything = pairs.unionByName(mirrored).unionByName(small_frame(spark, itself, PEARSON_SCHEMA))
-    return everything.select("col_a", "col_b", F.bround("value", 4).alias("value"))
+    return round_small(everything.select("col_a", "col_b", "value"), 4, "value")
 
 
 def diagonal_of(columns: list[str], summary: dict[str, dict], thresholds: Thresholds = DEFAULTS) -> dict[str, bool]:
@@ -146,9 +146,10 @@ def diagonal_of(columns: list[str], summary: dict[str, dict], thresholds: Thresh
 def pearson_matrix(long: DataFrame, columns: list[str]) -> DataFrame:
     """Wide form: one row per column, 3 decimals as charts show them."""
     return (
-        long.groupBy("col_a")
+        round_small(long, 3, "value")
+        .groupBy("col_a")
         .pivot("col_b", list(columns))
-        .agg(F.bround(F.first("value"), 3))
+        .agg(F.first("value"))
         .withColumnRenamed("col_a", "column")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.functions import scalars as S
+from gaugework.operators.summary import long_form
 from gaugework.session import col
 
 LONG_TEXT = 64
@@ -22,45 +23,20 @@ def compact_text(text: Column) -> Column:
     )
 
 
-def _pairs(df: DataFrame, values: dict[str, Column], numeric: set[str]) -> DataFrame:
-    entries = [
-        F.struct(
-            F.lit(name).alias("column"),
-            (v if name in numeric else F.lit(None).cast("double")).alias("number"),
-            (F.lit(None).cast("string") if name in numeric else v).alias("text"),
-        )
-        for name, v in values.items()
-    ]
-    return (
-        df.select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.*")
-        .filter(F.col("number").isNotNull() | F.col("text").isNotNull())
-    )
-
-
-def distinct_counts(df: DataFrame, values: dict[str, Column], numeric: set[str]) -> dict[str, int]:
-    """Exact number of distinct non-null values per entry of ``values``.
-
-    Entries named in ``numeric`` hold doubles, the others text.
-    """
+def distinct_counts(df: DataFrame, values: dict[str, Column]) -> dict[str, int]:
+    """Exact number of distinct non-null values per entry of ``values``, which are
+    all of one type."""
     if not values:
         return {}
-    counted = _pairs(df, values, numeric).distinct().groupBy("column").count().collect()
+    cells = long_form(df, values).filter(F.col("value").isNotNull())
+    counted = cells.distinct().groupBy("column").count().collect()
     return {name: 0 for name in values} | {r["column"]: r["count"] for r in counted}
 
 
 def value_counts(df: DataFrame, columns: list[str]) -> DataFrame:
     """column, value (as text), count: the value-frequency table."""
-    entries = [
-        F.struct(F.lit(c).alias("column"), col(c).cast("string").alias("value")) for c in columns
-    ]
-    return (
-        df.select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.*")
-        .filter(F.col("value").isNotNull())
-        .groupBy("column", "value")
-        .agg(F.count(F.lit(1)).alias("count"))
-    )
+    cells = long_form(df, {c: col(c).cast("string") for c in columns}).filter(F.col("value").isNotNull())
+    return cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("count"))
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
@@ -84,7 +60,7 @@ def raw_and_normal(df: DataFrame, columns: list[str]) -> tuple[dict[str, int], d
     for i, name in enumerate(columns):
         values[f"{i} raw"] = compact_text(col(name))
         values[f"{i} normal"] = compact_text(S.normal_label(col(name)))
-    counts = distinct_counts(df, values, set())
+    counts = distinct_counts(df, values)
     raw = {name: counts[f"{i} raw"] for i, name in enumerate(columns)}
     normal = {name: counts[f"{i} normal"] for i, name in enumerate(columns)}
     return raw, normal

@@ -35,7 +35,7 @@ def quartiles(df: DataFrame, columns: list[str], summary: dict[str, dict]) -> di
 
 def distinct_numbers(df: DataFrame, columns: list[str]) -> dict[str, int]:
     values = {c: S.finite(number_view(df, c)) for c in columns}
-    return frequency.distinct_counts(df, values, set(columns))
+    return frequency.distinct_counts(df, values)
 
 
 def numeric_row(column: str, facts: dict, median: float | None, distinct: int) -> dict:
@@ -102,7 +102,7 @@ def category_row(column: str, distinct: int, present: int) -> dict:
 
 def distinct_texts(df: DataFrame, columns: list[str]) -> dict[str, int]:
     values = {c: frequency.compact_text(col(c).cast("string")) for c in columns}
-    return frequency.distinct_counts(df, values, set())
+    return frequency.distinct_counts(df, values)
 
 
 def categorical_stats(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -65,14 +65,10 @@ def normalise(df: DataFrame) -> DataFrame:
     return df.withColumns({c: S.nan_to_null(col(c)) for c in floats}) if floats else df
 
 
-def long_form(df: DataFrame, values: dict[str, Column], name: str = "column", value: str = "value") -> DataFrame:
+def long_form(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     """(column, value) rows of same-typed expressions: one Expand, no shuffle."""
-    positions = list(values)
-    wide = df.select(*[values[n].alias(str(i)) for i, n in enumerate(positions)])
-    pairs = ", ".join(f"'{i}', `{i}`" for i in range(len(positions)))
-    stacked = wide.selectExpr(f"stack({len(positions)}, {pairs}) AS (`_at`, `{value}`)")
-    names = F.array(*[F.lit(n) for n in positions])
-    return stacked.select(F.element_at(names, F.col("_at").cast("int") + 1).alias(name), value)
+    wide = df.select(*[v.alias(n) for n, v in values.items()])
+    return wide.unpivot([], [col(n) for n in values], "column", "value")
 
 
 def _read_cells(cells: DataFrame, kind: str) -> DataFrame:
@@ -118,8 +114,7 @@ def summarise(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict
 
 
 def _summarise_kind(df: DataFrame, names: list[str], kind: str, stored_as: str) -> dict[str, dict]:
-    positions = {str(i): n for i, n in enumerate(names)}
-    cells = long_form(df, {at: col(n).cast(stored_as) for at, n in positions.items()})
+    cells = long_form(df, {n: col(n).cast(stored_as) for n in names})
     read = _read_cells(cells, kind)
     numeric = kind in ("number", "string")
     present = "number" if kind == "number" else "value"
@@ -132,7 +127,7 @@ def _summarise_kind(df: DataFrame, names: list[str], kind: str, stored_as: str)
                 "kurtosis": S.unbiased_kurtosis(F.col("g2"), F.col("finite")),
             }
         )
-    found = {positions[r["column"]]: {"kind": kind, **r.asDict()} for r in counted.collect()}
+    found = {r["column"]: {"kind": kind, **r.asDict()} for r in counted.collect()}
     nothing = {"kind": kind, "rows": 0, "nulls": 0} | {m.rsplit(" AS ", 1)[1]: None for m in _METRICS[kind]}
     for zero in ("numbers", "infinite", "finite", "zeros", "dates", "words", "iso", "zoned"):
         if zero in nothing:

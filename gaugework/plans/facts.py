@@ -50,12 +50,16 @@ def overview_facts(profile: Profile, table: DataFrame) -> DataFrame:
     )
 
 
+def _plain_number(value: Column) -> Column:
+    """The number with its significant decimals, at least one, never an exponent."""
+    return F.regexp_replace(value.cast("decimal(38,4)").cast("string"), r"(\.\d+?)0*$", "$1")
+
+
 def column_facts(profile: Profile, table: DataFrame) -> DataFrame:
     """column, inferred_type, stats, missing, outliers, warnings as text."""
-    numbers = ("mean", "median", "std", "min", "max", "unique_count")
-    present = [
-        F.when(F.col(n).isNotNull(), F.concat(F.lit(f"{n}="), F.col(n).cast("string"))) for n in numbers
-    ]
+    shown = {n: _plain_number(F.col(n)) for n in ("mean", "median", "std", "min", "max")}
+    shown["unique_count"] = F.col("unique_count").cast("string")
+    present = [F.when(text.isNotNull(), F.concat(F.lit(f"{n}="), text)) for n, text in shown.items()]
     stats = F.concat_ws(", ", *present)
     return with_warnings(profile, table).select(
         "column",

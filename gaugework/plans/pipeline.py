@@ -11,6 +11,7 @@ out carries none of it.
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -133,8 +134,9 @@ class CleaningPipeline:
 
     def _counts(self, state: tuple[DataFrame, Observation, list[str]]) -> dict:
         df, seen, names = state
-        found = seen.get
-        if "rows" not in found:  # the optimizer replaced an empty branch: count it directly
+        try:
+            found = seen.get
+        except Py4JJavaError:  # an empty branch was optimised away with its metrics: count it directly
             found = df.agg(
                 F.count(F.lit(1)).alias("rows"),
                 *[F.count_if(col(c).isNull()).alias(f"gaps_{i}") for i, c in enumerate(names)],

@@ -11,7 +11,7 @@ from gaugework.operators.outliers import rows_matching
 from gaugework.operators.quantiles import exact_quantiles
 from gaugework.operators.summary import finite_view, kinds, long_form
 from gaugework.plans.profile import Profile, one_decimal
-from gaugework.session import col, small_frame
+from gaugework.session import col, round_small, small_frame
 
 KDE_REACH = 9.0  # in bandwidths; beyond it a kernel adds less than 1e-17 of its peak
 
@@ -95,7 +95,7 @@ def outlier_ranking(table: DataFrame, method: str = "iqr") -> DataFrame:
 
 
 def cramers_table(pairs: DataFrame) -> DataFrame:
-    rounded = pairs.select("col_a", "col_b", F.bround("value", 4).alias("cramers_v"))
+    rounded = round_small(pairs.select("col_a", "col_b", F.col("value").alias("cramers_v")), 4, "cramers_v")
     return rounded.orderBy(F.desc_nulls_last("cramers_v"), "col_a", "col_b")
 
 

@@ -72,6 +72,17 @@ def small_frame(spark: SparkSession, rows: list[dict], schema: str) -> DataFrame
     return spark.createDataFrame(arrow, schema=struct)
 
 
+def round_small(frame: DataFrame, digits: int, *names: str) -> DataFrame:
+    """A small frame with columns rounded as Python rounds: half to even on the
+    exact binary value, which SQL rounding is not."""
+    rows = [r.asDict() for r in frame.collect()]
+    for row in rows:
+        row |= {n: None if row[n] is None else round(row[n], digits) for n in names}
+    return small_frame(frame.sparkSession, rows, ", ".join(
+        f"`{f.name}` {f.dataType.simpleString()}" for f in frame.schema
+    ))
+
+
 def col(name: str) -> Column:
     """Column by its exact name, also when the name holds dots or blanks."""
     return F.col("`" + name.replace("`", "``") + "`")

@@ -39,7 +39,8 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
     """file, encoding: UTF-8 when every line of the file is valid, else windows-1252.
 
-    The text source hands lines over as raw bytes, and no line break can fall
+    Every byte is a windows-1252 character, so that reading cannot fail.  The
+    text source hands lines over as raw bytes, and no line break can fall
     inside a UTF-8 sequence, so the whole file is checked split by split.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
@@ -63,10 +64,13 @@ def csv_format(
 
 
 def _reader(spark: SparkSession, separator: str, encoding: str):
+    # Spark reads no windows-1252; ISO-8859-1 is the same but for 0x80 to 0x9F,
+    # which read_csv_text puts right.
+    readable = "ISO-8859-1" if encoding == "windows-1252" else encoding
     return (
         spark.read.option("header", True)
         .option("sep", separator)
-        .option("encoding", encoding)
+        .option("encoding", readable)
         .option("escape", '"')
         .option("inferSchema", False)
     )
@@ -98,7 +102,17 @@ def read_csv_text(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
     # A scan of the malformed-line column alone is refused, so the filter always
     # reads a data column as well.
     with_data = F.length(F.concat_ws("", col(form.header[0]), malformed)) >= 0
-    return lines.filter(~too_long & with_data).select(*map(col, form.header))
+    kept = lines.filter(~too_long & with_data)
+    if form.encoding != "windows-1252":
+        return kept.select(*map(col, form.header))
+    return kept.select(*[F.translate(col(c), *_upper_windows()).alias(c) for c in form.header])
+
+
+def _upper_windows() -> tuple[str, str]:
+    """Characters 0x80 to 0x9F as ISO-8859-1 reads them, and as windows-1252 means them."""
+    codes = [bytes([b]) for b in range(0x80, 0xA0)]
+    known = [c for c in codes if c.decode("cp1252", "ignore")]
+    return b"".join(known).decode("latin-1"), b"".join(known).decode("cp1252")
 
 
 def bad_lines(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
@@ -119,7 +133,7 @@ def infer_storage(df: DataFrame) -> dict[str, str]:
     texts = [f.name for f in df.schema if S.storage_kind(f.dataType) == "string"]
     if not texts:
         return {}
-    cells = long_form(df, {str(i): col(c) for i, c in enumerate(texts)}).filter(F.col("value").isNotNull())
+    cells = long_form(df, {c: col(c) for c in texts}).filter(F.col("value").isNotNull())
     value = F.col("value")
     whole = F.when(F.trim(value).rlike(r"^[+-]?\d{1,19}$"), F.trim(value).try_cast("bigint"))
     counted = cells.groupBy("column").agg(
@@ -128,7 +142,7 @@ def infer_storage(df: DataFrame) -> dict[str, str]:
         F.count(S.text_to_number(value)).alias("double"),
         F.count_if(value.isin(*_BOOLEAN_TEXTS)).alias("boolean"),
     )
-    found = {texts[int(r["column"])]: r for r in counted.collect()}
+    found = {r["column"]: r for r in counted.collect()}
     result = {}
     for c in texts:
         facts = found.get(c)
