@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +33,7 @@ _MONTH_NAME = (
     r"sep(?:tember)?|oct(?:ober)?|nov(?:ember)?|dec(?:ember)?)"
 )
 
-_YEAR_FIRST = r"(?i)^\d{4}-\d{1,2}-\d{1,2}" + _CLOCK + r"$"
+_YEAR_FIRST = r"(?i)^\d{4}[-/]\d{1,2}[-/]\d{1,2}" + _CLOCK + r"$"
 _NUMERIC_DATE = r"(?i)^(\d{1,2})[/.](\d{1,2})[/.](\d{4})(" + _CLOCK + r")$"
 _DAY_NAME = r"(?i)^(\d{1,2})[- ]" + _MONTH_NAME + r"[- ](\d{4})(" + _CLOCK + r")$"
 _NAME_DAY = r"(?i)^" + _MONTH_NAME + r" (\d{1,2}),? (\d{4})(" + _CLOCK + r")$"
@@ -104,30 +106,39 @@ def text_to_timestamp(text: Column) -> Column:
     Values with an offset become that instant, others are read in the session
     time zone (UTC).
     """
-    t = F.trim(text)
+    short = F.when(F.length(text) <= LONGEST_DATE, F.trim(text))
+    year_first = F.translate(short, "/", "-").try_cast("timestamp")
+    plausible = short.rlike(r"^\w.*[-/. ]\d{4}")
+    return F.when(short.rlike(_YEAR_FIRST), year_first).when(plausible, one_by_one(short, _read_year_last))
+
+
+def one_by_one(value: Column, read: Callable[[Column], Column]) -> Column:
+    """``read`` of the value, evaluated as a function of its own.
+
+    Generated code for a long expression is otherwise pasted into the loop of
+    whatever operator uses it, and a loop that long is never compiled to machine
+    code: several times slower.  The lambda of ``transform`` stays outside.
+    """
+    return F.get(F.transform(F.array(value), read), F.lit(0))
+
+
+def _read_year_last(t: Column) -> Column:
     month_of = F.create_map(
         *[F.lit(x) for i, m in enumerate(_MONTHS, 1) for x in (m, f"{i:02d}")]
     )
 
     def named(pattern: str, day: int, month: int) -> Column:
         number = month_of[F.lower(F.regexp_extract(t, pattern, month).substr(1, 3))]
-        return F.concat(
-            F.regexp_extract(t, pattern, 3), F.lit("-"), number, F.lit("-"),
-            F.regexp_replace(t, pattern, f"${day}$4"),
-        )
+        day_on = F.regexp_replace(t, pattern, f"${day}$4")
+        return F.concat(F.regexp_extract(t, pattern, 3), F.lit("-"), number, F.lit("-"), day_on).try_cast("timestamp")
 
-    month_first = (
-        F.when(t.rlike(_DAY_NAME), named(_DAY_NAME, 1, 2))
+    month_first = F.regexp_replace(t, _NUMERIC_DATE, "$3-$1-$2$4").try_cast("timestamp")
+    day_first = F.regexp_replace(t, _NUMERIC_DATE, "$3-$2-$1$4").try_cast("timestamp")
+    return (
+        F.when(t.rlike(_NUMERIC_DATE), F.coalesce(month_first, day_first))
+        .when(t.rlike(_DAY_NAME), named(_DAY_NAME, 1, 2))
         .when(t.rlike(_NAME_DAY), named(_NAME_DAY, 2, 1))
-        .otherwise(F.translate(F.regexp_replace(t, _NUMERIC_DATE, "$3-$1-$2$4"), "/", "-"))
-    )
-    day_first = F.when(t.rlike(_NUMERIC_DATE), F.regexp_replace(t, _NUMERIC_DATE, "$3-$2-$1$4"))
-    parsed = F.coalesce(
-        F.when(month_first.rlike(_YEAR_FIRST), month_first.try_cast("timestamp")),
-        day_first.try_cast("timestamp"),
     )
-    plausible = (F.length(text) <= LONGEST_DATE) & t.rlike(r"^\w.*[-/. ]") & t.rlike(r"\d{4}")
-    return F.when(plausible, parsed)
 
 
 def as_timestamp(value: Column, kind: str) -> Column:

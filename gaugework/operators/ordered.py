@@ -93,8 +93,10 @@ def day_gaps(df: DataFrame, timestamp: Column, buckets: int | None = None) -> Da
 
     Equal timestamps are merged first, each repeat being a gap of zero days.
     """
-    found = df.select(timestamp.alias("t")).filter(F.col("t").isNotNull())
-    times = cut_lineage(found.groupBy("t").agg(F.count(F.lit(1)).alias("n")))
+    # NULL is dropped only after the table is written: a filter here would be
+    # pushed down and read every timestamp twice.
+    counted = df.select(timestamp.alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    times = cut_lineage(counted).filter(F.col("t").isNotNull())
     cut = cut_in_order(times, "t", order_borders(times, "t", buckets))
     inside = Window.partitionBy(_BUCKET).orderBy("t")
     ends = cut.groupBy(_BUCKET).agg(F.max("t").alias("_last"))

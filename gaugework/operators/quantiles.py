@@ -14,7 +14,6 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
 
 from gaugework.session import chunks
 
@@ -26,9 +25,11 @@ COLUMNS_PER_JOB = 8
 
 @dataclass
 class _Search:
-    """Where the value at position ``rank`` (0-based) of one column can still be."""
+    """Where the value at position ``rank`` (0-based, over the whole column) can
+    still be: strictly between ``low`` and ``high``, with ``below`` values up to
+    ``low`` and ``inside`` values in between."""
 
-    name: str
+    column: str
     rank: int
     aim: int  # rank the bracket is laid around; both neighbours of a quantile share it
     inside: int
@@ -37,13 +38,18 @@ class _Search:
     high: float | None = None
     value: float | None = None
 
-    def window(self, x: Column) -> Column:
-        keep = x.isNotNull()
+    @property
+    def window(self) -> str:
+        ends = []
         if self.low is not None:
-            keep = keep & (x > F.lit(self.low))
+            ends.append(f"{self.column} > {_number(self.low)}")
         if self.high is not None:
-            keep = keep & (x < F.lit(self.high))
-        return F.when(keep, x)
+            ends.append(f"{self.column} < {_number(self.high)}")
+        return f"CASE WHEN {' AND '.join(ends)} THEN {self.column} END" if ends else self.column
+
+
+def _number(value: float) -> str:
+    return f"double('{value!r}')"
 
 
 def exact_quantiles(
@@ -61,99 +67,83 @@ def exact_quantiles(
     """
     if not numbers:
         return {}
+    names = list(numbers)
+    column = {n: f"x{i}" for i, n in enumerate(names)}
+    values = df.select(*[numbers[n].alias(column[n]) for n in names])
     if counts is None:
         counts = {}
-        for part in chunks(list(numbers), COLUMNS_PER_JOB):
-            row = df.agg(*[F.count(numbers[n]) for n in part]).first()
-            counts |= dict(zip(part, row))
-    result = {n: [None] * len(probabilities) for n in numbers if not counts[n]}
-    small = [n for n in numbers if 0 < counts[n] <= direct_rows]
+        for part in chunks(names, COLUMNS_PER_JOB):
+            counts |= dict(zip(part, values.selectExpr(*[f"count({column[n]})" for n in part]).first()))
+    result = {n: [None] * len(probabilities) for n in names if not counts[n]}
+    wanted = ", ".join(_number(p) for p in probabilities)
+    small = [n for n in names if 0 < counts[n] <= direct_rows]
     for part in chunks(small, COLUMNS_PER_JOB):
-        row = df.agg(*[F.percentile(numbers[n], F.array(*map(F.lit, probabilities))) for n in part]).first()
-        result |= {n: list(v) for n, v in zip(part, row)}
-    large = {n: numbers[n] for n in numbers if counts[n] > direct_rows}
-    if large:
-        result |= _by_rank(df, large, probabilities, counts, bracket_rows)
+        found = values.selectExpr(*[f"percentile({column[n]}, array({wanted}))" for n in part]).first()
+        result |= {n: list(v) for n, v in zip(part, found)}
+    large = [n for n in names if counts[n] > direct_rows]
+    for part in chunks(large, COLUMNS_PER_JOB):
+        result |= _by_rank(values, part, column, probabilities, counts, bracket_rows)
     return result
 
 
-def _by_rank(df, numbers, probabilities, counts, bracket_rows) -> dict[str, list[float]]:
-    wanted = {}
-    for name in numbers:
-        for p in probabilities:
-            position = p * (counts[name] - 1)
-            for rank in {math.floor(position), math.ceil(position)}:
-                wanted[name, rank] = _Search(name, rank, math.floor(position), counts[name])
-    searches = list(wanted.values())
-    for part in chunks(searches, 4 * COLUMNS_PER_JOB):
-        _locate(df, numbers, part, bracket_rows)
-    result = {}
-    for name in numbers:
-        found = []
-        for p in probabilities:
-            position = p * (counts[name] - 1)
-            low, high = wanted[name, math.floor(position)].value, wanted[name, math.ceil(position)].value
-            found.append(low + (high - low) * (position - math.floor(position)))
-        result[name] = found
+def _by_rank(
+    values: DataFrame,
+    names: list[str],
+    column: dict[str, str],
+    probabilities: tuple[float, ...],
+    counts: dict[str, int],
+    bracket_rows: int,
+) -> dict[str, list[float]]:
+    position = {(n, p): p * (counts[n] - 1) for n in names for p in probabilities}
+    searches: dict[tuple, _Search] = {}
+    for (n, _), at in position.items():
+        for rank in (math.floor(at), math.ceil(at)):
+            searches.setdefault((n, rank), _Search(column[n], rank, math.floor(at), counts[n]))
+    _locate(values, list(searches.values()), bracket_rows)
+    result: dict[str, list[float]] = {n: [] for n in names}
+    for (n, _), at in position.items():
+        low, high = searches[n, math.floor(at)].value, searches[n, math.ceil(at)].value
+        result[n].append(low + (high - low) * (at - math.floor(at)))
     return result
 
 
-def _locate(df: DataFrame, numbers: dict[str, Column], searches: list[_Search], bracket_rows: int) -> None:
-    accuracy = ACCURACY
-    while True:
-        wide = [s for s in searches if s.value is None and s.inside > bracket_rows]
-        if not wide:
-            break
-        _narrow(df, numbers, wide, accuracy)
-        accuracy *= 2
-    rest = [s for s in searches if s.value is None]
-    if rest:
-        picked = df.agg(
-            *[
-                F.element_at(F.sort_array(F.collect_list(s.window(numbers[s.name]))), s.rank - s.below + 1)
-                for s in rest
-            ]
-        ).first()
-        for s, value in zip(rest, picked):
-            s.value = value
-
-
-def _narrow(df: DataFrame, numbers: dict[str, Column], searches: list[_Search], accuracy: int) -> None:
-    margin = 2.0 / accuracy
-    sketches: dict[tuple, list[float]] = {}  # one sketch per window, all its bracket ends
-    places = []
+def _locate(values: DataFrame, searches: list[_Search], bracket_rows: int) -> None:
+    while wide := [s for s in searches if s.value is None and s.inside > bracket_rows]:
+        _narrow(values, wide)
+    if rest := [s for s in searches if s.value is None]:
+        lists = {s.window: f"sort_array(collect_list({s.window}))" for s in rest}
+        found = dict(zip(lists, values.selectExpr(*lists.values()).first()))
+        for s in rest:
+            s.value = found[s.window][s.rank - s.below]
+
+
+def _narrow(values: DataFrame, searches: list[_Search]) -> None:
+    margin = 2.0 / ACCURACY
+    ends: dict[str, list[float]] = {}  # one sketch per window, all its bracket ends
     for s in searches:
         share = (s.aim - s.below) / s.inside
-        ends = sketches.setdefault((s.name, s.low, s.high), [])
-        places.append(((s.name, s.low, s.high), len(ends)))
-        ends += [min(1.0, max(0.0, share - margin)), min(1.0, max(0.0, share + margin))]
-    windows = {(s.name, s.low, s.high): s.window(numbers[s.name]) for s in searches}
-    sketched = df.agg(*[F.approx_percentile(windows[k], ends, accuracy) for k, ends in sketches.items()]).first()
-    found = dict(zip(sketches, sketched))
-    brackets = [tuple(found[key][at : at + 2]) for key, at in places]
-    tallies = []
-    for s, (low, high) in zip(searches, brackets):
-        x = s.window(numbers[s.name])
-        tallies += [
-            F.count_if(x < F.lit(low)),
-            F.count_if(x == F.lit(low)),
-            F.count_if((x > F.lit(low)) & (x < F.lit(high))),
-            F.count_if(x == F.lit(high)),
-        ]
-    counted = df.agg(*[t.alias(str(i)) for i, t in enumerate(tallies)]).first()
-    for i, (s, (low, high)) in enumerate(zip(searches, brackets)):
-        under, at_low, between, at_high = counted[4 * i : 4 * i + 4]
-        offset = s.rank - s.below
-        if offset < under:  # the value is below the bracket
-            s.high, s.inside = low, under
-        elif offset < under + at_low:
+        ends.setdefault(s.window, [])
+        ends[s.window] += [min(1.0, max(0.0, share + side)) for side in (-margin, margin)]
+    sketch = [
+        f"approx_percentile({window}, array({', '.join(_number(e) for e in asked)}), {ACCURACY})"
+        for window, asked in ends.items()
+    ]
+    found = {w: iter(v) for w, v in zip(ends, values.selectExpr(*sketch).first())}
+    brackets = [(s, next(found[s.window]), next(found[s.window])) for s in searches]
+    tests = {f"{s.column} {sign} {_number(v)}" for s, *pair in brackets for v in pair for sign in ("<", "<=")}
+    tests = sorted(tests)
+    upto = dict(zip(tests, values.selectExpr(*[f"count_if({t})" for t in tests]).first()))
+    for s, low, high in brackets:
+        less, up_to_low, less_high, up_to_high = (
+            upto[f"{s.column} {sign} {_number(v)}"] for v in (low, high) for sign in ("<", "<=")
+        )
+        if s.rank < less:
+            s.high, s.inside = low, less - s.below
+        elif s.rank < up_to_low:
             s.value = low
-        elif offset < under + at_low + between:
-            s.below += under + at_low
-            s.low, s.high, s.inside = low, high, between
-        elif offset < under + at_low + between + (at_high if high != low else 0):
+        elif s.rank < less_high:
+            s.low, s.high, s.below, s.inside = low, high, up_to_low, less_high - up_to_low
+        elif s.rank < up_to_high:
             s.value = high
-        else:  # above the bracket
-            gone = under + at_low + between + (at_high if high != low else 0)
-            s.below += gone
-            s.low, s.inside = high, s.inside - gone
+        else:
+            s.low, s.below, s.inside = high, up_to_high, s.inside - (up_to_high - s.below)
