@@ -432,7 +432,8 @@ def align_inner(spark, sf):
 
 
 def dataset_summary(spark, sf):
-    return _profile(spark, sf).dataset_summary().drop("name")
+    with _profile(spark, sf) as profile:
+        return profile.dataset_summary().drop("name")
 
 
 def quality_score(spark, sf):
@@ -444,16 +445,19 @@ def quality_grade(spark, sf):
 
 
 def column_warnings(spark, sf):
-    return _profile(spark, sf).warnings().select("column", F.explode("warnings").alias("warning"))
+    with _profile(spark, sf) as profile:
+        return profile.warnings().select("column", F.explode("warnings").alias("warning"))
 
 
 def recommendations(spark, sf):
-    return _profile(spark, sf).recommendations().select("severity", "category", "column", "message")
+    with _profile(spark, sf) as profile:
+        return profile.recommendations().select("severity", "category", "column", "message")
 
 
 def column_report(spark, sf):
     """The whole column table, nested parts as text."""
-    found = _as_text(_profile(spark, sf).column_table(), "min_date", "max_date")
+    with _profile(spark, sf) as profile:
+        found = _as_text(profile.column_table(), "min_date", "max_date")
     return found.withColumns({c: F.to_json(c) for c in ("missing_related_to", "top_values")})
 
 
@@ -547,9 +551,9 @@ def clean_log(spark, sf):
 
 
 def strategy_options(spark, sf):
-    profile = _profile(spark, sf)
-    table_ = profile.column_table(with_patterns=False, with_distributions=False)
-    options = advice.strategy_options(table_)
+    with _profile(spark, sf) as profile:
+        report = profile.column_table(with_patterns=False, with_distributions=False)
+    options = advice.strategy_options(report)
     return options.select("column", *[F.concat_ws(",", c).alias(c) for c in options.columns[1:]])
 
 
@@ -595,20 +599,20 @@ def before_after(spark, sf):
 
 def _light(view):
     def query(spark, sf):
-        profile = _profile(spark, sf)
-        return view(profile, profile.light_table)
+        with _profile(spark, sf) as profile:
+            return view(profile, profile.light_table)
 
     return query
 
 
 def column_summary(spark, sf):
-    profile = _profile(spark, sf)
-    return views.column_summary(profile, profile.column_table(with_stats=False, with_distributions=False))
+    with _profile(spark, sf) as profile:
+        return views.column_summary(profile, profile.column_table(with_stats=False, with_distributions=False))
 
 
 def column_facts(spark, sf):
-    profile = _profile(spark, sf)
-    return facts.column_facts(profile, profile.column_table(with_patterns=False, with_distributions=False))
+    with _profile(spark, sf) as profile:
+        return facts.column_facts(profile, profile.column_table(with_patterns=False, with_distributions=False))
 
 
 def missing_matrix(spark, sf):
@@ -793,14 +797,13 @@ def queries() -> dict:
 
 def entry(spark: SparkSession, sf: str) -> DataFrame:
     """The flagship: the dataset's quality, with its columns and what to do about them."""
-    profile = _profile(spark, sf)
-    report = profile.column_table()
-    advised = profile.recommendations(report).groupBy("column").agg(F.count(F.lit(1)).alias("recommendations"))
-    score = profile.dataset_summary(report).first()
-    columns = report.join(advised, "column", "left").select(
+    with _profile(spark, sf) as profile:
+        report = profile.column_table()
+        advised = profile.recommendations(report).groupBy("column").agg(F.count(F.lit(1)).alias("recommendations"))
+        score = profile.dataset_summary(report).first()
+    return report.join(advised, "column", "left").select(
         "column", "storage_type", "inferred_type", "type_mismatch", "missing_count", "missing_pct", "missing_pattern",
         "mean", "median", "std", "skew_label", "unique_count", "iqr_count", "zscore_count",
         F.coalesce("recommendations", F.lit(0)).alias("recommendations"),
         F.lit(score["quality_score"]).alias("quality_score"), F.lit(score["quality_grade"]).alias("quality_grade"),
     )
-    return columns

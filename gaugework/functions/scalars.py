@@ -39,7 +39,7 @@ _DAY_NAME = r"(?i)^(\d{1,2})[- ]" + _MONTH_NAME + r"[- ](\d{4})(" + _CLOCK + r")
 _NAME_DAY = r"(?i)^" + _MONTH_NAME + r" (\d{1,2}),? (\d{4})(" + _CLOCK + r")$"
 
 POSITIVE_INFINITY = float("inf")
-LONGEST_DATE = 80  # characters; every accepted spelling is far shorter, blanks around it aside
+LONGEST_DATE = 80  # characters without the blanks around; every accepted spelling is shorter
 
 
 def storage_kind(data_type: T.DataType) -> str:
@@ -106,7 +106,7 @@ def text_to_timestamp(text: Column) -> Column:
     Values with an offset become that instant, others are read in the session
     time zone (UTC).
     """
-    short = F.when(F.length(text) <= LONGEST_DATE, F.trim(text))
+    short = F.when(F.length(F.trim(text)) <= LONGEST_DATE, F.trim(text))
     year_first = F.translate(short, "/", "-").try_cast("timestamp")
     plausible = short.rlike(r"^\w.*[-/. ]\d{4}")
     return F.when(short.rlike(_YEAR_FIRST), year_first).when(plausible, one_by_one(short, _read_year_last))

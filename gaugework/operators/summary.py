@@ -88,7 +88,7 @@ def _read_cells(cells: DataFrame, kind: str) -> DataFrame:
     read = read.withColumns(
         {
             "time": F.when(F.col("number").isNull(), S.text_to_timestamp(value)),
-            "word": F.when(F.length(value) <= S.LONGEST_DATE, F.nullif(word, F.lit(0))),
+            "word": F.nullif(word, F.lit(0)),
             "length": F.length(value),
         }
     )
