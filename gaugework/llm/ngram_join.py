@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gaugework.llm.common import WordHashes, as_bytes, shingles, small_side
+from gaugework.llm.common import WordHasher, distinct_sorted, each_shingles, small_side
 from gaugework.llm.components import components
 from gaugework.session import cut_lineage
 
@@ -58,9 +58,10 @@ class JaccardJoin:
     def extra(self, n):
         return np.maximum(1, n * self.margin // 100)
 
-    def sets(self, texts: list[bytes], known: WordHashes) -> Iterator[np.ndarray]:
-        for text in texts:
-            yield np.unique(shingles(known.of(text.lower().split()), self.words))
+    def sets(self, texts: pa.Array, hasher: WordHasher) -> Iterator[np.ndarray]:
+        for hashes, ends in hasher.blocks(texts):
+            for found in each_shingles(hashes, ends, self.words):
+                yield distinct_sorted(found)
 
 
 def _keys(tokens: np.ndarray) -> tuple[bytes, int]:
@@ -82,10 +83,10 @@ def _survey(spec: JaccardJoin):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("cls", pa.int64()),
                             ("set_key", pa.binary()), ("token", pa.int64()), ("hits", pa.int64())])
-        known, parts, held = WordHashes(), [], 0
+        hasher, parts, held = WordHasher(lower=True), [], 0
         for batch in batches:
             sizes, keys, short = [], [], []
-            for tokens in spec.sets(as_bytes(batch.column("text")), known):
+            for tokens in spec.sets(batch.column("text"), hasher):
                 key, cls = _keys(tokens) if len(tokens) else (None, None)
                 sizes.append(len(tokens)), keys.append(key), short.append(cls)
                 parts.append(tokens)
@@ -108,10 +109,10 @@ def _first_tokens(spec: JaccardJoin, heavy):
     """(token, cls, weight): a set's first tokens; the common ones among them as one row of that weight."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        hasher = WordHasher(lower=True)
         for batch in batches:
             tokens, owners, weights = [], [], []
-            for own in spec.sets(as_bytes(batch.column("text")), known):
+            for own in spec.sets(batch.column("text"), hasher):
                 n = len(own)
                 if not n:
                     continue
@@ -143,10 +144,10 @@ def _within(tokens: np.ndarray, sorted_set: np.ndarray) -> np.ndarray:
 
 def _whole_sets(spec: JaccardJoin, heavy):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordHashes()
+        hasher = WordHasher(lower=True)
         for batch in batches:
             owners, light, often = [], [], []
-            for own in spec.sets(as_bytes(batch.column("text")), known):
+            for own in spec.sets(batch.column("text"), hasher):
                 if len(own):
                     owners.append(_keys(own)[1])
                     hot = _within(own, heavy.value)

@@ -4,15 +4,103 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gaugework.llm.common import documents
-from gaugework.llm.ngram_join import JaccardJoin, jaccard_join
+from gaugework.llm import fingerprints, ngram_join, packing, quality_crf, quality_rules, secret_scan
+from gaugework.llm import sentencepiece_codec, sharding, substring_dedup, url_filter
+from gaugework.llm.common import documents, text_or_empty
+
+PIECES = "piece_bpe_32k.model"
+BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+
+
+def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of each text, and whether decoding them gives the text back."""
+    model = public_tokenizers.path(PIECES)
+    rows = sentencepiece_codec.encode(documents(spark, sf).select("doc_id", text_or_empty().alias("text")), model)
+    rows = sentencepiece_codec.decode(rows, model, into="decoded")
+    same = (F.col("decoded") == F.col("text")).alias("round_trip")
+    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same)
+
+
+def _joined(spans: str, *kinds: str) -> Column:
+    kept = F.filter(spans, lambda s: s["kind"].isin(*kinds))
+    return F.array_join(F.transform(kept, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+def op2_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.find_secrets(documents(spark, sf).select("doc_id", "text"))
+    base = [k[0] for k in secret_scan.KINDS]
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select(
+        "doc_id", *map(count, base), F.sha2(_joined("spans", *base), 256).alias("base_sha256"),
+        _joined("spans", *base, secret_scan.RANDOM).alias("spans"),
+    )
+
+
+def op3_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
+    ids = packing.token_pieces(
+        documents(spark, sf), public_tokenizers.path(BYTE_BPE), public_tokenizers.path(BYTE_RANKS)
+    )
+    slim = ids.select("doc_id", "piece", "start", (F.octet_length("ids") / 4).cast("long").alias("length"),
+                      F.crc32("ids").alias("ids_crc32"))
+    return packing.pack(packing.written(slim))
+
+
+def op4_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    judged = url_filter.judge_urls(documents(spark, sf, "pages").select("page_id", "url", "html"))
+    return judged.select("page_id", "host", "path", "rule", "verdict", "trust", "distrust")
+
+
+def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    text = text_or_empty()
+    docs = documents(spark, sf).select(
+        "doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32")
+    )
+    return sharding.shard_by_bytes(docs).select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op6_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(documents(spark, sf)).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint", "edited_fingerprint",
+        "near_edited", "near_next",
+    )
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf: str) -> DataFrame:
-    return jaccard_join(documents(spark, sf), JaccardJoin(words=4, num=85, den=100))
+    return ngram_join.jaccard_join(documents(spark, sf), ngram_join.JaccardJoin(words=4, num=85, den=100))
+
+
+def op8_quality_crf(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    scored = quality_crf.score_quality(docs, quality_crf.train(docs, documents(spark, sf, "labels")))
+    return scored.select(
+        "doc_id", (quality_crf.fold(F.col("doc_id")) == quality_crf.HELD_OUT).alias("held_out"), "score",
+        (F.col("score") >= 0.7).cast("int").alias("predicted"),
+    )
+
+
+def op9_substring_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    left = substring_dedup.remove_repeats(documents(spark, sf).select("doc_id", "text"), joined=True)
+    return left.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
+    docs = documents(spark, sf).select("doc_id", "text")
+    judged = quality_rules.quality_rules(docs, quality_rules.train(docs, documents(spark, sf, "labels")))
+    return judged.select("doc_id", "quality.*")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op7_ngram_jaccard_join,)}
+    found = (
+        op1_sentencepiece, op2_secret_scan, op3_best_fit_packing, op4_url_filter, op5_sharding, op6_fingerprints,
+        op7_ngram_jaccard_join, op8_quality_crf, op9_substring_dedup, op10_quality_rules,
+    )
+    return {f.__name__: f for f in found}
