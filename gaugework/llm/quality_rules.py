@@ -100,10 +100,13 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Qual
     return QualityModel(weights, intercept, slope, shift)
 
 
-def quality_rules(docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with quality, a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score
-    and kept.  A null text has no words and fails.  All rows and columns stay; a column named quality is replaced."""
+def quality_rules(
+    docs: DataFrame, model: QualityModel, threshold: float = THRESHOLD, into: str = "quality"
+) -> DataFrame:
+    """``docs`` with a struct of n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, score and kept.
 
+    A null text has no words and fails.  All rows and columns stay; a column named ``into`` is replaced.
+    """
     known = WordHasher()
 
     def run(texts: pa.Array) -> pa.Array:
@@ -124,4 +127,4 @@ def quality_rules(docs: DataFrame, model: QualityModel, threshold: float = THRES
         "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
         "score double, kept boolean"
     )
-    return docs.withColumn("quality", F.arrow_udf(run, schema)("text"))
+    return docs.withColumn(into, F.arrow_udf(run, schema)("text"))

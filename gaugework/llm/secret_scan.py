@@ -162,6 +162,10 @@ def thresholds(found: DataFrame) -> dict[tuple[str, int], float]:
     return chosen
 
 
+def _at_least(n: int):
+    return lambda match: F.length(match["part"]) >= n
+
+
 def find_secrets(docs: DataFrame) -> DataFrame:
     """``docs`` with spans, array<struct<start, end, kind>> by start, then kind in the order of KINDS, random last.
 
@@ -173,8 +177,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     chosen = thresholds(candidates(own.select("_text"), text))
     found = own
     for kind, pattern, group, least in KINDS:
-        held = F.filter(matches(text, pattern, group), lambda m, n=least: F.length(m["part"]) >= n)
-        found = found.withColumn(f"_{kind}", held)
+        found = found.withColumn(f"_{kind}", F.filter(matches(text, pattern, group), _at_least(least)))
     found = candidates(found, text)
     names = [k[0] for k in KINDS]
 
