@@ -1,11 +1,17 @@
 """SentencePiece encoding and decoding by a Viterbi search over an Aho-Corasick automaton.
 
 The automaton holds the model's pieces.  Reading a text once, it reports at each position all pieces that end there, longest
-first (its output links); each relaxes the best score of the position.  Ties keep the longer last piece.  Characters
-without a piece cost the lowest score less ``UNKNOWN`` and become their bytes' pieces.
+first (its output links), and each of them relaxes the best way to reach the position:
 
-Pieces hold a blank mark only at their beginning (checked when the model is loaded), so the best segmentation of a text is
-that of its words one after another; each distinct word of a task is searched once.
+* A unigram model's way is the one with the highest sum of scores; ties keep the longer last piece.
+* A BPE model's pieces are merged by rank, and its ids are those pieces of which no two neighbours would merge otherwise.
+  So a piece may follow the best way to its beginning only if merging the two pieces' text gives just these two; all other
+  steps score minus infinity.  One way is left at each position, and it is what merging gives.
+
+Characters without a piece cost the lowest score less ``UNKNOWN``, merge with nothing, and become their bytes' pieces.
+
+Pieces hold a blank mark only at their beginning (checked when the model is loaded), so the ids of a text are those of its
+words one after another; each distinct word of a task is searched once.
 """
 
 from __future__ import annotations
@@ -21,10 +27,44 @@ from pyspark.sql import functions as F
 
 MARK = "▁"  # stands for a blank
 UNKNOWN = 10.0
+UNIGRAM, BPE = 1, 2
 WORDS = 200_000  # words whose ids a task remembers
+PAIRS = 500_000  # pairs of pieces of which a task remembers whether they may be neighbours
 ROWS = 200  # rows that are Python objects at a time
 
 
+def model_kind(path: str) -> int:
+    """The model type that a file's trainer settings name (field 3 of the file's field 2); unigram if none is named."""
+    with open(path, "rb") as file:
+        raw = file.read()
+
+    def number(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = raw[at]
+            value |= (byte & 127) << shift
+            at, shift = at + 1, shift + 7
+            if byte < 128:
+                return value, at
+
+    def fields(at: int, end: int):
+        while at < end:
+            key, at = number(at)
+            kind, begin = key & 7, at
+            size = {1: 8, 5: 4}.get(kind, 0)
+            value = None
+            if kind in (0, 2):
+                value, at = number(at)
+                begin, size = at, value if kind == 2 else 0
+            at += size
+            yield key >> 3, value, begin, at
+
+    for name, _, begin, end in fields(0, len(raw)):
+        if name == 2:
+            return next((value for inner, value, _, _ in fields(begin, end) if inner == 3), UNIGRAM)
+    return UNIGRAM
+
+
 class PieceModel(dict):
     """Ids of words by the pieces of a model file, as little-endian 32-bit numbers."""
 
@@ -35,9 +75,15 @@ class PieceModel(dict):
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.automaton = ahocorasick.Automaton()
         self.single: set[str] = set()
+        self.pieces: dict[str, tuple[float, int]] = {}
+        self.texts: dict[int, str] = {}
+        self.scores: dict[int, float] = {}
+        self.ranks: dict[int, float] = {}
+        self.split: dict[int, tuple[int, int]] = {}
+        self.follows: dict[tuple[int, int], bool] = {}
         self.bytes: dict[int, int] = {}
         self.decoded: list[bytes] = []
-        self.unknown, lowest, split = model.unk_id(), 0.0, True
+        self.unknown, lowest, cuttable = model.unk_id(), 0.0, True
         inner: set[str] = set()
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
@@ -50,45 +96,119 @@ class PieceModel(dict):
             elif not model.is_control(i) and not model.is_unused(i):
                 score = model.get_score(i)
                 lowest = min(lowest, score)
-                self.automaton.add_word(piece, (len(piece), score, i))
-                split = split and MARK not in piece.lstrip(MARK)
+                self.automaton.add_word(piece, (len(piece), i))
+                self.pieces[piece] = (score, i)
+                self.texts[i], self.scores[i] = piece, score
+                self.ranks[i] = -score if len(piece) > 1 else -1.0  # a character is merged from nothing
+                cuttable = cuttable and MARK not in piece.lstrip(MARK)
                 if len(piece) == 1:
                     self.single.add(piece)
                 else:
                     inner.update(piece)
         self.automaton.make_automaton()
         self.cost = lowest - UNKNOWN
+        self.merging = model_kind(path) == BPE
         # where a text can be cut: before a blank mark that follows another character, and around lonely line ends
         lonely = "" if "\n" in inner else "\n"
-        self.cut = re.compile(f"{MARK}*[^{MARK}{lonely}]+|{MARK}+" + ("|\n" if lonely else "")) if split else None
+        self.cut = re.compile(f"{MARK}*[^{MARK}{lonely}]+|{MARK}+" + ("|\n" if lonely else "")) if cuttable else None
+
+    def merged(self, text: str, last: bool = False) -> list[str]:
+        """Symbols of a short text after all merges (or all but the last), best score first and leftmost among equals."""
+        symbols = list(text)
+        while not (last and len(symbols) == 2):
+            ranks = [self.pieces.get(a + b, (float("-inf"),))[0] for a, b in zip(symbols, symbols[1:])]
+            best = max(ranks, default=float("-inf"))
+            if best == float("-inf"):
+                break
+            at = ranks.index(best)
+            symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
+        return symbols
+
+    def halves(self, piece: int) -> tuple[int, int]:
+        """The two pieces that a piece is merged from in the end."""
+        known = self.split.get(piece)
+        if known is None:
+            text = self.texts[piece]
+            left, right = self.merged(text, last=True)
+            known = self.split[piece] = self.pieces[left][1], self.pieces[right][1]
+        return known
+
+    def may_follow(self, before: int, piece: int) -> bool:
+        """Whether merging the text of two pieces gives these two.
+
+        Merges are undone from the last one on, of the piece whose merge came later (of equal ones the right one's).  If the
+        pieces that then face each other would have merged across before that, the two would not have come about.
+        """
+        ranks, texts, pieces = self.ranks, self.texts, self.pieces
+        limit = float("inf")
+        while True:
+            across = pieces.get(texts[before] + texts[piece])
+            if across is not None and -across[0] < limit:
+                return False
+            left, right = ranks[before], ranks[piece]
+            if left < 0 and right < 0:
+                return True
+            if left > right:
+                limit, before = left, self.halves(before)[1]
+            else:
+                limit, piece = right + 0.5, self.halves(piece)[0]
 
     def segment(self, text: str) -> list[int]:
-        """Ids of the best segmentation of a text with marks."""
-        n = len(text)
-        best, back = [0.0] + [float("-inf")] * n, [(0, 0)] * (n + 1)
-        single, cost, done = self.single, self.cost, 0
+        """Ids of the best segmentation of a text with marks; back[i] is the last piece of the best way to i."""
+        back = (self.by_merges if self.merging else self.by_scores)(text)
+        ids, at = [], len(text)
+        while at:
+            length, piece = back[at]
+            ids += [piece] if piece >= 0 else self.spelled(text[at - 1])
+            at -= length
+        return ids[::-1]
+
+    def by_scores(self, text: str) -> list[tuple[int, int]]:
+        best, back = [0.0] + [float("-inf")] * len(text), [(0, 0)] * (len(text) + 1)
+        done = 0
 
         def lone(upto: int) -> None:
             for i in range(done, upto):
-                if text[i] not in single and best[i] + cost > best[i + 1]:
-                    best[i + 1], back[i + 1] = best[i] + cost, (1, -1)
+                if text[i] not in self.single and best[i] + self.cost > best[i + 1]:
+                    best[i + 1], back[i + 1] = best[i] + self.cost, (1, -1)
 
-        whole = all(c in single for c in text)
-        for end, (length, score, piece) in self.automaton.iter(text):
-            if not whole and end > done:
+        for end, (length, piece) in self.automaton.iter(text):
+            if end > done:
                 lone(end)
                 done = end
-            found = best[end + 1 - length] + score
+            found = best[end + 1 - length] + self.scores[piece]
             if found > best[end + 1]:
                 best[end + 1], back[end + 1] = found, (length, piece)
-        if not whole:
-            lone(n)
-        ids, at = [], n
-        while at:
-            length, piece = back[at]
-            ids += [piece] if piece >= 0 else self.spelled(text[at - 1])
-            at -= length
-        return ids[::-1]
+        lone(len(text))
+        return back
+
+    def by_merges(self, text: str) -> list[tuple[int, int]]:
+        """As by_scores, with steps that score 0 or minus infinity: a position without a way has no entry."""
+        follows = self.follows
+        if len(follows) > PAIRS:
+            follows.clear()
+        back: list[tuple[int, int] | None] = [(0, -1)] + [None] * len(text)
+        for i, c in enumerate(text):
+            if c not in self.single:
+                back[i + 1] = (1, -1)
+        for end, match in self.automaton.iter(text):
+            if back[end + 1] is not None:
+                continue
+            length, piece = match
+            way = back[end + 1 - length]
+            if way is None:
+                continue
+            before = way[1]
+            known = follows.get((before, piece))
+            if known is None:
+                known = follows[before, piece] = self.may_follow(before, piece) if before >= 0 else self.whole(piece)
+            if known:
+                back[end + 1] = match
+        return back
+
+    def whole(self, piece: int) -> bool:
+        """Whether merging a piece's text gives the piece."""
+        return self.merged(self.texts[piece]) == [self.texts[piece]]
 
     def spelled(self, character: str) -> list[int]:
         """Ids of a character's bytes, last first."""
