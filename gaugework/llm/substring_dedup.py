@@ -143,21 +143,35 @@ def _windows(hashes: np.ndarray, line: str, ends: list[int], window: int) -> tup
     return starts.astype(np.int32), keys[0].view(np.int64), (keys[1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
-def _without(window: int, joined: bool):
-    """Struct of word count, words removed and the text left, from a text, its repeated windows and a flag for all."""
+def _covered(window: int):
+    """Word ranges (begin, end, begin, end ...) that windows with some starts cover together."""
 
-    def run(texts: pa.Array, starts: pa.Array, whole: pa.Array) -> pa.Array:
-        counts, gone, kept = [], [], []
+    def run(starts: pa.Array) -> pa.Array:
+        found, ends = [], [0]
         offsets, flat = starts.offsets.to_numpy(), starts.values.to_numpy()
+        for low, high in zip(offsets[:-1], offsets[1:]):
+            own = np.sort(flat[low:high])
+            breaks = np.flatnonzero(np.diff(own) > window) + 1
+            begins, last = own[np.r_[0, breaks]], own[np.r_[breaks - 1, len(own) - 1]] + window
+            found.append(np.stack([begins, last], axis=1).ravel())
+            ends.append(ends[-1] + len(found[-1]))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([*found, np.zeros(0, np.int32)]).astype(np.int32)))
+
+    return run
+
+
+def _without(joined: bool):
+    """Struct of word count, words removed and the text left, from a text, its covered ranges and a flag for all."""
+
+    def run(texts: pa.Array, ranges: pa.Array, whole: pa.Array) -> pa.Array:
+        counts, gone, kept = [], [], []
+        offsets, flat = ranges.offsets.to_numpy(), ranges.values.to_numpy()
         for i, (text, all_gone) in enumerate(zip(as_bytes(texts), whole.to_pylist())):
             words = text.split()
             left = np.full(len(words), not all_gone)
             if offsets[i + 1] > offsets[i]:
-                own = flat[offsets[i] : offsets[i + 1]]
-                change = np.zeros(len(words) + 1, np.int64)
-                np.add.at(change, own, 1)
-                np.add.at(change, own + window, -1)
-                left = np.cumsum(change[:-1]) == 0
+                for low, high in flat[offsets[i] : offsets[i + 1]].reshape(-1, 2):
+                    left[low:high] = False
             counts.append(len(words))
             gone.append(len(words) - int(left.sum()))
             if joined:
@@ -193,12 +207,12 @@ def remove_repeats(docs: DataFrame, window: int = 50, joined: bool = False) -> D
     kept has the remaining words with the blanks that followed them, or (``joined``) one blank between words.  A null text
     has no words.  A null doc_id counts as larger than any other; rows of one doc_id are never compared with each other.
     A text with fewer words than a window is left as it is.  An empty table gives an empty result.  Columns named like the
-    three results or like helpers (ord, row_key) are replaced by them, the helpers are dropped.
+    three results are replaced.
     """
-    helpers = {"ord", "row_key", "starts", "whole", "n_words", "n_removed", "kept", "done"}
-    own = docs.drop(*helpers).withColumns(
-        {"ord": F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)), "row_key": F.xxhash64("text")}
-    )
+    own = docs.select(
+        F.struct("*").alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("ord"),
+        F.xxhash64("text").alias("row_key"), F.col("text").cast("string"),
+    )
     slim = own.select("ord", "row_key", "text")
     survey = cut_lineage(
         slim.mapInArrow(_survey(window), "ord long, row_key long, words_key binary, phrases array<long>")
@@ -221,15 +235,16 @@ def remove_repeats(docs: DataFrame, window: int = 50, joined: bool = False) -> D
     owner = windows.groupBy("k1", "k2").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high")
     repeated = windows.join(owner.select("k1", "k2", "low"), ["k1", "k2"]).where("ord > low")
     starts = repeated.groupBy("ord", "row_key").agg(F.collect_set("start").alias("starts"))
+    covered = F.arrow_udf(_covered(window), "array<int>")
     gone = cut_lineage(
-        starts.withColumn("whole", F.lit(False))
-        .unionByName(copies.select("ord", "row_key", F.array().cast("array<int>").alias("starts"), F.lit(True).alias("whole")))
+        starts.select("ord", "row_key", covered("starts").alias("ranges"), F.lit(False).alias("whole"))
+        .unionByName(copies.select("ord", "row_key", F.array().cast("array<int>").alias("ranges"), F.lit(True).alias("whole")))
     )
-    values = gone.agg(F.sum(F.size("starts") + 4)).first()[0] or 0
-    cut = F.arrow_udf(_without(window, joined), "n_words long, n_removed long, kept string")
-    none = F.array().cast("array<int>")
+    values = gone.agg(F.sum(F.size("ranges") + 4)).first()[0] or 0
+    cut = F.arrow_udf(_without(joined), "n_words long, n_removed long, kept string")
+    none, made = F.array().cast("array<int>"), ("n_words", "n_removed", "kept")
     return (
         own.join(_sized(gone, values), ["ord", "row_key"], "left")
-        .withColumn("done", cut("text", F.coalesce("starts", none), F.coalesce("whole", F.lit(False))))
-        .select(*[c for c in own.columns if c not in helpers], "done.n_words", "done.n_removed", "done.kept")
+        .withColumn("_done", cut("text", F.coalesce("ranges", none), F.coalesce("whole", F.lit(False))))
+        .select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in made], *[f"_done.{c}" for c in made])
     )
