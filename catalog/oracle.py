@@ -42,9 +42,8 @@ MESSY = f"""{BASE}, messy AS (
   UNION ALL SELECT row_id + 2000000000, o_custkey, 'Z', price, price_text, date_text, priority_label, flag_text, age,
     rating FROM base WHERE row_id % 333 = 0)"""
 EVENTS_NULL = "events_null AS (SELECT event_id, CASE WHEN event_id % 7 < 2 THEN NULL ELSE value END AS value FROM events)"
-GAPPY = (
-    "gappy AS (SELECT * FROM orders WHERE NOT (CAST(o_orderdate AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1996-08-31'))"
-)
+GAPPY = """gappy AS (SELECT * REPLACE (CASE WHEN CAST(o_orderdate AS DATE) BETWEEN DATE '1996-03-01' AND DATE '1996-08-31'
+  THEN o_orderdate + INTERVAL 365 DAY ELSE o_orderdate END AS o_orderdate) FROM orders)"""
 INFINITE = """infinite AS (SELECT o_orderkey AS row_id,
   CASE WHEN o_orderkey % 101 = 0 THEN CAST('inf' AS DOUBLE) WHEN o_orderkey % 103 = 0 THEN CAST('-inf' AS DOUBLE)
        ELSE o_totalprice END AS price,
@@ -135,9 +134,8 @@ quality AS (SELECT *, CASE WHEN quality_score >= 90 THEN 'A' WHEN quality_score
 warned AS (
   SELECT position, "column", 1 AS rule, concat('Over 50% of values are missing (', format('{{:.1f}}', missing_pct), '%)') AS warning FROM cols WHERE missing_pct > 50
   UNION ALL SELECT position, "column", 2, concat('Type mismatch: values appear to be ', inferred_type, ' but are stored as ', storage_type, ' — ',
-    CASE inferred_type WHEN 'numeric' THEN 'consider converting with pd.to_numeric()' WHEN 'datetime' THEN 'consider converting with pd.to_datetime()'
-      WHEN 'boolean' THEN 'consider casting to bool' WHEN 'mixed' THEN 'column contains mixed types — inspect and clean before casting'
-      ELSE 'consider casting to the correct type' END) FROM cols WHERE type_mismatch
+    CASE WHEN inferred_type IN ('numeric', 'datetime', 'boolean') THEN concat('fix_types(..., ''', inferred_type, ''') converts it')
+      WHEN inferred_type = 'mixed' THEN 'some cells are no numbers; look at them before converting' ELSE 'fix_types can convert it' END) FROM cols WHERE type_mismatch
   UNION ALL SELECT position, "column", 3, 'High cardinality: column may be an ID or free text rather than a true categorical' FROM cols WHERE high_cardinality
   UNION ALL SELECT position, "column", 4, concat(format('{{:,}}', iqr_count), ' outliers detected (', format('{{:.1f}}', iqr_pct), '%, IQR method)') FROM cols WHERE iqr_pct > 5),
 advised AS (
@@ -273,7 +271,8 @@ SKEW_LABEL = """CASE WHEN abs(skewness({c})) < 0.5 THEN 'symmetric' WHEN skewnes
 KURT_LABEL = "CASE WHEN kurtosis({c}) > 1 THEN 'leptokurtic' WHEN kurtosis({c}) < -1 THEN 'platykurtic' ELSE 'mesokurtic' END"
 
 # population moments, then the two published transforms to a normal score
-OMNIBUS = f"""WITH numbers AS ({long_numbers({c: c for c in LINE_NUMBERS}, 'lineitem', '')}),
+def omnibus(numbers: str) -> str:
+    return f"""WITH numbers AS ({numbers}),
  centre AS (SELECT "column" AS c, avg(x) AS m FROM numbers GROUP BY 1),
  mom AS (SELECT "column", CAST(count(*) AS DOUBLE) AS n, avg((x-m)**2) AS m2, avg((x-m)**3) AS m3, avg((x-m)**4) AS m4 FROM numbers JOIN centre ON c = "column" GROUP BY 1),
  g AS (SELECT "column", n, m3 / m2 ** 1.5 AS g1, m4 / m2 ** 2 - 3 AS g2 FROM mom),
@@ -284,6 +283,42 @@ OMNIBUS = f"""WITH numbers AS ({long_numbers({c: c for c in LINE_NUMBERS}, 'line
  z AS (SELECT *, ((1-2/(9*aa)) - sign(d)*((1-2/aa)/abs(d))**(1/3.0))/sqrt(2/(9*aa)) AS z2 FROM d)
  SELECT "column", CAST(n AS BIGINT) AS n, 'k2' AS test, round(exp(-(z1*z1+z2*z2)/2), 6) AS p_value, exp(-(z1*z1+z2*z2)/2) >= 0.05 AS is_normal FROM z"""
 
+WIDE_NUMBERS = "wide_numbers AS (SELECT {} FROM orders)".format(
+    ", ".join(
+        f"CASE WHEN o_orderkey % {i + 7} <> 0 THEN o_totalprice * {int(i % 3 == 0)} + (o_orderkey * {i + 3} % {97 + i}) * 1000.0 END AS n{i}"
+        for i in range(30)
+    )
+)
+WIDE_LABELS = "wide_labels AS (SELECT {} FROM orders)".format(
+    ", ".join(f"CAST((o_orderkey // {i + 1} + o_custkey % 2) % {2 + i % 5} AS VARCHAR) AS g{i}" for i in range(20))
+)
+_WIDE = [f"w{i}" for i in range(60)]
+# rows one column apart: the column is left out in turn, and the rest made one text
+NEAR_WIDE = f"""WITH base AS (SELECT o_orderkey AS row_id, {", ".join(f"(o_orderkey * {i + 1} + o_custkey) % {50 + i} AS w{i}" for i in range(60))} FROM orders),
+ every AS (SELECT * FROM base
+  UNION ALL SELECT row_id + 1000000000, {", ".join(f"CASE WHEN row_id // 40 % 60 = {i} THEN -1 ELSE w{i} END" for i in range(60))} FROM base WHERE row_id % 40 = 0
+  UNION ALL SELECT row_id + 2000000000, {", ".join(_WIDE)} FROM base WHERE row_id % 60 = 0),
+ listed AS (SELECT row_id, [{", ".join(_WIDE)}] AS w FROM every),
+ keyed AS (SELECT row_id, w, i, hash(list_concat(w[1:i - 1], [0], w[i + 1:])) AS k FROM (SELECT row_id, w, unnest(range(1, 61)) AS i FROM listed)),
+ copied AS (SELECT row_id, count(*) OVER (PARTITION BY w) AS copies FROM listed)
+ SELECT DISTINCT k.row_id FROM (SELECT row_id, count(*) OVER (PARTITION BY i, k) AS n FROM keyed) k JOIN copied c ON c.row_id = k.row_id
+ WHERE k.n > 1 AND c.copies = 1"""
+_GAPS = [f"t{i}" for i in range(60)]
+PATTERNS_WIDE = f"""WITH wide AS (SELECT o_orderkey AS row_id, o_totalprice AS price, {", ".join(
+    f"CASE WHEN NOT ({'o_totalprice > 300000' if i % 10 == 9 else f'o_orderkey % {i + 11} = 0'}) THEN CAST((o_orderkey * 7 + {i}) % 50 AS DOUBLE) END AS t{i}"
+    for i in range(60)
+)} FROM orders),
+ cells AS (FROM (SELECT row_id, price, {", ".join(_GAPS)} FROM wide) UNPIVOT INCLUDE NULLS (x FOR c IN (price, {", ".join(_GAPS)}))),
+ gaps AS (SELECT row_id, c AS target, CASE WHEN x IS NULL THEN 1.0 ELSE 0.0 END AS gap FROM cells WHERE c <> 'price'),
+ counts AS (SELECT c, count(*) AS n, count(*) FILTER (x IS NULL) AS missing FROM cells GROUP BY c),
+ tests AS (
+  SELECT g.target, corr(v.x, g.gap) AS r FROM gaps g JOIN cells v ON g.row_id = v.row_id AND v.c <> g.target WHERE v.x IS NOT NULL
+  GROUP BY g.target, v.c HAVING sum(g.gap) >= 10 AND sum(1 - g.gap) >= 10
+  UNION ALL SELECT a.target, CASE WHEN corr(a.gap, b.gap) > 0 THEN corr(a.gap, b.gap) END FROM gaps a JOIN gaps b ON a.row_id = b.row_id AND a.target <> b.target
+  GROUP BY a.target, b.target HAVING sum(a.gap) >= 10 AND sum(b.gap) >= 10 AND sum(1 - a.gap) >= 10 AND sum(1 - b.gap) >= 10)
+ SELECT c AS "column", missing AS missing_count, CASE WHEN missing = 0 THEN 'none' WHEN c NOT IN (SELECT target FROM tests) THEN 'unknown'
+   WHEN c IN (SELECT target FROM tests WHERE abs(r) >= 0.3) THEN 'MAR' ELSE 'MCAR' END AS missing_pattern FROM counts"""
+
 MEDIAN_PRICE = "(SELECT quantile_cont(price, 0.5) FROM {source})"
 IQR_PRICE = "edges AS (SELECT quantile_cont(price, 0.25) AS q1, quantile_cont(price, 0.75) AS q3 FROM messy), outl AS (SELECT row_id FROM messy, edges WHERE price < q1 - 1.5 * (q3 - q1) OR price > q3 + 1.5 * (q3 - q1))"
 DATA_BUT = ", ".join(c for c in MESSY_COLUMNS if c not in ("price", "priority_label"))
@@ -315,9 +350,10 @@ def oracle_sql() -> dict[str, str]:
         "bad_lines": "SELECT count(*) FILTER (o_orderkey % 50 <> 1) AS kept, count(*) FILTER (o_orderkey % 50 = 2) AS padded, count(*) FILTER (o_orderkey % 50 = 1) AS dropped FROM orders",
         "input_guards": messy("SELECT count(*) AS rows, 10 AS columns, count(*) = 0 AS is_empty, true AS has_columns, count(*) > 100000 AS is_large FROM messy"),
         "preview": messy(f"SELECT row_id, {ALL} FROM messy ORDER BY row_id LIMIT 10"),
-        "write_csv": "SELECT event_id, user_id, event_type, value, props FROM events",
-        "write_parquet": f"WITH {EVENTS_NULL} SELECT * FROM events_null",
-        "row_numbers": "SELECT count(*) AS rows, CAST(0 AS BIGINT) AS first, count(*) - 1 AS last, count(*) AS distinct_ids FROM customer",
+        "write_csv": f"SELECT * REPLACE (strftime(ts, {DAY}) AS ts) FROM events",
+        "csv_text_roundtrip": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
+        "write_parquet": f"SELECT * REPLACE (CASE WHEN event_id % 7 < 2 THEN NULL ELSE value END AS value, strftime(ts, {DAY}) AS ts) FROM events",
+        "row_numbers": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _row_id, c_custkey FROM customer",
         "load_named": "SELECT c_mktsegment, count(*) AS rows FROM customer GROUP BY 1",
         "inject_mess": messy(f"SELECT row_id, {ALL} FROM messy"),
         "inject_mess_labels": f"WITH {CUSTOMER} SELECT * FROM customers",
@@ -344,7 +380,8 @@ def oracle_sql() -> dict[str, str]:
         "datetime_stats": messy(f"SELECT 'date_text' AS \"column\", strftime(min(d), {DAY}) AS min_date, strftime(max(d), {DAY}) AS max_date, CAST(floor((epoch_us(max(d)) - epoch_us(min(d))) / 86400000000.0) AS BIGINT) AS range_days FROM (SELECT {PARSED} AS d FROM messy)"),
         "datetime_stats_events": f"SELECT 'ts' AS \"column\", strftime(min(ts), {DAY}) AS min_date, strftime(max(ts), {DAY}) AS max_date, CAST(floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 86400000000.0) AS BIGINT) AS range_days FROM events",
         "text_stats": union([f"SELECT '{c}' AS \"column\", count(DISTINCT {c}) AS unique_count, round(avg(length({c})), 2) AS avg_length, CAST(max(length({c})) AS INTEGER) AS max_length, CAST(min(length({c})) AS INTEGER) AS min_length FROM documents" for c in ("text", "source")]),
-        "normaltest": OMNIBUS,
+        "normaltest": omnibus(long_numbers({c: c for c in LINE_NUMBERS}, "lineitem", "")),
+        "normality_small": omnibus(union([f"SELECT '{c}' AS \"column\", {c} AS x FROM {t}" for t, c in (("supplier", "s_acctbal"), ("customer", "c_acctbal"), ("part", "p_retailprice"), ("part", "p_size"))])),
         "datetime_gaps": f"WITH {GAPPY} {gaps_of('o_orderdate', 'gappy')}",
         "datetime_gaps_sparse": f"WITH {GAPPY}, firsts AS (SELECT o_custkey, min(o_orderdate) AS first_order FROM gappy GROUP BY 1) {gaps_of('first_order', 'firsts')}",
         "high_cardinality": union([f"SELECT '{c}' AS \"column\", round(count(DISTINCT {c}) / count({c}), 4) AS cardinality_ratio, count(DISTINCT {c}) / count({c}) > 0.5 AS high_cardinality FROM {t}" for t, c in (("lineitem", "l_returnflag"), ("lineitem", "l_linestatus"), ("customer", "c_name"))]),
@@ -365,6 +402,7 @@ def oracle_sql() -> dict[str, str]:
             'SELECT "column", missing_count, CASE WHEN missing_count = 0 THEN \'none\' WHEN "column" IN (SELECT target FROM related) THEN \'MAR\' ELSE \'MCAR\' END AS missing_pattern FROM cols',
             COLUMN_TABLE, BISERIAL, GAP_V, PHI, RELATED,
         ),
+        "patterns_wide": PATTERNS_WIDE,
         "iqr_fences": messy('SELECT "column", round(q1, 4) AS q1, round(q3, 4) AS q3, round(q1 - 1.5 * (q3 - q1), 4) AS lower, round(q3 + 1.5 * (q3 - q1), 4) AS upper FROM fences', NUM, FENCES),
         "iqr_outliers": messy('SELECT "column", row_id, x AS value FROM flags WHERE iqr', NUM, FENCES, FLAGS),
         "zscore_outliers": messy('SELECT "column", row_id, x AS value FROM flags WHERE zscore', NUM, FENCES, FLAGS),
@@ -379,17 +417,20 @@ def oracle_sql() -> dict[str, str]:
         "duplicate_texts": "SELECT doc_id FROM (SELECT doc_id, count(*) OVER (PARTITION BY text) AS n FROM documents) WHERE n > 1",
         "near_duplicates": messy("SELECT count(*) AS near_duplicate_count, round(100.0 * count(*) / (SELECT count(*) FROM messy), 2) AS near_duplicate_pct FROM near", NEAR),
         "near_duplicate_ids": messy("SELECT row_id FROM near", NEAR),
+        "near_without_id": messy("SELECT count(*) AS near_duplicate_count, round(100.0 * count(*) / (SELECT count(*) FROM messy), 2) AS near_duplicate_pct FROM near", NEAR),
+        "near_wide": NEAR_WIDE,
         "near_sample": messy("SELECT row_id FROM near ORDER BY 1 LIMIT 50", NEAR),
         "duplicate_sample": messy(f"SELECT row_id, {ALL} FROM copied ORDER BY row_id LIMIT 50", COPIES),
         "pearson": f"WITH {LINE_PAIRS}, {MIRRORED} SELECT col_a, col_b, round(value, 4) AS value FROM both_ways",
         "pearson_messy": messy(f"SELECT col_a, col_b, n, round(value, 4) AS value FROM ({pearson_rows(NUMBERS, 'messy')})"),
-        "pearson_wide": messy(f"SELECT col_a, col_b, n, round(value, 4) AS value FROM ({pearson_rows(NUMBERS, 'messy')})"),
+        "pearson_wide": f"WITH {WIDE_NUMBERS} SELECT col_a, col_b, n, round(value, 4) AS value FROM ({pearson_rows({f'n{i}': f'n{i}' for i in range(30)}, 'wide_numbers')})",
         "pearson_matrix": f"WITH {LINE_PAIRS}, {MIRRORED}, four AS (SELECT col_a, col_b, round(value, 4) AS value FROM both_ways) SELECT col_a AS \"column\", "
         + ", ".join(f"max(round(value, 3)) FILTER (col_b = '{c}') AS {c}" for c in LINE_NUMBERS)
         + " FROM four GROUP BY 1",
         "contingency": "SELECT 'l_returnflag' AS col_a, 'l_linestatus' AS col_b, l_returnflag AS value_a, l_linestatus AS value_b, count(*) AS count FROM lineitem GROUP BY ALL",
         "chi2": messy(f"SELECT col_a, col_b, n, rows_a, rows_b, round(chi2, 4) AS chi2 FROM ({cramers_rows(LABELS, 'messy')})"),
         "cramers_v": messy(f"SELECT col_a, col_b, round(value, 4) AS value FROM ({cramers_rows(LABELS, 'messy')})"),
+        "cramers_wide": f"WITH {WIDE_LABELS} SELECT col_a, col_b, n, round(value, 4) AS value FROM ({cramers_rows([f'g{i}' for i in range(20)], 'wide_labels')})",
         "cramers_table": f"WITH {HIGH_LINES} SELECT col_a, col_b, round(value, 4) AS cramers_v FROM ({cramers_rows(['l_returnflag', 'l_linestatus', 'ship_mode'], 'wide')})",
         "high_pairs": f"""WITH {HIGH_LINES} SELECT col_a, col_b, method, round(value, 4) AS value FROM (
           SELECT col_a, col_b, 'pearson' AS method, value FROM ({pearson_rows({c: c for c in [*LINE_NUMBERS, 'gross']}, 'wide')})
@@ -403,6 +444,8 @@ def oracle_sql() -> dict[str, str]:
         "drop_rows": messy("SELECT row_id, rating FROM messy WHERE rating IS NOT NULL"),
         "drop_column": messy("SELECT * EXCLUDE (rating) FROM messy"),
         "fill_mean": messy("SELECT row_id, round(coalesce(price, (SELECT avg(price) FROM messy)), 4) AS price FROM messy"),
+        "fill_mean_text": messy("SELECT row_id, round(CASE WHEN price_text IS NULL THEN (SELECT avg(TRY_CAST(price_text AS DOUBLE)) FROM messy) ELSE TRY_CAST(price_text AS DOUBLE) END, 4) AS price_text FROM messy"),
+        "convert_blanks": "SELECT o_orderkey AS row_id, CAST(o_orderkey % 1000 AS DOUBLE) AS number_text, CASE o_orderkey % 4 WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN true END AS flag_text, lower(o_orderpriority) AS label FROM orders",
         "fill_median": messy(f"SELECT row_id, coalesce(price, {MEDIAN_PRICE.format(source='messy')}) AS price FROM messy"),
         "fill_mode": messy("SELECT row_id, coalesce(rating, (SELECT rating FROM messy WHERE rating IS NOT NULL GROUP BY rating ORDER BY count(*) DESC, rating LIMIT 1)) AS rating FROM messy"),
         "fill_constant": messy("SELECT row_id, coalesce(price_text, '0.00') AS price_text FROM messy"),
@@ -453,7 +496,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT row_id, \"column\", missing FROM (SELECT *, max(missing) OVER (PARTITION BY \"column\") AS gappy FROM ("
             + union([f"SELECT row_id, '{c}' AS \"column\", CASE WHEN {c} IS NULL THEN 1 ELSE 0 END AS missing FROM first" for c in MESSY_COLUMNS])
             + ")) WHERE gappy = 1",
-            "first AS (SELECT * FROM messy ORDER BY row_id LIMIT 300)",
+            "first AS (SELECT * FROM messy)",
         ),
         "column_summary": messy(
             """SELECT cols."column", storage_type, inferred_type, CASE WHEN type_mismatch THEN 'Yes' ELSE 'No' END AS type_mismatch, missing_count,
@@ -499,7 +542,7 @@ def oracle_sql() -> dict[str, str]:
               coalesce((SELECT string_agg(concat("column", ' (', format('{:.1f}', missing_pct), '%)'), ', ' ORDER BY missing_pct DESC, position) FROM (SELECT * FROM cols WHERE missing_count > 0 ORDER BY missing_pct DESC, position LIMIT 5)), 'none') AS missing_summary,
               (SELECT exact_count FROM exact) AS duplicate_count,
               coalesce((SELECT string_agg(concat("column", ' (', iqr_count, ')'), ', ' ORDER BY iqr_count DESC, position) FROM (SELECT * FROM cols WHERE iqr_count > 0 ORDER BY iqr_count DESC, position LIMIT 5)), 'none detected') AS outlier_summary,
-              coalesce((SELECT string_agg(concat(severity, ' — ', message[1:60]), '; ' ORDER BY place) FROM (SELECT * FROM ranked ORDER BY place LIMIT 5)), 'none') AS recommendations""",
+              coalesce((SELECT string_agg(concat(severity, ' — ', message), '; ' ORDER BY place) FROM (SELECT * FROM ranked ORDER BY place LIMIT 5)), 'none') AS recommendations""",
             COLUMN_TABLE,
         ),
         "issue_list": messy("SELECT concat('- [', upper(severity), ']', CASE WHEN \"column\" IS NULL THEN '' ELSE concat(' [', \"column\", ']') END, ' ', message) AS line FROM ranked", COLUMN_TABLE),
@@ -525,4 +568,6 @@ def before_after_sql() -> str:
         UNION ALL SELECT 'missing_cells', (SELECT total_missing_cells FROM quality), (SELECT cells FROM after_missing)
         UNION ALL SELECT 'exact_duplicates', (SELECT exact_count FROM exact), 0
         UNION ALL SELECT 'quality_score', (SELECT quality_score FROM quality), (SELECT score FROM after_score))
-      SELECT metric, CAST(before AS BIGINT) AS before, CAST(after AS BIGINT) AS after, CAST(after - before AS BIGINT) AS delta FROM pairs"""
+      SELECT metric, CAST(before AS VARCHAR) AS before, CAST(after AS VARCHAR) AS after, CAST(after - before AS BIGINT) AS delta FROM pairs
+      UNION ALL SELECT 'quality_grade', (SELECT quality_grade FROM quality),
+        (SELECT CASE WHEN score >= 90 THEN 'A' WHEN score >= 80 THEN 'B' WHEN score >= 70 THEN 'C' WHEN score >= 60 THEN 'D' ELSE 'F' END FROM after_score), NULL"""

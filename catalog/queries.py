@@ -8,7 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.tables import MESSY_COLUMNS, customer_messy, events_null, orders_gappy, orders_messy, table
+from catalog.tables import (
+    MESSY_COLUMNS, WIDE_LABELS, WIDE_NUMBERS, customer_messy, events_null, orders_blank, orders_gappy, orders_messy,
+    orders_wide, table, wide_columns, wide_gaps, wide_labels, wide_numbers,
+)
 from gaugework.functions import scalars as S
 from gaugework.operators import cleaning, correlation, distributions, duplicates, frequency, missing, outliers, stats
 from gaugework.operators.summary import summarise
@@ -109,25 +112,26 @@ def preview(spark, sf):
 
 
 def write_csv(spark, sf):
-    events = table(spark, sf, "events").select("event_id", "user_id", "event_type", "value", "props")
-    path = files.write_csv(events, f"{scratch_path(spark, 'out')}-{files.cleaned_name('events.csv')}")
-    return files.read_csv(spark, path)
+    path = files.write_csv(table(spark, sf, "events"), f"{scratch_path(spark, 'out')}-{files.cleaned_name('events.csv')}")
+    return _as_text(cleaning.fix_types(files.read_csv(spark, path), "ts", "datetime"), "ts")
+
+
+def csv_text_roundtrip(spark, sf):
+    """Texts full of line breaks, commas and quotes, written and read again."""
+    path = files.write_csv(table(spark, sf, "documents").select("doc_id", "text"), scratch_path(spark, "texts") + ".csv")
+    return files.read_csv(spark, path).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
 def write_parquet(spark, sf):
     path = files.write_parquet(events_null(spark, sf), scratch_path(spark, "out") + ".parquet")
-    return files.load_table(spark, path).select("event_id", "value")
+    return _as_text(files.load_table(spark, path), "ts")
 
 
 def row_numbers(spark, sf):
-    path = files.write_csv(table(spark, sf, "customer"), scratch_path(spark, "numbered") + ".csv")
+    customers = table(spark, sf, "customer").orderBy("c_custkey")
+    path = files.write_csv(customers, scratch_path(spark, "numbered") + ".csv")
     numbered = files.read_csv(spark, path, row_ids=True)
-    return numbered.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("_row_id").alias("first"),
-        F.max("_row_id").alias("last"),
-        F.count_distinct("_row_id").alias("distinct_ids"),
-    )
+    return numbered.select("_row_id", "c_custkey")
 
 
 def load_named(spark, sf):
@@ -220,8 +224,8 @@ def text_stats(spark, sf):
     return stats.text_stats(table(spark, sf, "documents"), ["text", "source"])
 
 
-def shapiro(spark, sf):
-    """Whole columns of the small tables; above 5000 rows the rule itself switches test."""
+def normality_small(spark, sf):
+    """Whole columns of the small tables, by the same test as the large one's."""
     found = [
         distributions.normality(table(spark, sf, name), columns)
         for name, columns in (
@@ -294,8 +298,18 @@ def missing_tests(spark, sf):
 
 
 def missing_p_values(spark, sf):
+    """The p-values as far as they are not too small to compare; on this many rows t is normal."""
     messy, types, summary = _typed(spark, sf)
-    return missing.associations(messy, types, summary)
+    p = F.round(F.col("p_value"), 3).alias("p_value")
+    return missing.associations(messy, types, summary).select("target", "column", "method", p, "tests")
+
+
+def patterns_wide(spark, sf):
+    """Sixty columns with gaps, each tested against all others."""
+    wide = wide_gaps(spark, sf)
+    columns = [c for c in wide.columns if c != ID]
+    summary = summarise(wide, columns)
+    return missing.missing_pattern(wide, columns, infer_types(wide, summary))
 
 
 def missing_related(spark, sf):
@@ -358,6 +372,16 @@ def near_duplicates(spark, sf):
     return duplicates.near_duplicates(orders_messy(spark, sf), MESSY_COLUMNS, ID)
 
 
+def near_without_id(spark, sf):
+    """The same rows as a table without a key column."""
+    return duplicates.near_duplicates(orders_messy(spark, sf).drop(ID), MESSY_COLUMNS)
+
+
+def near_wide(spark, sf):
+    """Sixty columns, of which any single one may differ."""
+    return duplicates.near_duplicate_ids(orders_wide(spark, sf), wide_columns(), ID)
+
+
 def near_duplicate_ids(spark, sf):
     return duplicates.near_duplicate_ids(orders_messy(spark, sf), MESSY_COLUMNS, ID)
 
@@ -387,9 +411,8 @@ def pearson_messy(spark, sf):
 
 
 def pearson_wide(spark, sf):
-    """The matrix route, which tables with many numeric columns take."""
-    pairs = correlation.pearson_pairs(orders_messy(spark, sf), NUMBERS, pairwise_columns=2)
-    return _rounded(pairs, 4, "value")
+    """Thirty columns: the numbers, and multiples of them with gaps of their own."""
+    return _rounded(correlation.pearson_pairs(wide_numbers(spark, sf), [f"n{i}" for i in range(WIDE_NUMBERS)]), 4, "value")
 
 
 def pearson_matrix(spark, sf):
@@ -410,6 +433,12 @@ def cramers_v(spark, sf):
     return _rounded(pairs.select("col_a", "col_b", "value"), 4, "value")
 
 
+def cramers_wide(spark, sf):
+    """Twenty label columns: all 190 pairs."""
+    pairs = correlation.cramers_pairs(wide_labels(spark, sf), [f"g{i}" for i in range(WIDE_LABELS)])
+    return _rounded(pairs.select("col_a", "col_b", "n", "value"), 4, "value")
+
+
 def cramers_table(spark, sf):
     lines = table(spark, sf, "lineitem").withColumn("ship_mode", F.lower("l_returnflag"))
     return views.cramers_table(correlation.cramers_pairs(lines, ["l_returnflag", "l_linestatus", "ship_mode"]))
@@ -420,7 +449,7 @@ def high_pairs(spark, sf):
     lines = lines.withColumns({"gross": F.col("l_extendedprice") * 2, "flag": F.lower("l_returnflag")})
     numbers = correlation.pearson_pairs(lines, [*LINE_NUMBERS, "gross"])
     labels = correlation.cramers_pairs(lines, ["l_returnflag", "l_linestatus", "flag"])
-    return correlation.high_pairs(numbers, labels)
+    return correlation.high_pairs(numbers, labels, columns=lines.columns)
 
 
 def align_inner(spark, sf):
@@ -458,7 +487,9 @@ def column_report(spark, sf):
     """The whole column table, nested parts as text."""
     with _profile(spark, sf) as profile:
         found = _as_text(profile.column_table(), "min_date", "max_date")
-    return found.withColumns({c: F.to_json(c) for c in ("missing_related_to", "top_values")})
+    related = F.transform("missing_related_to", lambda r: F.concat_ws(":", r["column"], r["method"], F.format_string("%.3f", r["value"])))
+    top = F.transform("top_values", lambda r: F.concat_ws(":", r["value"], r["count"].cast("string")))
+    return found.withColumns({"missing_related_to": F.array_join(related, ";"), "top_values": F.array_join(top, ";")})
 
 
 # -- cleaning ----------------------------------------------------------------
@@ -479,6 +510,12 @@ def fill_mean(spark, sf):
     return _rounded(_missing("fill_mean", "price")(spark, sf), 4, "price")
 
 
+def fill_mean_text(spark, sf):
+    """The filled column read as numbers; a cell that is none stays without."""
+    filled = _missing("fill_mean", "price_text")(spark, sf)
+    return filled.select(ID, F.round(S.text_to_number(F.col("price_text")), 4).alias("price_text"))
+
+
 def _filled_events(strategy):
     def query(spark, sf):
         cleaned = cleaning.handle_missing(events_null(spark, sf), strategy, "value", order_by="event_id")
@@ -494,6 +531,14 @@ def _deduplicated(keep):
     return query
 
 
+def convert_blanks(spark, sf):
+    """Numbers, words and labels with tabs, line breaks and wide blanks around them."""
+    rows = orders_blank(spark, sf)
+    for column, target in (("number_text", "numeric"), ("flag_text", "boolean"), ("label", "lowercase")):
+        rows = cleaning.fix_types(rows, column, target)
+    return rows
+
+
 def dedup_labels(spark, sf):
     """Copies that keep their key, as a table without row ids has them."""
     return cleaning.remove_duplicates(customer_messy(spark, sf), "first")
@@ -661,6 +706,7 @@ def queries() -> dict:
         "input_guards": input_guards,
         "preview": preview,
         "write_csv": write_csv,
+        "csv_text_roundtrip": csv_text_roundtrip,
         "write_parquet": write_parquet,
         "row_numbers": row_numbers,
         "load_named": load_named,
@@ -690,7 +736,7 @@ def queries() -> dict:
         "datetime_stats": datetime_stats,
         "datetime_stats_events": datetime_stats_events,
         "text_stats": text_stats,
-        "shapiro": shapiro,
+        "normality_small": normality_small,
         "normaltest": normaltest,
         "datetime_gaps": datetime_gaps,
         "datetime_gaps_sparse": datetime_gaps_sparse,
@@ -706,6 +752,7 @@ def queries() -> dict:
         "missing_p_values": missing_p_values,
         "missing_related": missing_related,
         "missing_pattern": missing_pattern,
+        "patterns_wide": patterns_wide,
         # outliers
         "iqr_fences": iqr_fences,
         "iqr_outliers": _flagged("iqr"),
@@ -719,6 +766,8 @@ def queries() -> dict:
         "duplicate_rows": duplicate_rows,
         "duplicate_texts": duplicate_texts,
         "near_duplicates": near_duplicates,
+        "near_without_id": near_without_id,
+        "near_wide": near_wide,
         "near_duplicate_ids": near_duplicate_ids,
         "near_sample": near_sample,
         "duplicate_sample": duplicate_sample,
@@ -731,6 +780,7 @@ def queries() -> dict:
         "chi2": chi2,
         "cramers_v": cramers_v,
         "cramers_table": cramers_table,
+        "cramers_wide": cramers_wide,
         "high_pairs": high_pairs,
         "align_inner": align_inner,
         # report
@@ -745,7 +795,8 @@ def queries() -> dict:
         "drop_column": _missing("drop_column", "rating"),
         "fill_mean": fill_mean,
         "fill_median": _missing("fill_median", "price"),
-        "fill_mean_text": _missing("fill_mean", "price_text"),
+        "fill_mean_text": fill_mean_text,
+        "convert_blanks": convert_blanks,
         "fill_mode": _missing("fill_mode", "rating"),
         "fill_constant": _missing("fill_constant", "price_text", "0.00"),
         "ffill": _filled_events("ffill"),

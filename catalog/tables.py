@@ -84,7 +84,72 @@ def events_null(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def orders_gappy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` without March to August 1996."""
+    """``orders`` with the dates from March to August 1996 moved a year ahead."""
     day = F.col("o_orderdate").cast("date")
     hole = day.between(F.lit("1996-03-01").cast("date"), F.lit("1996-08-31").cast("date"))
-    return table(spark, sf_dir, "orders").filter(~hole)
+    later = F.timestamp_add("DAY", F.lit(365), F.col("o_orderdate"))
+    rule = mess.Rule("o_orderdate", hole, later)
+    return mess.inject_mess(table(spark, sf_dir, "orders"), "o_orderkey", [rule])
+
+
+def orders_blank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Numbers, words and labels of ``orders`` with blanks of all kinds around them."""
+    key = F.col("o_orderkey")
+    blanks = F.array(*map(F.lit, ("", " ", "\t", "\u00a0", " \n", "\u2003", "\u3000", "\r")))
+    blank = F.element_at(blanks, F.pmod(key, F.lit(8)).cast("int") + 1)
+    word = F.element_at(F.array(*map(F.lit, ("yes", "No", "TRUE", "f"))), F.pmod(key, F.lit(4)).cast("int") + 1)
+    return table(spark, sf_dir, "orders").select(
+        key.alias("row_id"),
+        F.concat(blank, F.pmod(key, F.lit(1000)).cast("string"), blank).alias("number_text"),
+        F.concat(blank, word, blank).alias("flag_text"),
+        F.concat(blank, "o_orderpriority", blank).alias("label"),
+    )
+
+
+WIDE_NUMBERS, WIDE_LABELS, WIDE_GAPS, WIDE_COLUMNS = 30, 20, 60, 60
+
+
+def wide_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thirty number columns of ``orders``; column i has a gap in every (i + 7)th row."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    held = [price * int(i % 3 == 0) + F.pmod(key * (i + 3), F.lit(97 + i)) * 1000.0 for i in range(WIDE_NUMBERS)]
+    return table(spark, sf_dir, "orders").select(
+        *[F.when(F.pmod(key, F.lit(i + 7)) != 0, x).alias(f"n{i}") for i, x in enumerate(held)]
+    )
+
+
+def wide_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty label columns of ``orders`` with 2 to 6 levels."""
+    key, customer = F.col("o_orderkey"), F.col("o_custkey")
+    return table(spark, sf_dir, "orders").select(
+        *[F.pmod(F.floor(key / (i + 1)) + customer % 2, F.lit(2 + i % 5)).cast("string").alias(f"g{i}") for i in range(WIDE_LABELS)]
+    )
+
+
+def wide_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The price of ``orders`` and sixty columns with gaps: in dear rows for every tenth column, else in every (i + 11)th row."""
+    key, price = F.col("o_orderkey"), F.col("o_totalprice")
+    gap = [price > 300_000 if i % 10 == 9 else F.pmod(key, F.lit(i + 11)) == 0 for i in range(WIDE_GAPS)]
+    return table(spark, sf_dir, "orders").select(
+        key.alias("row_id"), price.alias("price"), *[F.when(~g, F.lit(1.0) * F.pmod(key * 7 + i, F.lit(50))).alias(f"t{i}") for i, g in enumerate(gap)]
+    )
+
+
+def wide_columns() -> list[str]:
+    return [f"w{i}" for i in range(WIDE_COLUMNS)]
+
+
+def orders_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixty columns of ``orders``; every 40th row comes again with one column changed, every 60th unchanged."""
+    key = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(
+        key.alias("row_id"), *[F.pmod(key * (i + 1) + F.col("o_custkey"), F.lit(50 + i)).alias(c) for i, c in enumerate(wide_columns())]
+    )
+    again = rows.filter("row_id % 40 = 0")
+    odd = F.pmod(F.floor(F.col("row_id") / 40), F.lit(WIDE_COLUMNS))
+    changed = again.select(
+        (F.col("row_id") + 1_000_000_000).alias("row_id"),
+        *[F.when(odd == i, F.lit(-1)).otherwise(F.col(c)).alias(c) for i, c in enumerate(wide_columns())],
+    )
+    copies = rows.filter("row_id % 60 = 0").withColumn("row_id", F.col("row_id") + 2_000_000_000)
+    return rows.unionByName(changed).unionByName(copies)

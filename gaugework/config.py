@@ -31,23 +31,16 @@ class Thresholds:
     grade_c: int = 70
     grade_d: int = 60
     min_shared_rows: int = 10
-    cramers_columns: int = 15
-    near_duplicate_columns: int = 50
     sample_ids: int = 50
     top_values: int = 5
     min_rows_for_fences: int = 4
-    shapiro_rows: int = 5000
+    normality_rows: int = 8  # the moment test's normal scores need as many
     normality_alpha: float = 0.05
-    pattern_targets: int = 50
     pattern_min_rows: int = 10
     pattern_strength: float = 0.3
     pattern_max_p: float = 0.001
     pattern_listed: int = 5
-    pattern_numeric_columns: int = 50
-    pattern_categorical_columns: int = 15
-    pattern_cardinality: int = 50
     pattern_category_rows: int = 5
-    null_matrix_rows: int = 300
     kde_points: int = 300
     boxplot_sample: int = 300
 

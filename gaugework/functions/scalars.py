@@ -22,10 +22,10 @@ FALSE_TOKENS = ("false", "no", "n", "0")
 _INFINITE = r"(?i)^[+-]?inf(inity)?$"
 _NUMBER = r"(?i)^[+-]?((\d+\.?\d*|\.\d+)(e[+-]?\d+)?|inf(inity)?)$"
 _CLOCK = r"(?:[ T]\d{1,2}:\d{2}(?::\d{2}(?:\.\d{1,9})?)?(?:Z|[+-]\d{2}:\d{2})?)?"
-_ISO_TEXT = (
-    r"(?i)^\d{4}-\d{2}-\d{2}"
-    r"([ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:\d{2})?)?$"
-)
+# ISO 8601 in its extended form: a date, then maybe a time to the minute or finer, then maybe an offset.
+_ISO_DAY, _ISO_TIME = r"\d{4}-\d{2}-\d{2}", r"\d{2}:\d{2}(?::\d{2}(?:\.\d+)?)?"
+_ISO_OFFSET = r"(?:Z|[+-]\d{2}:\d{2})"
+_ISO_TEXT = f"(?i)^{_ISO_DAY}(?:[T ]{_ISO_TIME}{_ISO_OFFSET}?)?$"
 _ZONE_TEXT = r"(?i)\d:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
 _MONTHS = ("jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec")
 _MONTH_NAME = (
@@ -42,6 +42,15 @@ POSITIVE_INFINITY = float("inf")
 LONGEST_DATE = 80  # characters without the blanks around; every accepted spelling is shorter
 
 
+# All blanks of Unicode, as str.strip() takes them off.
+BLANKS = "".join(map(chr, [*range(9, 14), *range(28, 33), 133, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288]))
+
+
+def strip(text: Column) -> Column:
+    """The text without blanks of any kind at its ends."""
+    return F.btrim(text, F.lit(BLANKS))
+
+
 def storage_kind(data_type: T.DataType) -> str:
     """number, boolean, datetime, string, or other."""
     if isinstance(data_type, T.BooleanType):
@@ -70,7 +79,7 @@ def text_to_number(text: Column) -> Column:
     The pattern guards the cast, which alone would also accept ``1d``.  A
     decimal text too large for a double is not a number; ``inf`` is.
     """
-    trimmed = F.trim(text)
+    trimmed = strip(text)
     number = F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
     overflow = (F.abs(number) == POSITIVE_INFINITY) & ~trimmed.rlike(_INFINITE)
     return F.when(~overflow, number)
@@ -94,7 +103,7 @@ def is_infinite(number: Column) -> Column:
 
 
 def normal_label(text: Column) -> Column:
-    return F.lower(F.trim(text))
+    return F.lower(strip(text))
 
 
 def text_to_timestamp(text: Column) -> Column:
@@ -106,7 +115,7 @@ def text_to_timestamp(text: Column) -> Column:
     Values with an offset become that instant, others are read in the session
     time zone (UTC).
     """
-    short = F.when(F.length(F.trim(text)) <= LONGEST_DATE, F.trim(text))
+    short = F.when(F.length(strip(text)) <= LONGEST_DATE, strip(text))
     year_first = F.translate(short, "/", "-").try_cast("timestamp")
     plausible = short.rlike(r"^\w.*[-/. ]\d{4}")
     return F.when(short.rlike(_YEAR_FIRST), year_first).when(plausible, one_by_one(short, _read_year_last))
@@ -146,11 +155,11 @@ def as_timestamp(value: Column, kind: str) -> Column:
 
 
 def has_zone(text: Column) -> Column:
-    return F.trim(text).rlike(_ZONE_TEXT)
+    return strip(text).rlike(_ZONE_TEXT)
 
 
 def is_iso_text(text: Column) -> Column:
-    return F.trim(text).rlike(_ISO_TEXT)
+    return strip(text).rlike(_ISO_TEXT)
 
 
 def text_to_boolean(text: Column) -> Column:

@@ -14,66 +14,45 @@ from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
 from gaugework.operators.skew import join_on_counted_keys
 from gaugework.operators.summary import finite_view, summarise
-from gaugework.session import chunks, col, round_small, small_frame
+from gaugework.session import col, cut_lineage, round_small, small_frame
 
-PAIRWISE_COLUMNS = 10
-PAIRS_PER_JOB = 50
 PEARSON_SCHEMA = "col_a string, col_b string, n bigint, value double"
 V_SCHEMA = "col_a string, col_b string, n bigint, chi2 double, rows_a bigint, rows_b bigint, value double"
 
 
 def pearson_pairs(
-    df: DataFrame,
-    columns: list[str],
-    summary: dict[str, dict] | None = None,
-    thresholds: Thresholds = DEFAULTS,
-    pairwise_columns: int = PAIRWISE_COLUMNS,
+    df: DataFrame, columns: list[str], summary: dict[str, dict] | None = None, thresholds: Thresholds = DEFAULTS
 ) -> DataFrame:
     """col_a, col_b (a before b), n shared rows, unrounded r; NULL below the
     shared-row minimum or when a side is constant on the shared rows."""
     if len(columns) < 2:
         return small_frame(df.sparkSession, [], PEARSON_SCHEMA)
-    summary = summary or summarise(df, columns)
-    few = len(columns) <= pairwise_columns
-    found = _by_pair(df, columns, summary) if few else _by_matrix(df, columns, summary)
-    rows = []
-    for (a, b), (n, r) in found.items():
-        kept = n >= thresholds.min_shared_rows and r is not None
-        rows.append({"col_a": a, "col_b": b, "n": n, "value": max(-1.0, min(1.0, r)) if kept else None})
-    return small_frame(df.sparkSession, rows, PEARSON_SCHEMA)
-
-
-def _by_pair(df: DataFrame, columns: list[str], summary: dict[str, dict]) -> dict[tuple, tuple]:
-    """Few columns: one aggregate per pair, all in the JVM.  Columns without gaps
-    need no masking, and then their variance is one shared aggregate."""
-    found = {}
-    views = {c: finite_view(df, c) for c in columns}
-    position = {c: f"x{i}" for i, c in enumerate(columns)}
-    numbers = df.select(*[v.alias(position[c]) for c, v in views.items()])
-    full = {c: summary[c]["finite"] == summary[c]["rows"] for c in columns}
-
-    def masked(name: str, other: str) -> str:
-        x, y = position[name], position[other]
-        return x if full[other] else f"if({y} IS NULL, NULL, {x})"
-
-    for part in chunks(list(combinations(columns, 2)), PAIRS_PER_JOB):
-        metrics = []
-        for a, b in part:
-            x, y = masked(a, b), masked(b, a)
-            metrics += [
-                f"count({position[a]} + {position[b]})",
-                f"CASE WHEN min({x}) < max({x}) AND min({y}) < max({y}) THEN "
-                f"try_divide(covar_pop({position[a]}, {position[b]}), stddev_pop({x}) * stddev_pop({y})) END",
-            ]
-        values = numbers.selectExpr(*[f"{m} AS m{i}" for i, m in enumerate(metrics)]).first()
-        for i, pair in enumerate(part):
-            found[pair] = (values[2 * i], values[2 * i + 1])
-    return found
-
-
-def _by_matrix(df: DataFrame, columns: list[str], summary: dict[str, dict]) -> dict[tuple, tuple]:
-    """Many columns: each task reduces its rows to k x k sums of centred numbers
-    (NumPy matrix products), and only those sums are shuffled."""
+    total = _sums(df, columns, summary or summarise(df, columns))
+    other = total.select(
+        F.col("a").alias("b"), F.col("b").alias("a"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"),
+        F.col("low").alias("low_y"), F.col("high").alias("high_y"),
+    )
+    both = total.where("a < b").join(other, ["a", "b"])
+    n = F.col("n")
+    cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
+    spread = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
+    varied = (F.col("low") < F.col("high")) & (F.col("low_y") < F.col("high_y")) & (spread > 0)
+    r = F.when((n >= thresholds.min_shared_rows) & varied, cov / F.sqrt(spread))
+    names = F.array(*map(F.lit, columns))
+    return cut_lineage(
+        both.select(
+            F.element_at(names, F.col("a") + 1).alias("col_a"), F.element_at(names, F.col("b") + 1).alias("col_b"),
+            n.cast("bigint").alias("n"), F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("value"),
+        )
+    )
+
+
+def _sums(df: DataFrame, columns: list[str], summary: dict[str, dict]) -> DataFrame:
+    """Sums over the rows where both columns have a number, for each ordered pair of columns.
+
+    One scan for any number of columns: each task reduces its rows to k x k
+    sums of centred numbers (NumPy matrix products), and only those are shuffled.
+    """
     k = len(columns)
     centre = np.array([summary[c]["mean"] or 0.0 for c in columns])
     numbers = df.select(*[finite_view(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
@@ -104,20 +83,9 @@ def _by_matrix(df: DataFrame, columns: list[str], summary: dict[str, dict]) -> d
             yield pa.RecordBatch.from_arrays([pa.array(f) for f in flat], names=list(_PARTIAL))
 
     partial = numbers.mapInArrow(reduce_rows, ", ".join(f"{n} {t}" for n, t in _PARTIAL.items()))
-    total = partial.groupBy("a", "b").agg(
+    return partial.groupBy("a", "b").agg(
         *[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")], F.min("low").alias("low"), F.max("high").alias("high")
     )
-    cell = {(r["a"], r["b"]): r for r in total.collect()}
-    found = {}
-    for i, j in combinations(range(k), 2):
-        one, two = cell[i, j], cell[j, i]
-        n, r = one["n"], None
-        if n and one["low"] < one["high"] and two["low"] < two["high"]:
-            cov = one["sxy"] - one["sx"] * two["sx"] / n
-            spread = (one["sxx"] - one["sx"] ** 2 / n) * (two["sxx"] - two["sx"] ** 2 / n)
-            r = cov / spread**0.5 if spread > 0 else None
-        found[columns[i], columns[j]] = (int(n), r)
-    return found
 
 
 _PARTIAL = {
@@ -154,10 +122,12 @@ def pearson_matrix(long: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
-def contingency(df: DataFrame, columns: list[str], thresholds: Thresholds = DEFAULTS) -> DataFrame:
+def contingency(df: DataFrame, columns: list[str]) -> DataFrame:
     """col_a, col_b, value_a, value_b, count over the rows holding both values."""
-    columns = list(columns)[: thresholds.cramers_columns]
-    labels = df.select(*[col(c).cast("string").alias(f"c{i}") for i, c in enumerate(columns)])
+    places = {c: f"c{i}" for i, c in enumerate(columns)}
+    labels = df.select(*[col(c).cast("string").alias(n) for c, n in places.items()])
+    # rows alike in all labels are counted first, so that pairs are made of far fewer rows
+    labels = labels.groupBy(*places.values()).agg(F.count(F.lit(1)).alias("rows"))
     entries = [
         F.struct(
             F.lit(i).alias("i"), F.lit(j).alias("j"),
@@ -166,11 +136,11 @@ def contingency(df: DataFrame, columns: list[str], thresholds: Thresholds = DEFA
         for i, j in combinations(range(len(columns)), 2)
     ]
     cells = (
-        labels.select(F.explode(F.array(*entries)).alias("e"))
-        .select("e.*")
+        labels.select("rows", F.explode(F.array(*entries)).alias("e"))
+        .select("rows", "e.*")
         .filter(F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
         .groupBy("i", "j", "value_a", "value_b")
-        .agg(F.count(F.lit(1)).alias("count"))
+        .agg(F.sum("rows").alias("count"))
     )
     names = F.array(*map(F.lit, columns))
     return cells.select(
@@ -189,11 +159,10 @@ def cramers_pairs(df: DataFrame, columns: list[str], thresholds: Thresholds = DE
     totals; the row total is the sum over the very group being summed.  NULL
     below the shared-row minimum; 0 when a side has fewer than two levels.
     """
-    columns = list(columns)[: thresholds.cramers_columns]
     if len(columns) < 2:
         return small_frame(df.sparkSession, [], V_SCHEMA)
     pair = ["col_a", "col_b"]
-    cells = contingency(df, columns, thresholds)
+    cells = contingency(df, columns)
     totals = cells.groupBy(*pair, "value_b").agg(F.sum("count").alias("total_b"), F.count(F.lit(1)).alias("_cells"))
     weighted = join_on_counted_keys(cells, totals, [*pair, "value_b"], "_cells", "inner", ["value_a"])
     share = F.col("count").cast("double") * F.col("count") / F.col("total_b")
@@ -217,15 +186,20 @@ def cramers_pairs(df: DataFrame, columns: list[str], thresholds: Thresholds = DE
     return every.join(found, pair, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
 
-def high_pairs(pearson_found: DataFrame, cramers_found: DataFrame, thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    """col_a, col_b, method, value (4 decimals) of |value| >= 0.9, strongest first."""
+def high_pairs(
+    pearson_found: DataFrame, cramers_found: DataFrame, thresholds: Thresholds = DEFAULTS, columns: list[str] = ()
+) -> DataFrame:
+    """col_a, col_b, method, value (4 decimals) of |value| >= 0.9, strongest first; equal ones in
+    the order of ``columns``."""
     def strong(frame: DataFrame, method: str) -> DataFrame:
         return frame.filter(F.abs("value") >= thresholds.high_correlation).select(
             "col_a", "col_b", F.lit(method).alias("method"), F.bround("value", 4).alias("value")
         )
 
     both = strong(pearson_found, "pearson").unionByName(strong(cramers_found, "cramers_v"))
-    return both.orderBy(F.desc(F.abs("value")), F.desc("method"), "col_a", "col_b")
+    order = F.array(*map(F.lit, columns)) if columns else F.array().cast("array<string>")
+    places = [F.array_position(order, F.col(c)) for c in ("col_a", "col_b")]
+    return both.orderBy(F.desc(F.abs("value")), F.desc("method"), *places, "col_a", "col_b")
 
 
 def align_inner(

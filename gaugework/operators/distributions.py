@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
-from gaugework.functions.tails import shapiro_wilk
 from gaugework.operators.ordered import day_gaps
-from gaugework.operators.stats import categorical_stats
-from gaugework.operators.summary import kinds, number_view, summarise
+from gaugework.operators.stats import distinct_texts, present_counts, rounded
+from gaugework.operators.summary import kinds, summarise
 from gaugework.session import col, small_frame
 
 NORMALITY_SCHEMA = "column string, n bigint, test string, p_value double, is_normal boolean"
@@ -23,37 +19,21 @@ GAP_SCHEMA = "column string, max_gap_days bigint, gap_count bigint, median_gap_d
 def normality_facts(
     df: DataFrame, columns: list[str], summary: dict[str, dict], thresholds: Thresholds = DEFAULTS
 ) -> dict[str, dict]:
-    """{column: test, p_value, is_normal}; no test below 3 values or without spread."""
-    testable = [c for c in columns if summary[c]["finite"] >= 3 and summary[c]["std"]]
-    short = [c for c in testable if summary[c]["finite"] <= thresholds.shapiro_rows]
-    long = [c for c in testable if c not in short]
-    p_values = _shapiro(df, short) | _omnibus(df, long, summary)
+    """{column: test, p_value, is_normal} of the moment test; none where it is undefined: below
+    ``normality_rows`` values or without spread."""
+    testable = [c for c in columns if summary[c]["finite"] >= thresholds.normality_rows and summary[c]["std"]]
+    p_values = _omnibus(df, testable, summary)
     result = {}
     for c in columns:
         p = p_values.get(c)
         result[c] = {
-            "test": None if c not in testable else "shapiro" if c in short else "k2",
+            "test": "k2" if c in testable else None,
             "p_value": None if p is None else round(p, 6),
             "is_normal": None if p is None else p >= thresholds.normality_alpha,
         }
     return result
 
 
-def _shapiro(df: DataFrame, columns: list[str]) -> dict[str, float]:
-    """One task per column, each holding no more than the 5000 values of the rule."""
-    if not columns:
-        return {}
-    entries = [F.struct(F.lit(c).alias("column"), S.finite(number_view(df, c)).alias("x")) for c in columns]
-    values = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter(F.col("x").isNotNull())
-
-    def test(group: pd.DataFrame) -> pd.DataFrame:
-        _, p = shapiro_wilk(group["x"].to_numpy(np.float64))
-        return pd.DataFrame({"column": [group["column"].iloc[0]], "p": [p]})
-
-    schema = T.StructType([T.StructField("column", T.StringType()), T.StructField("p", T.DoubleType())])
-    return {r["column"]: r["p"] for r in values.groupBy("column").applyInPandas(test, schema).collect()}
-
-
 def _omnibus(df: DataFrame, columns: list[str], summary: dict[str, dict]) -> dict[str, float]:
     if not columns:
         return {}
@@ -64,7 +44,7 @@ def _omnibus(df: DataFrame, columns: list[str], summary: dict[str, dict]) -> dic
 
 
 def normality(df: DataFrame, columns: list[str], thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    """Shapiro-Wilk up to 5000 values, the K-squared moment test beyond."""
+    """The K-squared moment test, from one aggregation however long the columns are."""
     summary = summarise(df, columns)
     facts = normality_facts(df, columns, summary, thresholds)
     rows = [{"column": c, "n": summary[c]["finite"], **facts[c]} for c in columns]
@@ -106,8 +86,9 @@ def datetime_gaps(df: DataFrame, columns: list[str], buckets: int | None = None)
 
 def high_cardinality(df: DataFrame, columns: list[str], thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """column, cardinality_ratio, high_cardinality."""
-    return categorical_stats(df, columns).select(
-        "column",
-        "cardinality_ratio",
-        (F.col("cardinality_ratio") > thresholds.high_cardinality).alias("high_cardinality"),
-    )
+    present, distinct = present_counts(df, columns), distinct_texts(df, columns)
+    rows = []
+    for c in columns:
+        ratio = distinct[c] / present[c] if present[c] else 0.0
+        rows.append({"column": c, "cardinality_ratio": rounded(ratio, 4), "high_cardinality": ratio > thresholds.high_cardinality})
+    return small_frame(df.sparkSession, rows, "column string, cardinality_ratio double, high_cardinality boolean")

@@ -1,7 +1,8 @@
 """Exact duplicate rows, and rows that differ in a single column.
 
-Only 16-byte fingerprints travel for the whole table.  They merely suggest
-duplicates: the suggested rows are compared on their real values.
+A row is known by its fingerprint, two 128-bit halves: one of its first columns
+and one of its last.  Only ids and fingerprints are shuffled; a row's values
+are read again only when they are part of the result.
 """
 
 from __future__ import annotations
@@ -11,12 +12,16 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.config import DEFAULTS, Thresholds
+from gaugework.config import DEFAULTS
 from gaugework.functions import scalars as S
 from gaugework.operators.skew import join_on_counted_keys
 from gaugework.session import col, cut_lineage
 
-_A, _B, _COPIES, _POSITION = "_print_a", "_print_b", "_copies", "_position"
+_FIRST, _LAST = ["_first_a", "_first_b"], ["_last_a", "_last_b"]
+_PRINT = [*_FIRST, *_LAST]
+_COPIES, _POSITION, _KEY = "_copies", "_position", ["_key_a", "_key_b"]
+BROADCAST_IDS = 1_000_000  # ids of a side that is broadcast, at most
+OWN_ID = "_own_id"
 
 
 def _plain(df: DataFrame, name: str) -> Column:
@@ -32,149 +37,113 @@ def _term(df: DataFrame, name: str, position: int, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(position), value.isNull(), value)
 
 
-def _fingerprint(df: DataFrame, columns: list[str], seed: int) -> Column:
-    terms = [_term(df, c, i, seed) for i, c in enumerate(columns)]
-    return reduce(lambda a, b: a.bitwiseXOR(b), terms)
+def _halves(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """The fingerprint: per half and seed the exclusive or of the cells' hashes."""
+    middle = len(columns) // 2
+    found = {}
+    for names, part in ((_FIRST, range(middle)), (_LAST, range(middle, len(columns)))):
+        for seed, name in enumerate(names, 1):
+            terms = [_term(df, columns[i], i, seed) for i in part]
+            found[name] = reduce(lambda a, b: a.bitwiseXOR(b), terms, F.lit(0).cast("bigint"))
+    return found
 
 
-def _printed(df: DataFrame, columns: list[str]) -> DataFrame:
-    return df.withColumns({_A: _fingerprint(df, columns, 1), _B: _fingerprint(df, columns, 2)})
+def fingerprints(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+    """Row id and fingerprint of every row, written once for all that follows."""
+    return cut_lineage(df.select(col(row_id), *[v.alias(n) for n, v in _halves(df, columns).items()]))
 
 
-def suspect_rows(df: DataFrame, columns: list[str], row_id: str | None = None) -> DataFrame:
-    """Rows whose fingerprint occurs more than once: all that can be duplicates.
+def numbered(df: DataFrame) -> DataFrame:
+    """The table with an id of its own, written so that the ids hold; for tables without one."""
+    return cut_lineage(df.withColumn(OWN_ID, F.monotonically_increasing_id()))
 
-    Written to the shared folder, because counting and listing both start here.
-    """
-    kept = [*([row_id] if row_id else []), *columns]
-    printed = _printed(df, columns).select(*map(col, kept), _A, _B)
-    repeated = printed.groupBy(_A, _B).agg(F.count(F.lit(1)).alias(_COPIES)).filter(F.col(_COPIES) > 1)
-    spread = row_id or "_spread"
-    if not row_id:  # copies are alike, so only their place can tell them apart
-        printed = printed.withColumn(spread, F.monotonically_increasing_id())
-    found = join_on_counted_keys(printed, repeated, [_A, _B], _COPIES, "left_semi", [spread])
-    return cut_lineage(found.select(*map(col, kept), _A, _B))
-
-
-def _groups(suspects: DataFrame, columns: list[str]) -> DataFrame:
-    """The duplicate groups themselves, by value, with their number of copies."""
-    return (
-        suspects.groupBy(_A, _B, *[_plain(suspects, c).alias(c) for c in columns])
-        .agg(F.count(F.lit(1)).alias(_COPIES))
-        .filter(F.col(_COPIES) > 1)
-    )
 
+def exact_duplicates(df: DataFrame, columns: list[str], prints: DataFrame | None = None) -> DataFrame:
+    """rows, exact_count (droppable rows), exact_pct, rows_in_groups: one row.
 
-def exact_duplicates(
-    df: DataFrame, columns: list[str], rows: int | None = None, suspects: DataFrame | None = None
-) -> DataFrame:
-    """rows, exact_count (droppable rows), exact_pct, rows_in_groups: one row."""
-    if rows is None:
-        rows = df.agg(F.count(F.lit(1))).first()[0]
-    suspects = suspect_rows(df, columns) if suspects is None else suspects
-    counted = _groups(suspects, columns).agg(
+    One scan and one exchange, of fingerprints counted by each task.
+    """
+    prints = df.select(*[v.alias(n) for n, v in _halves(df, columns).items()]) if prints is None else prints
+    groups = prints.groupBy(*_PRINT).agg(F.count(F.lit(1)).alias(_COPIES))
+    counted = groups.agg(
+        F.coalesce(F.sum(_COPIES), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.col(_COPIES) - 1), F.lit(0)).alias("exact_count"),
-        F.coalesce(F.sum(_COPIES), F.lit(0)).alias("rows_in_groups"),
-    )
-    share = F.bround(F.try_divide(F.col("exact_count") * 100, F.lit(rows)), 2)
-    return counted.select(
-        F.lit(rows).cast("bigint").alias("rows"),
-        "exact_count",
-        F.coalesce(share, F.lit(0.0)).alias("exact_pct"),
-        "rows_in_groups",
+        F.coalesce(F.sum(F.when(F.col(_COPIES) > 1, F.col(_COPIES))), F.lit(0)).alias("rows_in_groups"),
     )
+    share = F.bround(F.try_divide(F.col("exact_count") * 100, F.col("rows")), 2)
+    return counted.select("rows", "exact_count", F.coalesce(share, F.lit(0.0)).alias("exact_pct"), "rows_in_groups")
 
 
-def duplicate_rows(
-    df: DataFrame, columns: list[str], row_id: str, suspects: DataFrame | None = None
-) -> DataFrame:
+def duplicate_ids(prints: DataFrame, row_id: str) -> DataFrame:
+    """Ids of the rows that have an exact copy, the first of each group included."""
+    repeated = prints.groupBy(*_PRINT).agg(F.count(F.lit(1)).alias(_COPIES)).filter(F.col(_COPIES) > 1)
+    return join_on_counted_keys(prints, repeated, _PRINT, _COPIES, "left_semi", [row_id]).select(col(row_id))
+
+
+def duplicate_rows(df: DataFrame, columns: list[str], row_id: str, prints: DataFrame | None = None) -> DataFrame:
     """Every row that has an exact copy, including the first of each group."""
-    suspects = suspect_rows(df, columns, row_id) if suspects is None else suspects
-    groups = _groups(suspects, columns)
-    kept = suspects.withColumns({c: _plain(suspects, c) for c in columns})
-    same = join_on_counted_keys(kept, groups, [_A, _B], _COPIES, "left_semi", [row_id], null_safe=columns)
-    return same.select(col(row_id), *map(col, columns))
+    prints = fingerprints(df, columns, row_id) if prints is None else prints
+    ids = cut_lineage(duplicate_ids(prints, row_id))
+    return rows_with_ids(df, ids, row_id).select(col(row_id), *[_plain(df, c).alias(c) for c in columns])
 
 
 def near_duplicate_ids(
-    df: DataFrame,
-    columns: list[str],
-    row_id: str,
-    unique_columns: list[str] = (),
-    suspects: DataFrame | None = None,
-    thresholds: Thresholds = DEFAULTS,
+    df: DataFrame, columns: list[str], row_id: str, unique_columns: list[str] = (), prints: DataFrame | None = None
 ) -> DataFrame:
     """Row ids equal to some other row on all columns but one, without the rows
     that have an exact copy.
 
-    Every row gives one key per column: its fingerprint without that column.  A
-    key counts when rows under it differ.  ``unique_columns`` are columns known
-    to repeat no value; two rows always differ there, so with one such column
-    no other column can be the odd one out, and with two there are no
-    near-duplicates.
+    Two such rows agree on one half of their columns, so first the rows that
+    share a half with a different row are found.  Each of these gives one key
+    per column, its fingerprint without that column; a key counts when rows
+    under it differ.  ``unique_columns`` are columns known to repeat no value;
+    two rows always differ there, so with one such column no other column can
+    be the odd one out, and with two there are no near-duplicates.
     """
-    empty = df.select(col(row_id)).limit(0)
-    if not 2 <= len(columns) <= thresholds.near_duplicate_columns or len(unique_columns) > 1:
-        return empty
+    if len(columns) < 2 or len(unique_columns) > 1:
+        return df.select(col(row_id)).limit(0)
+    prints = fingerprints(df, columns, row_id) if prints is None else prints
+    halves = [_differing(prints, half, row_id) for half in (_FIRST, _LAST)]
+    thinned = cut_lineage(halves[0].unionByName(halves[1]).distinct())
+    rows = rows_with_ids(df, thinned, row_id)
     odd = [i for i, c in enumerate(columns) if not unique_columns or c in unique_columns]
-    printed = _printed(df, columns)
-    keys = F.array(
-        *[
-            F.struct(
-                F.lit(i).alias(_POSITION),
-                F.col(_A).bitwiseXOR(_term(df, columns[i], i, 1)).alias("_key_a"),
-                F.col(_B).bitwiseXOR(_term(df, columns[i], i, 2)).alias("_key_b"),
-            )
-            for i in odd
-        ]
-    )
-    keyed = printed.select(col(row_id), _A, _B, F.explode(keys).alias("k")).select(row_id, _A, _B, "k.*")
-    on = [_POSITION, "_key_a", "_key_b"]
-    whole = F.struct(_A, _B)
+    whole = _halves(rows, columns)
+    sides = [whole[a].bitwiseXOR(whole[b]) for a, b in zip(_FIRST, _LAST)]
+    keys = [
+        F.struct(
+            F.lit(i).alias(_POSITION),
+            *[F.col(f"_side{s}").bitwiseXOR(_term(rows, columns[i], i, s + 1)).alias(_KEY[s]) for s in (0, 1)],
+        )
+        for i in odd
+    ]
+    rows = rows.withColumns({f"_side{s}": side for s, side in enumerate(sides)} | whole)
+    keyed = cut_lineage(rows.select(col(row_id), *_PRINT, F.explode(F.array(*keys)).alias("k")).select(row_id, *_PRINT, "k.*"))
+    candidates = _differing(keyed, [_POSITION, *_KEY], row_id).distinct()
+    return candidates.join(duplicate_ids(prints, row_id), row_id, "left_anti")
+
+
+def _differing(rows: DataFrame, on: list[str], row_id: str) -> DataFrame:
+    """Ids of the rows that share a key with a different row."""
+    whole = F.struct(*_PRINT)
     shared = (
-        keyed.groupBy(*on)
+        rows.groupBy(*on)
         .agg(F.count(F.lit(1)).alias(_COPIES), F.min(whole).alias("_low"), F.max(whole).alias("_high"))
         .filter(F.col("_low") != F.col("_high"))
         .select(*on, _COPIES)
     )
-    candidates = join_on_counted_keys(keyed, shared, on, _COPIES, "left_semi", [row_id])
-    confirmed = _confirm(df, columns, row_id, cut_lineage(candidates.select(row_id, _POSITION)))
-    copies = duplicate_rows(df, columns, row_id, suspects).select(col(row_id))
-    return confirmed.join(copies, row_id, "left_anti")
-
-
-def _confirm(df: DataFrame, columns: list[str], row_id: str, candidates: DataFrame) -> DataFrame:
-    """Candidates whose other columns really are equal to those of a different row."""
-    texts = [F.coalesce(F.concat(F.lit("="), _plain(df, c).cast("string")), F.lit("-")) for c in columns]
-    sized = [F.concat(F.length(t).cast("string"), F.lit(":"), t) for t in texts]
-    cells = df.select(col(row_id), F.array(*sized).alias("_cells"))
-    other = F.transform(
-        F.col("_cells"), lambda cell, i: F.when(i == F.col(_POSITION), F.lit("")).otherwise(cell)
-    )
-    digests = cut_lineage(
-        candidates.join(cells, row_id).select(
-            row_id,
-            _POSITION,
-            F.sha2(F.concat_ws("", other), 256).alias("_rest"),
-            F.sha2(F.element_at("_cells", F.col(_POSITION) + 1), 256).alias("_own"),
-        )
-    )
-    on = [_POSITION, "_rest"]
-    real = (
-        digests.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias(_COPIES), F.min("_own").alias("_low"), F.max("_own").alias("_high"))
-        .filter(F.col("_low") != F.col("_high"))
-        .select(*on, _COPIES)
-    )
-    return join_on_counted_keys(digests, real, on, _COPIES, "left_semi", [row_id]).select(row_id).distinct()
+    return join_on_counted_keys(rows, shared, on, _COPIES, "left_semi", [row_id]).select(col(row_id))
 
 
-def near_duplicates(df: DataFrame, columns: list[str], row_id: str, unique_columns: list[str] = ()) -> DataFrame:
-    """near_duplicate_count and near_duplicate_pct: one row."""
-    rows = df.agg(F.count(F.lit(1))).first()[0]
-    ids = near_duplicate_ids(df, columns, row_id, unique_columns)
+def near_duplicates(
+    df: DataFrame, columns: list[str], row_id: str | None = None, unique_columns: list[str] = ()
+) -> DataFrame:
+    """near_duplicate_count and near_duplicate_pct: one row.  Without ``row_id`` the rows get ids of their own."""
+    if row_id is None:
+        df, row_id = numbered(df), OWN_ID
+    prints = fingerprints(df, columns, row_id)
+    ids = near_duplicate_ids(df, columns, row_id, unique_columns, prints)
     counted = ids.agg(F.count(F.lit(1)).alias("near_duplicate_count"))
-    share = F.bround(F.try_divide(F.col("near_duplicate_count") * 100, F.lit(rows)), 2)
+    share = F.bround(F.try_divide(F.col("near_duplicate_count") * 100, F.lit(prints.count())), 2)
     return counted.select("near_duplicate_count", F.coalesce(share, F.lit(0.0)).alias("near_duplicate_pct"))
 
 
@@ -184,5 +153,6 @@ def first_ids(ids: DataFrame, row_id: str, limit: int = DEFAULTS.sample_ids) ->
 
 
 def rows_with_ids(df: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
-    """The rows behind a bounded id sample."""
-    return df.join(F.broadcast(ids), row_id, "left_semi")
+    """The rows behind some ids; these are broadcast only when they have been counted and are few."""
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, row_id, "left_semi")

@@ -15,14 +15,13 @@ from pyspark.sql import functions as F
 from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
 from gaugework.functions.tails import chi_square_p_udf, correlation_p_udf
-from gaugework.operators.stats import distinct_texts, rounded
+from gaugework.operators.stats import rounded
 from gaugework.operators.summary import finite_view, long_form, summarise
 from gaugework.operators.types import CATEGORY_TYPES, NUMERIC_TYPES
 from gaugework.session import chunks, col, small_frame
 
 PER_COLUMN_SCHEMA = "column string, missing_count bigint, missing_pct double"
 OVERALL_SCHEMA = "total_missing_cells bigint, overall_missing_pct double"
-PAIR_SCHEMA = "target string, column string, n bigint, n_missing bigint, sum_missing double, sxx double"
 MIXED_METHOD = "point_biserial"
 
 
@@ -90,16 +89,19 @@ def long_form_of(frame: DataFrame, key: str, columns: dict[str, str]) -> DataFra
 
 
 def missing_phi(
-    df: DataFrame, columns: list[str] | None = None, thresholds: Thresholds = DEFAULTS
+    df: DataFrame,
+    columns: list[str] | None = None,
+    thresholds: Thresholds = DEFAULTS,
+    known_counts: tuple[int, dict[str, int]] | None = None,
 ) -> DataFrame:
     """target, column, n, value: correlation of the two missing indicators.
 
     Only columns with enough missing and enough present rows take part.
+    ``known_counts`` are the rows and the gaps per column, when already counted.
     """
-    rows, counts = null_counts(df, columns or df.columns)
+    rows, counts = known_counts or null_counts(df, columns or df.columns)
     least = thresholds.pattern_min_rows
     tested = [c for c, n in counts.items() if n >= least and rows - n >= least]
-    tested = tested[: thresholds.pattern_targets]
     empty = small_frame(df.sparkSession, [], "target string, column string, n bigint, value double")
     if len(tested) < 2:
         return empty
@@ -206,17 +208,12 @@ def missing_cramers(
     )
 
 
-def eligible_columns(
-    df: DataFrame, types: dict[str, dict], nulls: dict[str, int], thresholds: Thresholds = DEFAULTS
-) -> tuple[list[str], list[str], list[str]]:
-    """Targets, numeric and categorical comparison columns, each up to its limit."""
-    targets = [c for c, n in nulls.items() if n][: thresholds.pattern_targets]
-    numeric = [c for c in nulls if types[c]["inferred_type"] in NUMERIC_TYPES][: thresholds.pattern_numeric_columns]
-    groups = [c for c in nulls if types[c]["inferred_type"] in CATEGORY_TYPES] if targets else []
-    unknown = [c for c in groups if "distinct" not in types[c]]
-    distinct = {c: types[c]["distinct"] for c in groups if c not in unknown} | distinct_texts(df, unknown)
-    small = [c for c in groups if distinct[c] <= thresholds.pattern_cardinality]
-    return targets, numeric, small[: thresholds.pattern_categorical_columns]
+def eligible_columns(types: dict[str, dict], nulls: dict[str, int]) -> tuple[list[str], list[str], list[str]]:
+    """Targets (columns with gaps), numeric and categorical comparison columns; a
+    category's rare levels are left out when it is tested."""
+    targets = [c for c, n in nulls.items() if n]
+    numeric = [c for c in nulls if types[c]["inferred_type"] in NUMERIC_TYPES]
+    return targets, numeric, [c for c in nulls if types[c]["inferred_type"] in CATEGORY_TYPES] if targets else []
 
 
 def associations(
@@ -227,10 +224,11 @@ def associations(
 ) -> DataFrame:
     """All tested pairs: target, column, method, value, p_value, tests (per target)."""
     nulls = {c: f["nulls"] for c, f in summary.items()}
-    targets, numeric, categories = eligible_columns(df, types, nulls, thresholds)
+    targets, numeric, categories = eligible_columns(types, nulls)
     with_number = point_biserial(df, targets, numeric, summary, thresholds)
     with_category = missing_cramers(df, targets, categories, thresholds)
-    with_gap = missing_phi(df, targets, thresholds) if targets else with_number.limit(0)
+    rows = next((f["rows"] for f in summary.values()), 0)
+    with_gap = missing_phi(df, targets, thresholds, (rows, {c: nulls[c] for c in targets})) if targets else with_number.limit(0)
 
     def tested(frame: DataFrame, method: str, p: Column) -> DataFrame:
         return frame.select("target", "column", F.lit(method).alias("method"), "value", p.alias("p_value"))
@@ -291,7 +289,7 @@ def pattern_facts(
 
 
 def cut_small(tests: DataFrame) -> DataFrame:
-    """The test table (at most 50 x 115 rows) held as values, so it is computed once."""
+    """The test table (one row per tested pair of columns) held as values, so it is computed once."""
     rows = [r.asDict() for r in tests.collect()]
     schema = "target string, column string, method string, value double, p_value double, tests bigint"
     return small_frame(tests.sparkSession, rows, schema)

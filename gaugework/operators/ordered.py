@@ -2,14 +2,19 @@
 
 The order is cut into consecutive buckets of similar size.  A window runs inside
 each bucket; what has to cross a bucket border (the last known value, the last
-timestamp) is one row per bucket, carried over in a table of at most
-``MAX_BUCKETS`` rows that is safe to broadcast.  Bucket borders come from a
-bounded sample and are literals, so every task and every retry cuts alike;
-they only steer balance, never the result.
+timestamp) is one row per bucket, carried over in a table of one row per
+``ROWS_PER_BUCKET`` rows.  Bucket borders come from a bounded sample and are
+literals, so every task and every retry cuts alike; they only steer balance,
+never the result.  Where many rows have equal order keys, or none, buckets are
+cut among them too: by a hash of the whole row.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
+from dataclasses import dataclass
+
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,10 +24,10 @@ from gaugework.session import col, cut_lineage
 
 ROWS_PER_BUCKET = 1_000_000
 MIN_ROWS_PER_BUCKET = 5_000
-MAX_BUCKETS = 4_096
 SAMPLE_ROWS = 100_000
 
-_BUCKET, _KEY, _CARRY = "_bucket", "_bucket_key", "_carry"
+_BUCKET, _KEY, _TIE, _CARRY = "_bucket", "_bucket_key", "_bucket_tie", "_carry"
+_MOST_PARTS = 1 << 32
 
 
 def order_number(df: DataFrame, order_by: str) -> Column:
@@ -35,43 +40,76 @@ def order_number(df: DataFrame, order_by: str) -> Column:
     raise ValueError(f"order column '{order_by}' must be a number, date or timestamp")
 
 
-def order_borders(df: DataFrame, order_by: str, buckets: int | None = None) -> list[float]:
-    """Border values that cut the order into buckets of similar size.
+@dataclass(frozen=True)
+class Borders:
+    """Values that cut the order into buckets of similar size.
 
-    Keys should be (nearly) unique: equal keys share a bucket.
+    A value listed several times has that many buckets of its own; rows without
+    a key come first, in ``null_parts`` buckets.
     """
+
+    values: list[float]
+    null_parts: int = 1
+
+
+def order_borders(df: DataFrame, order_by: str, buckets: int | None = None) -> Borders:
+    """Borders for so many buckets, by default for ``ROWS_PER_BUCKET`` rows in each."""
     keys = df.select(order_number(df, order_by).alias("k"))
-    rows = keys.agg(F.count("k")).first()[0]
+    rows, nulls = keys.agg(F.count("k"), F.count_if(F.col("k").isNull())).first()
     if buckets is None:
         parallel = 2 * df.sparkSession.sparkContext.defaultParallelism
         buckets = max(-(-rows // ROWS_PER_BUCKET), min(parallel, rows // MIN_ROWS_PER_BUCKET))
-    buckets = int(min(MAX_BUCKETS, max(1, buckets)))
+    buckets = int(max(1, buckets))
+    null_parts = max(1, -(-nulls // ROWS_PER_BUCKET))
     if buckets == 1:
-        return []
+        return Borders([], null_parts)
     share = min(1.0, SAMPLE_ROWS / max(rows, 1))
     sampled = keys.sample(share, seed=17) if share < 1.0 else keys
     cuts = [i / buckets for i in range(1, buckets)]
     found = sampled.agg(F.approx_percentile("k", cuts, 10 * buckets)).first()[0]
-    return sorted(set(found or []))
+    return Borders(sorted(found or []), null_parts)
 
 
-def cut_in_order(df: DataFrame, order_by: str, borders: list[float]) -> DataFrame:
-    """Adds ``_bucket``, rising with ``order_by``."""
-    if not borders:
-        return df.withColumn(_BUCKET, F.lit(0))
-    splits = [float("-inf"), *borders, float("inf")]
-    cutter = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep")
-    cut = cutter.transform(df.withColumn(_KEY, order_number(df, order_by)))
-    return cut.withColumn(_BUCKET, F.coalesce(F.col(_BUCKET).cast("int"), F.lit(0))).drop(_KEY)
+def _tie(df: DataFrame) -> Column:
+    """What orders rows with equal keys: a hash of the whole row."""
+    return F.xxhash64(*map(col, df.columns))
+
+
+def cut_in_order(df: DataFrame, order_by: str, borders: Borders | list[float]) -> DataFrame:
+    """Adds ``_bucket``, rising with ``order_by`` and, among equal keys, with ``_tie``."""
+    borders = borders if isinstance(borders, Borders) else Borders(list(borders))
+    parts = {v: n for v, n in Counter(borders.values).items() if n > 1}
+    # a value with buckets of its own is cut off on both sides
+    edges = sorted({*borders.values, *(math.nextafter(v, math.inf) for v in parts)})
+    tied = df.withColumns({_KEY: order_number(df, order_by), _TIE: _tie(df)})
+    if edges:
+        splits = [-math.inf, *edges, math.inf]
+        cutter = Bucketizer(splits=splits, inputCol=_KEY, outputCol=_BUCKET, handleInvalid="keep")
+        tied = cutter.transform(tied).withColumn(_BUCKET, F.col(_BUCKET).cast("bigint") + 1)
+    else:
+        tied = tied.withColumn(_BUCKET, F.lit(1).cast("bigint"))
+    own = F.lit(1)
+    if parts:
+        counts = F.create_map(*[F.lit(x) for v, n in parts.items() for x in (v, n)])
+        own = F.coalesce(counts[F.col(_KEY)], own)
+    own = F.when(F.col(_KEY).isNull(), F.lit(borders.null_parts)).otherwise(own)
+    place = F.when(F.col(_KEY).isNull(), F.lit(0).cast("bigint")).otherwise(F.col(_BUCKET))
+    share = F.col(_TIE) / F.lit(2.0**64) + 0.5
+    inner = F.least(F.floor(share * own), own - 1)
+    return tied.withColumn(_BUCKET, place * _MOST_PARTS + inner).drop(_KEY)
 
 
 def fill_in_order(
-    df: DataFrame, column: str, order_by: str, backward: bool = False, borders: list[float] | None = None
+    df: DataFrame, column: str, order_by: str, backward: bool = False, borders: Borders | list[float] | None = None
 ) -> DataFrame:
-    """Give each NULL the nearest earlier (or, ``backward``, later) known value."""
+    """Give each NULL the nearest earlier (or, ``backward``, later) known value.
+
+    Rows without an order key come first; rows with equal keys are ordered by a
+    hash of their values.
+    """
     cut = cut_in_order(df, order_by, order_borders(df, order_by) if borders is None else borders)
-    value, order = col(column), col(order_by)
-    inside = Window.partitionBy(_BUCKET).orderBy(order)
+    value, order = col(column), F.struct(col(order_by), F.col(_TIE))
+    inside = Window.partitionBy(_BUCKET).orderBy(col(order_by), _TIE)
     known_at = F.when(value.isNotNull(), order)
     if backward:
         near = F.first(value, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))

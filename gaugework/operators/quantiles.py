@@ -1,11 +1,12 @@
 """Exact interpolated quantiles that no single task has to hold.
 
-Spark's exact ``percentile`` keeps every distinct value of a column in one
-aggregation buffer.  It is used only while the column is small.  Beyond that, a
-sketch brackets each wanted rank, one scan counts what lies below the bracket,
-and only the values strictly inside it stay in play; two or three rounds bring
-any table down to a bracket small enough to sort in one buffer.  The sketch only
-decides where to look: ranks are counted, so the result is exact.
+Each wanted rank is enclosed by a bracket.  While a bracket holds many values, a
+sketch of them suggests a narrower one and a scan counts what lies below its
+ends; a few rounds bring any table down to brackets small enough to sort.  The
+sketch only decides where to look: ranks are counted, so the result is exact.
+
+Columns are unpivoted, so a round takes two scans however many columns there
+are, and every column, long or short, goes the same way.
 """
 
 from __future__ import annotations
@@ -14,13 +15,15 @@ import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from gaugework.session import chunks
+from gaugework.operators.summary import long_form
+from gaugework.session import small_frame
 
-DIRECT_ROWS = 200_000
 BRACKET_ROWS = 100_000
 ACCURACY = 2_000
-COLUMNS_PER_JOB = 8
+GRID = 200  # values a sketch is asked for; a round narrows a bracket about a hundredfold
+INFINITY = math.inf
 
 
 @dataclass
@@ -29,27 +32,17 @@ class _Search:
     still be: strictly between ``low`` and ``high``, with ``below`` values up to
     ``low`` and ``inside`` values in between."""
 
-    column: str
     rank: int
     aim: int  # rank the bracket is laid around; both neighbours of a quantile share it
     inside: int
     below: int = 0
-    low: float | None = None
-    high: float | None = None
+    low: float = -INFINITY
+    high: float = INFINITY
     value: float | None = None
 
     @property
-    def window(self) -> str:
-        ends = []
-        if self.low is not None:
-            ends.append(f"{self.column} > {_number(self.low)}")
-        if self.high is not None:
-            ends.append(f"{self.column} < {_number(self.high)}")
-        return f"CASE WHEN {' AND '.join(ends)} THEN {self.column} END" if ends else self.column
-
-
-def _number(value: float) -> str:
-    return f"double('{value!r}')"
+    def window(self) -> tuple[float, float]:
+        return self.low, self.high
 
 
 def exact_quantiles(
@@ -57,7 +50,6 @@ def exact_quantiles(
     numbers: dict[str, Column],
     probabilities: tuple[float, ...],
     counts: dict[str, int] | None = None,
-    direct_rows: int = DIRECT_ROWS,
     bracket_rows: int = BRACKET_ROWS,
 ) -> dict[str, list[float | None]]:
     """Per name the quantiles of its finite numbers, linearly interpolated.
@@ -67,83 +59,98 @@ def exact_quantiles(
     """
     if not numbers:
         return {}
-    names = list(numbers)
-    column = {n: f"x{i}" for i, n in enumerate(names)}
-    values = df.select(*[numbers[n].alias(column[n]) for n in names])
+    cells = long_form(df, numbers).filter(F.col("value").isNotNull())
     if counts is None:
-        counts = {}
-        for part in chunks(names, COLUMNS_PER_JOB):
-            counts |= dict(zip(part, values.selectExpr(*[f"count({column[n]})" for n in part]).first()))
-    result = {n: [None] * len(probabilities) for n in names if not counts[n]}
-    wanted = ", ".join(_number(p) for p in probabilities)
-    small = [n for n in names if 0 < counts[n] <= direct_rows]
-    for part in chunks(small, COLUMNS_PER_JOB):
-        found = values.selectExpr(*[f"percentile({column[n]}, array({wanted}))" for n in part]).first()
-        result |= {n: list(v) for n, v in zip(part, found)}
-    large = [n for n in names if counts[n] > direct_rows]
-    for part in chunks(large, COLUMNS_PER_JOB):
-        result |= _by_rank(values, part, column, probabilities, counts, bracket_rows)
-    return result
-
-
-def _by_rank(
-    values: DataFrame,
-    names: list[str],
-    column: dict[str, str],
-    probabilities: tuple[float, ...],
-    counts: dict[str, int],
-    bracket_rows: int,
-) -> dict[str, list[float]]:
-    position = {(n, p): p * (counts[n] - 1) for n in names for p in probabilities}
-    searches: dict[tuple, _Search] = {}
+        counts = {r["column"]: r["count"] for r in cells.groupBy("column").count().collect()}
+    position = {(n, p): p * (counts[n] - 1) for n in numbers if counts.get(n) for p in probabilities}
+    searches: dict[str, dict[int, _Search]] = {}
     for (n, _), at in position.items():
         for rank in (math.floor(at), math.ceil(at)):
-            searches.setdefault((n, rank), _Search(column[n], rank, math.floor(at), counts[n]))
-    _locate(values, list(searches.values()), bracket_rows)
-    result: dict[str, list[float]] = {n: [] for n in names}
+            searches.setdefault(n, {}).setdefault(rank, _Search(rank, math.floor(at), counts[n]))
+    if searches:
+        _locate(cells, {n: list(s.values()) for n, s in searches.items()}, bracket_rows)
+    result: dict[str, list[float | None]] = {n: [None] * len(probabilities) for n in numbers if not counts.get(n)}
     for (n, _), at in position.items():
-        low, high = searches[n, math.floor(at)].value, searches[n, math.ceil(at)].value
-        result[n].append(low + (high - low) * (at - math.floor(at)))
+        low, high = searches[n][math.floor(at)].value, searches[n][math.ceil(at)].value
+        result.setdefault(n, []).append(low + (high - low) * (at - math.floor(at)))
     return result
 
 
-def _locate(values: DataFrame, searches: list[_Search], bracket_rows: int) -> None:
-    while wide := [s for s in searches if s.value is None and s.inside > bracket_rows]:
-        _narrow(values, wide)
-    if rest := [s for s in searches if s.value is None]:
-        lists = {s.window: f"sort_array(collect_list({s.window}))" for s in rest}
-        found = dict(zip(lists, values.selectExpr(*lists.values()).first()))
-        for s in rest:
-            s.value = found[s.window][s.rank - s.below]
-
-
-def _narrow(values: DataFrame, searches: list[_Search]) -> None:
-    margin = 2.0 / ACCURACY
-    ends: dict[str, list[float]] = {}  # one sketch per window, all its bracket ends
-    for s in searches:
-        share = (s.aim - s.below) / s.inside
-        ends.setdefault(s.window, [])
-        ends[s.window] += [min(1.0, max(0.0, share + side)) for side in (-margin, margin)]
-    sketch = [
-        f"approx_percentile({window}, array({', '.join(_number(e) for e in asked)}), {ACCURACY})"
-        for window, asked in ends.items()
+def _locate(cells: DataFrame, searches: dict[str, list[_Search]], bracket_rows: int) -> None:
+    def of(test) -> dict[str, list[_Search]]:
+        found = {n: [s for s in own if s.value is None and test(s)] for n, own in searches.items()}
+        return {n: own for n, own in found.items() if own}
+
+    while wide := of(lambda s: s.inside > bracket_rows):
+        _narrow(cells, wide)
+    if rest := of(lambda s: True):
+        windows = _windows(rest)
+        picks = {n: [[s.rank - s.below for s in rest[n] if s.window == w] for w in own] for n, own in windows.items()}
+        most = max(map(len, windows.values()))
+        table = _beside(cells, windows, [{"picks": x} for x in picks.values()], "picks array<array<int>>")
+        held = [F.sort_array(F.collect_list(_inside(w))) for w in range(most)]
+        sorted_in = table.groupBy("column").agg(F.first("picks").alias("picks"), *[h.alias(f"w{w}") for w, h in enumerate(held)])
+        values = [F.transform(F.get("picks", F.lit(w)), _pick(f"w{w}")).alias(f"v{w}") for w in range(most)]
+        for r in sorted_in.select("column", *values).collect():
+            for w, window in enumerate(windows[r["column"]]):
+                for s, value in zip([s for s in rest[r["column"]] if s.window == window], r[f"v{w}"]):
+                    s.value = value
+
+
+def _pick(name: str):
+    return lambda at: F.get(F.col(name), at)
+
+
+def _windows(searches: dict[str, list[_Search]]) -> dict[str, list[tuple[float, float]]]:
+    return {n: list(dict.fromkeys(s.window for s in own)) for n, own in searches.items()}
+
+
+def _beside(cells: DataFrame, windows: dict[str, list], more: list[dict], schema: str) -> DataFrame:
+    """The cells of the columns in question with what is known of their column: one row per column, broadcast."""
+    rows = [
+        {"column": n, "lows": [w[0] for w in own], "highs": [w[1] for w in own], **extra}
+        for (n, own), extra in zip(windows.items(), more)
     ]
-    found = {w: iter(v) for w, v in zip(ends, values.selectExpr(*sketch).first())}
-    brackets = [(s, next(found[s.window]), next(found[s.window])) for s in searches]
-    tests = {f"{s.column} {sign} {_number(v)}" for s, *pair in brackets for v in pair for sign in ("<", "<=")}
-    tests = sorted(tests)
-    upto = dict(zip(tests, values.selectExpr(*[f"count_if({t})" for t in tests]).first()))
-    for s, low, high in brackets:
-        less, up_to_low, less_high, up_to_high = (
-            upto[f"{s.column} {sign} {_number(v)}"] for v in (low, high) for sign in ("<", "<=")
-        )
-        if s.rank < less:
-            s.high, s.inside = low, less - s.below
-        elif s.rank < up_to_low:
-            s.value = low
-        elif s.rank < less_high:
-            s.low, s.high, s.below, s.inside = low, high, up_to_low, less_high - up_to_low
-        elif s.rank < up_to_high:
-            s.value = high
-        else:
-            s.low, s.below, s.inside = high, up_to_high, s.inside - (up_to_high - s.below)
+    known = small_frame(cells.sparkSession, rows, f"column string, lows array<double>, highs array<double>, {schema}")
+    return cells.join(F.broadcast(known), "column")
+
+
+def _inside(w: int) -> Column:
+    value = F.col("value")
+    return F.when((value > F.get("lows", F.lit(w))) & (value < F.get("highs", F.lit(w))), value)
+
+
+def _narrow(cells: DataFrame, searches: dict[str, list[_Search]]) -> None:
+    windows = _windows(searches)
+    grid = [i / GRID for i in range(GRID + 1)]
+    table = _beside(cells, windows, [{"nothing": 0}] * len(windows), "nothing int")
+    sketches = [F.approx_percentile(_inside(w), grid, ACCURACY).alias(f"w{w}") for w in range(max(map(len, windows.values())))]
+    found = {r["column"]: r for r in table.groupBy("column").agg(*sketches).collect()}
+    brackets = {}
+    for n, own in searches.items():
+        brackets[n] = []
+        for s in own:
+            values = found[n][f"w{windows[n].index(s.window)}"]
+            at = (s.aim - s.below) / s.inside * GRID
+            brackets[n].append((values[max(0, math.ceil(at) - 2)], values[min(GRID, math.floor(at) + 2)]))
+    ends = {n: [(v, v) for v in dict.fromkeys(v for pair in own for v in pair)] for n, own in brackets.items()}
+    table = _beside(cells, ends, [{"nothing": 0}] * len(ends), "nothing int")
+    most = max(map(len, ends.values()))
+    under = [F.count_if(F.col("value") < F.get("lows", F.lit(i))).alias(f"l{i}") for i in range(most)]
+    upto = [F.count_if(F.col("value") <= F.get("lows", F.lit(i))).alias(f"u{i}") for i in range(most)]
+    counted = {r["column"]: r for r in table.groupBy("column").agg(*under, *upto).collect()}
+    for n, own in searches.items():
+        place = {v: i for i, (v, _) in enumerate(ends[n])}
+        for s, (low, high) in zip(own, brackets[n]):
+            less, up_to_low = (counted[n][f"{x}{place[low]}"] for x in "lu")
+            less_high, up_to_high = (counted[n][f"{x}{place[high]}"] for x in "lu")
+            if s.rank < less:
+                s.high, s.inside = low, less - s.below
+            elif s.rank < up_to_low:
+                s.value = low
+            elif s.rank < less_high:
+                s.low, s.high, s.below, s.inside = low, high, up_to_low, less_high - up_to_low
+            elif s.rank < up_to_high:
+                s.value = high
+            else:
+                s.low, s.below, s.inside = high, up_to_high, s.inside - (up_to_high - s.below)

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.session import col
+from gaugework.session import col, cut_lineage
 
-HOT_KEYS = 256
-SPREAD = 64
+ROWS_PER_TASK = 2_000_000
 
-_SALT, _HOT = "_salt", "_hot"
+_SALT, _PARTS = "_salt", "_parts"
 
 
 def join_on_counted_keys(
@@ -20,37 +19,23 @@ def join_on_counted_keys(
     weight: str,
     how: str,
     spread_by: list[str],
-    null_safe: list[str] = (),
+    rows_per_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """Join ``rows`` to ``keys`` (one row per key, ``weight`` = rows having it).
 
-    The 256 heaviest keys are a fixed-size list and are broadcast: rows having
-    one of them are spread over 64 sub-keys, and those keys are repeated 64
-    times.  Every other key holds under 0.4 % of the rows and is joined as it
-    is.  ``how`` may be left_semi, left_anti, inner or left.  Columns in
-    ``null_safe`` are join columns that may be NULL.
+    A key with more than ``rows_per_task`` rows is cut into as many sub-keys as
+    its weight asks for, and repeated once for each.  There are at most (rows /
+    ``rows_per_task``) such keys, which bounds the broadcast of their list.
+    ``keys`` are written once, since three branches read them.  ``how`` may be
+    left_semi, left_anti, inner or left.
     """
-    hot = keys.orderBy(F.desc(weight), *[F.asc(k) for k in on]).limit(HOT_KEYS)
-    hot = hot.select(*[col(k) for k in on], F.lit(True).alias(_HOT)).distinct()
-    scatter = F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.lit(SPREAD)).cast("int")
-    salted_rows = (
-        rows.join(F.broadcast(hot), on, "left")
-        .withColumn(_SALT, F.when(F.col(_HOT), scatter).otherwise(0))
-        .drop(_HOT)
-    )
-    copies = F.when(F.col(_HOT), F.sequence(F.lit(0), F.lit(SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    keys = cut_lineage(keys)
+    heavy = keys.filter(F.col(weight) > rows_per_task)
+    parts = F.ceil(F.col(weight) / F.lit(rows_per_task)).cast("int")
+    hot = heavy.select(*map(col, on), parts.alias(_PARTS))
+    scatter = F.pmod(F.xxhash64(*[col(c) for c in spread_by]), F.col(_PARTS)).cast("int")
+    salted_rows = rows.join(F.broadcast(hot), on, "left").withColumn(_SALT, F.coalesce(scatter, F.lit(0))).drop(_PARTS)
     kept = [c for c in keys.columns if c != weight or how in ("inner", "left")]
-    salted_keys = (
-        keys.join(F.broadcast(hot), on, "left")
-        .withColumn(_SALT, F.explode(copies))
-        .select(*[col(c) for c in kept], _SALT)
-    )
-    if not null_safe:
-        return salted_rows.join(salted_keys, [*on, _SALT], how).drop(_SALT)
-    r, k = salted_rows.alias("r"), salted_keys.alias("k")
-    match = [F.col(f"r.`{c}`") == F.col(f"k.`{c}`") for c in [*on, _SALT]]
-    match += [F.col(f"r.`{c}`").eqNullSafe(F.col(f"k.`{c}`")) for c in null_safe]
-    condition = match[0]
-    for part in match[1:]:
-        condition = condition & part
-    return r.join(k, condition, how).drop(_SALT)
+    salts = F.sequence(F.lit(0), F.greatest(parts, F.lit(1)) - 1)
+    salted_keys = keys.withColumn(_SALT, F.explode(salts)).select(*map(col, kept), _SALT)
+    return salted_rows.join(salted_keys, [*on, _SALT], how).drop(_SALT)

@@ -86,7 +86,7 @@ def suggest_plan(profile: Profile, choices: Mapping, table: DataFrame | None = N
 
 
 def before_after(before: Profile, after: Profile) -> DataFrame:
-    """metric, before, after, delta for rows, columns, gaps, copies and score."""
+    """metric, before, after (as text), delta for rows, columns, gaps, copies, score and grade."""
     old, new = before.dataset_summary().first(), after.dataset_summary().first()
     old_copies, new_copies = before.exact_duplicates["exact_count"], after.exact_duplicates["exact_count"]
     metrics = [
@@ -96,5 +96,6 @@ def before_after(before: Profile, after: Profile) -> DataFrame:
         ("exact_duplicates", old_copies, new_copies),
         ("quality_score", old["quality_score"], new["quality_score"]),
     ]
-    rows = [{"metric": m, "before": int(a), "after": int(b), "delta": int(b) - int(a)} for m, a, b in metrics]
-    return small_frame(before.spark, rows, "metric string, before bigint, after bigint, delta bigint")
+    rows = [{"metric": m, "before": str(a), "after": str(b), "delta": int(b) - int(a)} for m, a, b in metrics]
+    rows.append({"metric": "quality_grade", "before": old["quality_grade"], "after": new["quality_grade"], "delta": None})
+    return small_frame(before.spark, rows, "metric string, before string, after string, delta bigint")

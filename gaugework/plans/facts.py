@@ -12,7 +12,6 @@ from gaugework.plans.profile import Profile, one_decimal
 from gaugework.plans.views import with_warnings
 
 LISTED = 5
-MESSAGE_LENGTH = 60
 
 
 def _listing(table: DataFrame, when: Column, order: Column, text: Column, nothing: str) -> str:
@@ -90,7 +89,7 @@ def digest(profile: Profile, table: DataFrame) -> DataFrame:
     entries = F.sort_array(F.collect_list(F.struct("position", "digest")))
     columns = column_digest(table).agg(F.concat_ws("; ", F.transform(entries, lambda e: e["digest"])).alias("columns"))
     recommended = profile.recommendations(table).limit(LISTED).collect()
-    advice = "; ".join(f"{r['severity']} — {r['message'][:MESSAGE_LENGTH]}" for r in recommended) or "none"
+    advice = "; ".join(f"{r['severity']} — {r['message']}" for r in recommended) or "none"
     return columns.select(
         "columns",
         F.lit(_missing_listing(table)).alias("missing_summary"),

@@ -9,7 +9,7 @@ from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
 from gaugework.operators.outliers import rows_matching
 from gaugework.operators.quantiles import exact_quantiles
-from gaugework.operators.summary import finite_view, kinds, long_form
+from gaugework.operators.summary import finite_view, kinds
 from gaugework.plans.profile import Profile, one_decimal
 from gaugework.session import col, round_small, small_frame
 
@@ -112,11 +112,9 @@ def preview(df: DataFrame, row_id: str, thresholds: Thresholds = DEFAULTS) -> Da
 
 
 def null_matrix(df: DataFrame, row_id: str, columns: list[str], thresholds: Thresholds = DEFAULTS) -> DataFrame:
-    """row id, column, missing (0/1) for the first 300 rows and the columns with
-    a gap among them."""
-    first = df.orderBy(col(row_id)).limit(thresholds.null_matrix_rows)
+    """row id, column, missing (0/1) of every row, for the columns with a gap."""
     entries = [F.struct(F.lit(c).alias("column"), col(c).isNull().cast("int").alias("missing")) for c in columns]
-    cells = first.select(col(row_id), F.explode(F.array(*entries)).alias("e")).select(row_id, "e.*")
+    cells = df.select(col(row_id), F.explode(F.array(*entries)).alias("e")).select(row_id, "e.*")
     gappy = cells.groupBy("column").agg(F.max("missing").alias("any")).filter(F.col("any") == 1).select("column")
     return cells.join(gappy, "column", "left_semi").select(row_id, "column", "missing")
 
@@ -218,9 +216,3 @@ def boxplot_points(
     normal = values.filter(F.col("value").isNotNull() & ~F.col("out"))
     shown = normal.orderBy(F.xxhash64(col(row_id), F.lit(seed)), col(row_id)).limit(thresholds.boxplot_sample)
     return outliers.unionByName(shown.select(F.lit("normal").alias("kind"), row_id, "value"))
-
-
-def text_lengths(df: DataFrame, columns: list[str]) -> DataFrame:
-    """column, length, count."""
-    cells = long_form(df, {c: col(c) for c in columns}).filter(F.col("value").isNotNull())
-    return cells.groupBy("column", F.length("value").alias("length")).agg(F.count(F.lit(1)).alias("count"))

@@ -13,7 +13,6 @@ from gaugework.functions import scalars as S
 from gaugework.operators.summary import long_form
 from gaugework.session import col, cut_lineage, small_frame
 
-SNIFFED_BYTES = 4096
 _MALFORMED = "_malformed_line"
 # Texts a CSV reader takes for a boolean.
 _BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
@@ -30,10 +29,11 @@ class CsvFormat:
 
 
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """``;`` when the first 4096 bytes hold more of them than commas."""
-    lines = spark.read.text(path).select(F.substring("value", 1, SNIFFED_BYTES)).limit(256)
-    start = "\n".join(r[0] for r in lines.collect()).encode()[:SNIFFED_BYTES]
-    return ";" if start.count(b";") > start.count(b",") else ","
+    """``;`` when the lines, outside quotes, hold more of them than commas: one count over all of them."""
+    bare = F.regexp_replace("value", r'"[^"]*"', "")
+    held = [F.sum(F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit("")))) for mark in ";,"]
+    semicolons, commas = spark.read.text(path).agg(*held).first()
+    return ";" if (semicolons or 0) > (commas or 0) else ","
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
@@ -59,7 +59,7 @@ def csv_format(
 ) -> CsvFormat:
     separator = separator or sniff_separator(spark, path)
     encoding = encoding or sniff_encoding(spark, path)
-    header = _reader(spark, separator, encoding).csv(path).columns
+    header = _reader(spark, separator, encoding).option("multiLine", any(files_with_breaks(spark, path).values())).csv(path).columns
     return CsvFormat(separator, encoding, header)
 
 
@@ -85,9 +85,29 @@ def _fields(line: Column, separator: str) -> Column:
     return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) + 1
 
 
+def files_with_breaks(spark: SparkSession, path: str) -> dict[str, bool]:
+    """Each file, and whether some quoted value of it runs over a line: then a line has an odd number of quotes."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    return {r[0]: r[1] for r in lines.groupBy("file").agg(F.max(quotes % 2 == 1)).collect()}
+
+
 def read_csv_text(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
     """All columns as text.  Lines with too many fields are left out, short ones
-    are padded with NULL."""
+    are padded with NULL.
+
+    Files are cut into splits, except those with quoted line breaks: each of
+    these is read by one task, since only its beginning says which breaks are quoted.
+    """
+    broken = files_with_breaks(spark, path)
+    if not any(broken.values()):
+        return _read_records(spark, path, form, False)
+    whole = _read_records(spark, [f for f, breaks in broken.items() if breaks], form, True)
+    plain = [f for f, breaks in broken.items() if not breaks]
+    return whole.unionByName(_read_records(spark, plain, form, False)) if plain else whole
+
+
+def _read_records(spark: SparkSession, path: str | list[str], form: CsvFormat, over_lines: bool) -> DataFrame:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*form.header, _MALFORMED]])
     lines = (
         _reader(spark, form.separator, form.encoding)
@@ -95,6 +115,7 @@ def read_csv_text(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _MALFORMED)
         .option("columnPruning", False)  # a pruned parse does not see surplus fields
+        .option("multiLine", over_lines)
         .csv(path)
     )
     malformed = F.col(_MALFORMED)
@@ -135,7 +156,7 @@ def infer_storage(df: DataFrame) -> dict[str, str]:
         return {}
     cells = long_form(df, {c: col(c) for c in texts}).filter(F.col("value").isNotNull())
     value = F.col("value")
-    whole = F.when(F.trim(value).rlike(r"^[+-]?\d{1,19}$"), F.trim(value).try_cast("bigint"))
+    whole = F.when(S.strip(value).rlike(r"^[+-]?\d{1,19}$"), S.strip(value).try_cast("bigint"))
     counted = cells.groupBy("column").agg(
         F.count(F.lit(1)).alias("n"),
         F.count(whole).alias("bigint"),
@@ -157,7 +178,7 @@ def apply_storage(df: DataFrame, storage: dict[str, str]) -> DataFrame:
             return S.text_to_number(col(name))
         if target == "string":
             return col(name)
-        return F.trim(col(name)).try_cast(target)
+        return S.strip(col(name)).try_cast(target)
 
     return df.withColumns({c: view(c, t) for c, t in storage.items()}) if storage else df
 
@@ -169,11 +190,7 @@ def read_csv(
     encoding: str | None = None,
     row_ids: bool = False,
 ) -> DataFrame:
-    """A CSV file or folder as a typed table.
-
-    Quoted line breaks are not supported: they would make every file a single
-    task.
-    """
+    """A CSV file or folder as a typed table; quoted values may hold line breaks."""
     form = csv_format(spark, path, separator, encoding)
     table = map_null_tokens(read_csv_text(spark, path, form))
     typed = apply_storage(table, infer_storage(table))
