@@ -87,7 +87,8 @@ def _read_cells(cells: DataFrame, kind: str) -> DataFrame:
     word = F.array_position(F.array(*map(F.lit, S.BOOLEAN_TOKENS)), S.normal_label(value))
     read = read.withColumns(
         {
-            "time": F.when(F.col("number").isNull(), S.text_to_timestamp(value)),
+            # every spelling of a date has a year of four digits
+            "time": F.when(F.col("number").isNull() & value.rlike(r"\d{4}"), S.text_to_timestamp(value)),
             "word": F.nullif(word, F.lit(0)),
             "length": F.length(value),
         }

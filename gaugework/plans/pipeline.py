@@ -4,9 +4,11 @@ Steps see the table as the steps before them left it.  Row ids refer to the
 original table and stay valid throughout, because the id column is carried
 along and never renumbered.
 
-The log's counts are observed metrics on a second plan of the same steps, so
-the whole log costs one pass however many steps there are, and the table handed
-out carries none of it.
+A statistic that follows a shuffle reads a table written after it, so the
+number of jobs grows with the steps and not with their square.  The log's counts
+are observed metrics on a second plan of the same steps: one pass for all of
+them, and one small join for each step that caps or clears outliers.  The table
+handed out carries none of it.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 
 from gaugework.config import DEFAULTS, ROW_ID, Thresholds
 from gaugework.operators import cleaning
-from gaugework.session import col, small_frame
+from gaugework.session import col, cut_lineage, small_frame
 
 ACTIONS = ("handle_missing", "remove_duplicates", "fix_type", "handle_outliers")
 LOG_SCHEMA = (
@@ -37,6 +39,17 @@ def step_priority(step: dict) -> int:
     return 0
 
 
+def _needs_statistic(step: dict) -> bool:
+    """Whether a step looks at the whole table before it can change it."""
+    if step["action"] == "fix_type":
+        return step["target_type"] == "datetime"
+    return step.get("strategy") in ("fill_mean", "fill_median", "fill_mode", "ffill", "bfill", "cap_iqr")
+
+
+def _shuffles(step: dict) -> bool:
+    return step["action"] == "remove_duplicates" or step.get("strategy") in ("remove", "replace_nan", "ffill", "bfill")
+
+
 class CleaningPipeline:
     """``add_step`` what to do, ``execute`` it on a table, then ``get_log``."""
 
@@ -79,8 +92,12 @@ class CleaningPipeline:
             self._log = []
             return df
         current, watched = df, self._watch(df, steps[:1])
+        shuffled = False
         for at, step in enumerate(steps):
+            if shuffled and _needs_statistic(step):  # else each statistic would run the shuffles before it again
+                current, shuffled = cut_lineage(current), False
             change = self._plan(current, step)
+            shuffled = shuffled or _shuffles(step)
             entry = self._entry(at, step, current)
             current, watched = change(current), change(watched)
             if step["action"] == "fix_type":
