@@ -125,24 +125,37 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
             (F.element_at(codes, 1) + F.element_at(codes, -1)).alias("ends"),
         )
 
-    def scored(item: Column) -> Column:
+    def normal_scores(item: Column) -> Column:
         n, k = item["n"].cast("double"), item["k"].cast("double")
         chi = k / n * item["squares"] - n
         spread = 2 / (9 * (k - 1))
-        p1 = _tail((F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread))
+        z1 = (F.pow(chi / (k - 1), F.lit(1 / 3)) - (1 - spread)) / F.sqrt(spread)
         both = 2.0 * item["high"] * (n - item["high"])
         variance = both * (both - n) / (n * n * (n - 1))
-        p2 = F.when(variance > 0, 2 * _tail(F.abs(item["runs"] - both / n - 1) / F.sqrt(variance))).otherwise(LEAST_P)
+        z2 = F.when(variance > 0, F.abs(item["runs"] - both / n - 1) / F.sqrt(variance))
         mean = item["sum"] / n
         square = item["sum2"] - n * mean * mean
         cross = item["products"] - mean * (2 * item["sum"] - item["ends"]) + (n - 1) * mean * mean
-        p3 = F.when(square > 0, 2 * _tail(F.abs(cross / square * F.sqrt(n) + 1 / F.sqrt(n)))).otherwise(LEAST_P)
-        s = -sum((F.log(F.least(F.greatest(p, F.lit(LEAST_P)), F.lit(1.0))) for p in (p1, p2, p3)), F.lit(0.0))
-        combined = F.exp(-s) * (1 + s + s * s / 2)
-        return F.struct(*_fields(item, *place), F.floor(F.log2(n)).cast("int").alias("band"), combined.alias("p"))
+        z3 = F.when(square > 0, F.abs(cross / square * F.sqrt(n) + 1 / F.sqrt(n)))
+        band = F.floor(F.log2(n)).cast("int").alias("band")
+        return F.struct(*_fields(item, *place), band, z1.alias("z1"), z2.alias("z2"), z3.alias("z3"))
+
+    def tails(item: Column) -> Column:
+        # without spread a test cannot be made: such a string is not random
+        p = (_tail(item["z1"]), F.coalesce(2 * _tail(item["z2"]), F.lit(LEAST_P)), F.coalesce(2 * _tail(item["z3"]), F.lit(LEAST_P)))
+        names = ("p1", "p2", "p3")
+        return F.struct(*_fields(item, *place, "band"), *[x.alias(name) for x, name in zip(p, names)])
+
+    def summed_logs(item: Column) -> Column:
+        logs = [F.log(F.least(F.greatest(item[x], F.lit(LEAST_P)), F.lit(1.0))) for x in ("p1", "p2", "p3")]
+        return F.struct(*_fields(item, *place, "band"), (-(logs[0] + logs[1] + logs[2])).alias("s"))
+
+    def combined(item: Column) -> Column:
+        s = item["s"]
+        return F.struct(*_fields(item, *place, "band"), (F.exp(-s) * (1 + s + s * s / 2)).alias("p"))
 
     docs = docs.withColumn("random", F.transform(matches(text, CANDIDATE), encoded))
-    for step in (spelled, counted, summed, scored):
+    for step in (spelled, counted, summed, normal_scores, tails, summed_logs, combined):
         docs = docs.withColumn("random", F.transform("random", step))
     return docs
 

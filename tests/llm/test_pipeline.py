@@ -47,8 +47,8 @@ def test_stages(spark, sf):
 def test_stages_of_odd_rows(spark, sf, odd, none):
     for docs in (odd, none):
         for _, stage in corpus_pipeline.STAGES[:-1]:
-            assert stage(spark, docs, sf).columns == docs.columns
-            assert stage(spark, docs, sf).count() <= docs.count()
+            left = stage(spark, docs, sf)
+            assert left.columns == docs.columns and left.count() <= docs.count()
         assert corpus_pipeline.STAGES[-1][1](spark, docs, sf).count() >= docs.count()
     rows = corpus_pipeline.drop_near_copies(spark, odd, sf).select("doc_id", "text").collect()
     assert sorted((r["doc_id"] for r in rows), key=str) == [1, 10, 3, 4, 5, 6, 8, 9, None, None]
