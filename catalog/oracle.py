@@ -518,6 +518,12 @@ def oracle_sql() -> dict[str, str]:
         "period_counts_years": f"SELECT 'year' AS period, strftime(date_trunc('year', o_orderdate), {DAY}) AS period_start, count(*) AS count FROM orders GROUP BY 2",
         "outlier_ranking": messy('SELECT "column", inferred_type, iqr_count AS outliers, iqr_pct AS outlier_pct FROM cols WHERE inferred_type IN (\'numeric\', \'mixed\')', COLUMN_TABLE),
         "boxplot": messy('SELECT "column", round(min(x), 4) AS min, round(quantile_cont(x, 0.25), 4) AS q1, round(quantile_cont(x, 0.5), 4) AS median, round(quantile_cont(x, 0.75), 4) AS q3, round(max(x), 4) AS max FROM numbers GROUP BY 1', NUM),
+        "boxplot_points": messy(
+            """SELECT 'outlier' AS kind, row_id, x AS value FROM flags WHERE "column" = 'price' AND iqr
+              UNION ALL (SELECT 'normal', row_id, x FROM flags WHERE "column" = 'price' AND NOT iqr
+                ORDER BY (row_id % 2147483647 * 2654435761 + 42) % 4294967296, row_id LIMIT 300)""",
+            NUM, FENCES, FLAGS,
+        ),
         "rec_counts": messy("SELECT severity, count(*) AS count FROM ranked GROUP BY 1", COLUMN_TABLE),
         "overview_facts": messy(
             """SELECT q.rows, q.columns, q.quality_score, q.quality_grade,

@@ -8,9 +8,14 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_STEPS = 10_000_000  # the fractions end long before, after about the square root of the row count
+_CLOSE = 1e-14
 _TINY = 1e-300
 
+def _steps(size: float) -> int:
+    """Enough steps for a continued fraction, which converges after about the square root of its parameters."""
+    return 500 + int(10 * math.sqrt(size))
+
+
 def beta_tail(a: float, b: float, x: float) -> float:
     """Regularised incomplete beta function I_x(a, b), by continued fraction."""
     if x <= 0.0:
@@ -24,14 +29,14 @@ def beta_tail(a: float, b: float, x: float) -> float:
     )
     c, d = 1.0, 1.0 / _away(1.0 - (a + b) * x / (a + 1))
     total = d
-    for m in range(1, _STEPS):
+    for m in range(1, _steps(max(a, b))):
         even = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m))
         d, c = 1.0 / _away(1.0 + even * d), _away(1.0 + even / c)
         total *= d * c
         odd = -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
         d, c = 1.0 / _away(1.0 + odd * d), _away(1.0 + odd / c)
         total *= d * c
-        if abs(d * c - 1.0) < 1e-15:
+        if abs(d * c - 1.0) < _CLOSE:
             break
     return front * total / a
 
@@ -56,12 +61,12 @@ def gamma_tail(a: float, x: float) -> float:
     b = x + 1 - a
     c, d = 1.0 / _TINY, 1.0 / b
     total = d
-    for i in range(1, _STEPS):
+    for i in range(1, _steps(a + x)):
         step = -i * (i - a)
         b += 2
         d, c = 1.0 / _away(step * d + b), _away(b + step / c)
         total *= d * c
-        if abs(d * c - 1.0) < 1e-15:
+        if abs(d * c - 1.0) < _CLOSE:
             break
     return front * total
 

@@ -206,13 +206,16 @@ def five_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
 def boxplot_points(
     profile: Profile, column: str, method: str = "iqr", seed: int = 42, thresholds: Thresholds = DEFAULTS
 ) -> DataFrame:
-    """kind, row id, value: every outlier, and 300 of the other values picked by
-    a hash of their row id."""
+    """kind, row id, value: every outlier, and 300 of the other values, picked by
+    arithmetic on a whole-number row id or else by its hash."""
     df, row_id = profile.frame, profile.row_id
     rule: Column = profile.outlier_rules[column][method]
     marked = rows_matching(df, row_id, {column: {method: rule}}, (method,))
     outliers = marked.select(F.lit("outlier").alias("kind"), row_id, "value")
     values = df.select(col(row_id), finite_view(df, column).alias("value"), rule.alias("out"))
     normal = values.filter(F.col("value").isNotNull() & ~F.col("out"))
-    shown = normal.orderBy(F.xxhash64(col(row_id), F.lit(seed)), col(row_id)).limit(thresholds.boxplot_sample)
+    whole = df.schema[row_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    spread = F.pmod(col(row_id).cast("bigint"), F.lit(2**31 - 1)) * F.lit(2_654_435_761) + F.lit(seed)
+    order = F.pmod(spread, F.lit(2**32)) if whole else F.xxhash64(col(row_id), F.lit(seed))
+    shown = normal.orderBy(order, col(row_id)).limit(thresholds.boxplot_sample)
     return outliers.unionByName(shown.select(F.lit("normal").alias("kind"), row_id, "value"))
