@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import base64
 import os
-import re
 from array import array
 from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
@@ -33,19 +32,16 @@ from gaugework.session import cut_lineage
 CAPACITY = 1024
 END = 2  # id added after each document
 BUCKET = 50_000  # rows of one length that are numbered in one group, about
-WORDS = 200_000  # words whose ids a task remembers
-UNSAFE = re.compile(r"\s \s|\s $|^ \s|^ $")
 
 
-class TokenIds(dict):
-    """Ids of a chunk of text as little-endian 32-bit numbers, remembered for ``WORDS`` chunks.
+class TokenIds:
+    """Ids of a text as little-endian 32-bit numbers.
 
     ``path`` is a tokenizers file.  ``ranks``, if given, is the same byte-level vocabulary as a list of ranks, with which
-    chunks are encoded several times faster; texts with a special token's mark always go through the tokenizers file.
+    texts are encoded several times faster; texts with a special token's mark always go through the tokenizers file.
     """
 
     def __init__(self, path: str, ranks: str | None = None):
-        super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -64,20 +60,8 @@ class TokenIds(dict):
     def exact(self, text: str) -> list[int]:
         return self.model.encode(text, add_special_tokens=False).ids
 
-    def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= WORDS:
-            self.clear()
-        found = self[chunk] = array("I", self.plain(chunk)).tobytes()
-        return found
-
     def of(self, text: str) -> bytes:
-        """Ids of a text.  The tokenizer starts anew at a blank that has no white space on both sides, so chunks that
-        begin with one can be looked up alone; a text with another blank or a special token goes through it whole."""
-        if "<|" in text:
-            return array("I", self.exact(text)).tobytes()
-        if "\0" in text or UNSAFE.search(text):
-            return array("I", self.plain(text)).tobytes()
-        return b"".join(map(self.__getitem__, text.replace(" ", "\0 ").split("\0")))
+        return array("I", self.exact(text) if "<|" in text else self.plain(text)).tobytes()
 
 
 def _cut_pieces(path: str, ranks: str | None, capacity: int):
