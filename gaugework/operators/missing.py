@@ -18,7 +18,7 @@ from gaugework.functions.tails import chi_square_p_udf, correlation_p_udf
 from gaugework.operators.stats import rounded
 from gaugework.operators.summary import finite_view, long_form, summarise
 from gaugework.operators.types import CATEGORY_TYPES, NUMERIC_TYPES
-from gaugework.session import chunks, col, small_frame
+from gaugework.session import chunks, col, cut_lineage, small_frame
 
 PER_COLUMN_SCHEMA = "column string, missing_count bigint, missing_pct double"
 OVERALL_SCHEMA = "total_missing_cells bigint, overall_missing_pct double"
@@ -105,8 +105,9 @@ def missing_phi(
     empty = small_frame(df.sparkSession, [], "target string, column string, n bigint, value double")
     if len(tested) < 2:
         return empty
-    flags = _by_target(df, tested, {f"n{i}": col(c).isNull() for i, c in enumerate(tested)})
-    together = flags.groupBy("target").agg(*[F.count_if(f"n{i}").alias(f"n{i}") for i in range(len(tested))])
+    flags = _by_target(df, tested, {f"n{i}": col(c).isNull().cast("int") for i, c in enumerate(tested)})
+    # cut here: with many columns the plan of the two parts together takes long to optimise
+    together = cut_lineage(flags.groupBy("target").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(tested))]))
     pairs = long_form_of(together, "target", {c: f"n{i}" for i, c in enumerate(tested)})
     known = F.create_map(*[x for c in tested for x in (F.lit(c), F.lit(float(counts[c])))])
     n, n1, n2 = F.lit(float(rows)), known[F.col("target")], known[F.col("column")]
