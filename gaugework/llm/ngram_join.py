@@ -46,7 +46,7 @@ class JaccardJoin:
     words: int = 5
     num: int = 80
     den: int = 100
-    margin: int = 3
+    margin: int = 10
     common: float = 1 / 256
     flush: int = 4_000_000
     group_tokens: int = 1 << 16
