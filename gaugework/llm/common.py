@@ -18,7 +18,14 @@ BROADCAST_ROWS = 1_000_000
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
+#: Rows of an Arrow batch while texts are read: with Spark's own 10,000 a batch of long texts fills a worker.
+BATCH_KEY, SPARKS_ROWS, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "1000"
+
+
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
+    """A table of texts.  Arrow batches become smaller, unless the session has a size of its own."""
+    if spark.conf.get(BATCH_KEY, SPARKS_ROWS) == SPARKS_ROWS:
+        spark.conf.set(BATCH_KEY, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

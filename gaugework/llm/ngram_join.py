@@ -48,7 +48,7 @@ class JaccardJoin:
     den: int = 100
     margin: int = 10
     common: float = 1 / 256
-    flush: int = 4_000_000
+    flush: int = 1_000_000
     group_tokens: int = 1 << 16
 
     def least(self, n):
