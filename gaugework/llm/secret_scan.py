@@ -6,14 +6,19 @@ Candidates of the battery are runs of at least ``SHORTEST`` characters that keys
 narrowest encoding it fits (hex, base32, base62, base64) and, for the hypothesis that its characters are independent and
 uniform over that alphabet, three p-values: chi-squared of the character counts (Wilson and Hilferty's
 approximation), runs below and above the middle of the alphabet (Wald and Wolfowitz), and correlation of neighbours.
-Fisher's method combines them.  Uniform strings have uniform p-values while ordinary words have tiny ones, the more
-so the longer they are; so within a band of lengths of one encoding, twice the number of candidates above 1/2 estimates how
-many are random, and what exceeds their share above a threshold is false.  Each band takes the
-lowest threshold on a fixed scale at which at most ``FALSE_SHARE`` of its finds are false.
+Fisher's method combines them; a candidate whose p is at most ``FIT`` is not uniform.
+
+Each candidate is also weighed against the hypothesis of structured text (words, names, paths, numbers): a chain over
+characters with fixed costs.  Its gain is the logarithm of the likelihood ratio, uniform to structured, and does not depend on
+other candidates.  The share of random ones is the most likely one given the gains of an encoding's candidates of all lengths in
+the table, 1/2 at most; a candidate counts if it is then random with probability 1 - ``FALSE_SHARE``.  So a single key
+is found on its own, many words only raise the gain that is asked for, and no find is free.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,10 +39,28 @@ ENCODINGS = (
     ("base62", "^[A-Za-z0-9]+$", UPPER + UPPER.lower() + DIGITS),
     ("base64", "", UPPER + UPPER.lower() + DIGITS + "+/"),
 )
-THRESHOLDS = (0.001, 0.002, 0.005, 0.01, 0.02, 0.05, 0.1, 0.2, 0.5)
+FIT = 0.001
 FALSE_SHARE = 0.05
 LEAST_P = 1e-12
 
+#: Costs of structured text, -ln of a probability.  Fixed values: of a letter alone and after another one (rows a to z) in
+#: halves, one hexadecimal digit each, from English and seven other European languages; of the first character's class, and of a
+#: class after another one (lower case, upper case, digit, sign) in tenths.
+LETTERS = "597749875b967558d56579ab9a"
+PAIRS = (
+    "8766da7b7a8464c7c454889b99 499b3ccc46f4ab5cf5895fcf7d 4f8c5ff35967dd3cf7a57fffb8 4ba82dbc4cc9b84af77a6cceaa "
+    "7966888a7b9674b8b34599a7ba 5cba56be2ff6dc3cf6876fefaf 5aca2e784fc7a65af5684dcfdd 4eed2ffc4fe7a95ef7b67fcfcf "
+    "6857587ec9866358b755b7cae9 3cb72aac5d79a65afb6959bfd9 3b9c3da94e97c84af6656c9fcd 4ac738aa3ca5b95afc766bcf8e "
+    "36db3ddf4fda6955fc9a7ddfbf 5c64485a5d9ac85bec6478df8a b7669a8d9c965386d456687cdb 3e9a4bba6fb5cb46f4866bef9c "
+    "8dcb9edd9febcaadd9aa0e9fef 4a873a7c4e9a775bd76679af88 6c6c3bb75c78aa66cb536bbf89 4dac3bd44fb9bb5af5776daf8b "
+    "6778588e6a9554a6f454daabcb 3cdd2ddf4ffccb4df9acacffef 3dba4dc63fb9d75bf77c9fbe5b 5a5a59da4fb99b84faa2aec88f "
+    "5859789d78775674f8548d7fbc 39aa3fba4bab866adbb96f7f58"
+).split()
+FIRST = (5, 16, 19, 30)
+NEXT = ((1, 35, 35, 28), (8, 9, 30, 25), (23, 32, 3, 23), (4, 19, 17, 39))
+SIGNS = UPPER + UPPER.lower() + DIGITS + "+/"  # characters of structured text
+SPAN = 60  # gains beyond it, up or down, are equal to it when the share is estimated
+
 PLACEHOLDER = "<secret>"
 
 
@@ -82,9 +105,31 @@ def _by_encoding(item: Column, value) -> Column:
     return found
 
 
+def _kind(c: str) -> int:
+    return 0 if c.islower() else 1 if c.isupper() else 2 if c.isdigit() else 3
+
+
+def _cost(before: str, c: str) -> int:
+    """Tenths that ``c`` costs after ``before``, or as the first character; an upper-case letter after a lower one begins a word."""
+    was, kind = _kind(before) if before else 3, _kind(c)
+    turn = NEXT[was][kind] if before else FIRST[kind]
+    if kind > 1:
+        return turn + (23 if kind == 2 else 14)
+    at = ord(c.lower()) - ord("a")
+    alone = was > 1 or was < kind
+    return turn + 5 * int(LETTERS[at] if alone else PAIRS[ord(before.lower()) - ord("a")][at], 16)
+
+
+def _costs(befores) -> Column:
+    """Array of the costs of each of SIGNS after each of ``befores``."""
+    return F.split(F.lit(",".join(str(_cost(b, c)) for b in befores for c in SIGNS)), ",").cast("array<int>")
+
+
 def candidates(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with random, array<struct<start, end, encoding, band, p>>."""
+    """``docs`` with random, array<struct<start, end, encoding, gain, p>>."""
     place = ("start", "end", "encoding")
+    kept = (*place, "gain")
+    first, following = _costs([""]), _costs(SIGNS)
 
     def encoded(item: Column) -> Column:
         body = F.regexp_replace(item["body"], "=+$", "")
@@ -99,6 +144,20 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
         return F.struct(*_fields(item, *place), hexed.alias("body"), alphabet.alias("alphabet"),
                         F.length(item["body"]).alias("n"), F.length(alphabet).alias("k"))
 
+    def placed(item: Column) -> Column:
+        plain = F.when(item["body"].rlike("[a-z]"), item["body"]).otherwise(F.lower(item["body"]))  # one case is no sign
+        at = F.transform(F.split(plain, "", item["n"]), lambda c: F.position(c, F.lit(SIGNS)))
+        return F.struct(*_fields(item, *place, "body", "alphabet", "n", "k"), at.alias("at"))
+
+    def weighed(item: Column) -> Column:
+        at, n = item["at"], item["n"]
+        steps = F.zip_with(
+            F.slice(at, 1, n - 1), F.slice(at, 2, n - 1), lambda a, b: F.element_at(following, len(SIGNS) * (a - 1) + b)
+        )
+        cost = F.aggregate(steps, F.element_at(first, F.element_at(at, 1)), lambda total, x: total + x)
+        gain = cost / 10 - n * F.log(item["k"].cast("double"))
+        return F.struct(*_fields(item, *place, "body", "alphabet", "n", "k"), gain.alias("gain"))
+
     def counted(item: Column) -> Column:
         letters = F.split(item["body"], "", item["n"])
         codes = F.transform(letters, lambda c: F.position(c, item["alphabet"]) - 1)
@@ -106,7 +165,7 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
             F.split(item["alphabet"], "", item["k"]), F.lit(0).cast("long"),
             lambda total, c: total + F.pow(item["n"] - F.length(F.replace(item["body"], c, F.lit(""))), 2).cast("long"),
         )
-        return F.struct(*_fields(item, *place, "n", "k"), codes.alias("codes"), held.alias("squares"))
+        return F.struct(*_fields(item, *kept, "n", "k"), codes.alias("codes"), held.alias("squares"))
 
     def summed(item: Column) -> Column:
         codes, n = item["codes"], item["n"]
@@ -118,7 +177,7 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
         turns = F.zip_with(ahead, behind, lambda a, b: F.when((a >= half) != (b >= half), 1).otherwise(0))
         add = lambda total, x: total + x
         return F.struct(
-            *_fields(item, *place, "n", "k", "squares"), high.alias("high"),
+            *_fields(item, *kept, "n", "k", "squares"), high.alias("high"),
             (F.aggregate(turns, nothing, add) + 1).alias("runs"), F.aggregate(codes, nothing, add).alias("sum"),
             F.aggregate(F.transform(codes, lambda x: x * x), nothing, add).alias("sum2"),
             F.aggregate(pairs, nothing, add).alias("products"),
@@ -137,41 +196,52 @@ def candidates(docs: DataFrame, text: Column) -> DataFrame:
         square = item["sum2"] - n * mean * mean
         cross = item["products"] - mean * (2 * item["sum"] - item["ends"]) + (n - 1) * mean * mean
         z3 = F.when(square > 0, F.abs(cross / square * F.sqrt(n) + 1 / F.sqrt(n)))
-        band = F.floor(F.log2(n)).cast("int").alias("band")
-        return F.struct(*_fields(item, *place), band, z1.alias("z1"), z2.alias("z2"), z3.alias("z3"))
+        return F.struct(*_fields(item, *kept), z1.alias("z1"), z2.alias("z2"), z3.alias("z3"))
 
     def tails(item: Column) -> Column:
         # without spread a test cannot be made: such a string is not random
         p = (_tail(item["z1"]), F.coalesce(2 * _tail(item["z2"]), F.lit(LEAST_P)), F.coalesce(2 * _tail(item["z3"]), F.lit(LEAST_P)))
         names = ("p1", "p2", "p3")
-        return F.struct(*_fields(item, *place, "band"), *[x.alias(name) for x, name in zip(p, names)])
+        return F.struct(*_fields(item, *kept), *[x.alias(name) for x, name in zip(p, names)])
 
     def summed_logs(item: Column) -> Column:
         logs = [F.log(F.least(F.greatest(item[x], F.lit(LEAST_P)), F.lit(1.0))) for x in ("p1", "p2", "p3")]
-        return F.struct(*_fields(item, *place, "band"), (-(logs[0] + logs[1] + logs[2])).alias("s"))
+        return F.struct(*_fields(item, *kept), (-(logs[0] + logs[1] + logs[2])).alias("s"))
 
     def combined(item: Column) -> Column:
         s = item["s"]
-        return F.struct(*_fields(item, *place, "band"), (F.exp(-s) * (1 + s + s * s / 2)).alias("p"))
+        return F.struct(*_fields(item, *kept), (F.exp(-s) * (1 + s + s * s / 2)).alias("p"))
 
     docs = docs.withColumn("random", F.transform(matches(text, CANDIDATE), encoded))
-    for step in (spelled, counted, summed, normal_scores, tails, summed_logs, combined):
+    for step in (spelled, placed, weighed, counted, summed, normal_scores, tails, summed_logs, combined):
         docs = docs.withColumn("random", F.transform("random", step))
     return docs
 
 
-def thresholds(found: DataFrame) -> dict[tuple[str, int], float]:
-    """The p above which a candidate counts, for each encoding and band of lengths (a few dozen)."""
-    items = found.select(F.explode("random").alias("x")).select("x.encoding", "x.band", "x.p")
-    counts = [F.count(F.when(F.col("p") > t, 1)).alias(f"n{i}") for i, t in enumerate(THRESHOLDS)]
-    bands = items.groupBy("encoding", "band").agg(*counts).collect()
+def _share(weights: list[tuple[float, int]], unfit: int) -> float:
+    """Most likely share of random ones among candidates with these gains and counts, and others that cannot be random.
+
+    From that of half a candidate to 1/2: the likelihood has one peak, which is searched by its slope.
+    """
+    low, high = 0.5 / (unfit + sum(n for _, n in weights)), 0.5
+    ratios = [(math.exp(gain) - 1, n) for gain, n in weights]
+    for _ in range(60):
+        mid = math.sqrt(low * high)
+        slope = sum(n * r / (1 + mid * r) for r, n in ratios) - unfit / (1 - mid)
+        low, high = (mid, high) if slope > 0 else (low, mid)
+    return low
+
+
+def least_gains(found: DataFrame) -> dict[str, float]:
+    """The gain from which a candidate of an encoding counts."""
+    gain = F.floor(F.greatest(F.least("x.gain", F.lit(float(SPAN))), F.lit(-float(SPAN)))).cast("int")
+    items = found.select(F.explode("random").alias("x")).select("x.encoding", gain.alias("gain"), (F.col("x.p") > FIT).alias("fits"))
+    rows = items.groupBy("encoding", "gain", "fits").agg(F.count(F.lit(1)).alias("n")).collect()
     chosen = {}
-    for encoding, band, *above in bands:
-        random = above[-1] / (1 - THRESHOLDS[-1])
-        for t, n in zip(THRESHOLDS, above):
-            if n and n - (1 - t) * random <= FALSE_SHARE * n:
-                chosen[encoding, band] = t
-                break
+    for encoding in {r["encoding"] for r in rows}:
+        own = [r for r in rows if r["encoding"] == encoding]
+        share = _share([(r["gain"], r["n"]) for r in own if r["fits"]], sum(r["n"] for r in own if not r["fits"]))
+        chosen[encoding] = math.log((1 - FALSE_SHARE) / FALSE_SHARE) - math.log(share / (1 - share))
     return chosen
 
 
@@ -187,7 +257,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     """
     text = F.col("_text")
     own = docs.select(F.struct("*").alias("_row"), F.coalesce("text", F.lit("")).alias("_text"))
-    chosen = thresholds(candidates(own.select("_text"), text))
+    chosen = least_gains(candidates(own.select("_text"), text))
     found = own
     for kind, pattern, group, least in KINDS:
         found = found.withColumn(f"_{kind}", F.filter(matches(text, pattern, group), _at_least(least)))
@@ -202,10 +272,10 @@ def find_secrets(docs: DataFrame) -> DataFrame:
 
     def counts(m: Column) -> Column:
         limit = bar
-        for (encoding, band), t in chosen.items():
-            limit = F.when((m["encoding"] == encoding) & (m["band"] == band), F.lit(t)).otherwise(limit)
+        for encoding, least in chosen.items():
+            limit = F.when(m["encoding"] == encoding, F.lit(least)).otherwise(limit)
         clear = ~F.exists("_base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"]))
-        return F.coalesce(m["p"] > limit, F.lit(False)) & clear
+        return F.coalesce((m["p"] > FIT) & (m["gain"] >= limit), F.lit(False)) & clear
 
     found = found.withColumn("_base", base).withColumn("_random", F.filter("random", counts))
     both = F.array_sort(F.concat(F.col("_base"), spans(RANDOM, "_random", len(names))))

@@ -69,6 +69,18 @@ def test_battery_finds_keys_and_leaves_words(spark):
     assert not any(found[f"see {w} here"] for w in plain)
 
 
+def test_battery_finds_keys_alone_in_their_band_and_weighs_structure(spark):
+    draw = random.Random(11)
+    base62 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    alphabets = (base62, base62 + "+/", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
+    keys = ["".join(draw.choice(alphabet) for _ in range(n)) for alphabet in alphabets for n in (24, 40, 80, 160, 320)]
+    plain = ["check_training_module", "NORMALIZE_WHITESPACE", "clear_binding_outputs", "src/main/java/org/quick/Fox/java"]
+    frame = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    found = {text: [s for s in spans if s[0] == "random"] for text, spans in spans_of(frame)}
+    assert sum(found[f"see {k} here"] == [("random", 4, 4 + len(k))] for k in keys) >= len(keys) - 1
+    assert not any(found[f"see {w} here"] for w in plain)
+
+
 def test_battery_p_values(spark):
     keys = random_keys()
     frame = spark.createDataFrame([(k,) for k in keys + ["a" * 40, "ab" * 20]], "text string")
