@@ -3,7 +3,7 @@
 Only DataFrame functions.  Patterns are matched leftmost and without overlap; positions are code points.
 
 Candidates of the battery are runs of at least ``SHORTEST`` characters that keys are written with.  Each gets the
-narrowest encoding it fits (hex, base32, base62, base64) and, for the hypothesis that its characters are independent and
+narrowest encoding it fits (hex, base32, base36 of either case, base62, base64) and, for the hypothesis that its characters are independent and
 uniform over that alphabet, three p-values: chi-squared of the character counts (Wilson and Hilferty's
 approximation), runs below and above the middle of the alphabet (Wald and Wolfowitz), and correlation of neighbours.
 Fisher's method combines them; a candidate whose p is at most ``FIT`` is not uniform.
@@ -31,13 +31,15 @@ KINDS = (("assign", ASSIGN, 2, 12), ("access", "AKIA[A-Z0-9]{14,}", 0, 18), ("he
 RANDOM = "random"
 SHORTEST = 20
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{SHORTEST},}}={{0,2}}"
-UPPER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: encoding, what a string in it looks like, alphabet; the first that fits is taken
 ENCODINGS = (
     ("hex", "^([0-9a-f]+|[0-9A-F]+)$", DIGITS + "abcdef"),
     ("base32", "^[A-Z2-7]+$", UPPER + "234567"),
-    ("base62", "^[A-Za-z0-9]+$", UPPER + UPPER.lower() + DIGITS),
-    ("base64", "", UPPER + UPPER.lower() + DIGITS + "+/"),
+    ("base36", "^[a-z0-9]+$", LOWER + DIGITS),
+    ("BASE36", "^[A-Z0-9]+$", UPPER + DIGITS),
+    ("base62", "^[A-Za-z0-9]+$", UPPER + LOWER + DIGITS),
+    ("base64", "", UPPER + LOWER + DIGITS + "+/"),
 )
 FIT = 0.001
 FALSE_SHARE = 0.05
@@ -58,7 +60,7 @@ PAIRS = (
 ).split()
 FIRST = (5, 16, 19, 30)
 NEXT = ((1, 35, 35, 28), (8, 9, 30, 25), (23, 32, 3, 23), (4, 19, 17, 39))
-SIGNS = UPPER + UPPER.lower() + DIGITS + "+/"  # characters of structured text
+SIGNS = UPPER + LOWER + DIGITS + "+/"  # characters of structured text
 SPAN = 60  # gains beyond it, up or down, are equal to it when the share is estimated
 
 PLACEHOLDER = "<secret>"

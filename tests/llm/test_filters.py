@@ -81,6 +81,18 @@ def test_battery_finds_keys_alone_in_their_band_and_weighs_structure(spark):
     assert not any(found[f"see {w} here"] for w in plain)
 
 
+def test_battery_finds_keys_of_one_case_and_digits(spark):
+    draw = random.Random(12)
+    alphabets = ("abcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
+    kinds = [["".join(draw.choice(alphabet) for _ in range(n)) for _ in range(40)] for alphabet in alphabets for n in (32, 40, 64)]
+    keys, plain = sum(kinds, []), words() + [w.upper() for w in words()]
+    frame = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + plain)], "doc_id long, text string")
+    found = {text: [s for s in spans if s[0] == "random"] for text, spans in spans_of(frame)}
+    for kind in kinds:
+        assert sum(found[f"see {k} here"] == [("random", 4, 4 + len(k))] for k in kind) >= 0.9 * len(kind)
+    assert not any(found[f"see {w} here"] for w in plain)
+
+
 def test_battery_p_values(spark):
     keys = random_keys()
     frame = spark.createDataFrame([(k,) for k in keys + ["a" * 40, "ab" * 20]], "text string")
