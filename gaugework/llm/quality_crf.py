@@ -18,10 +18,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.logistic import calibrate, fit, sigmoid
+from gaugework.session import cut_lineage
 
 SYMBOLS = "#*$%&|<>"
 TRAINING_ROWS = 3_000  # labelled rows used at most, those with the smallest hash of doc_id
-TRAINING_LINES = 200  # lines of a training row used at most, from the middle of the text
+TRAINING_LINES = 600_000  # lines of all training rows at most; fewer rows are used then, but each as a whole
 CALIBRATION = 3  # one row in so many is kept for calibration
 ROUNDS = 150
 PENALTY = 1e-3
@@ -126,26 +127,44 @@ def marginals(unary: np.ndarray, ends: np.ndarray, turns: np.ndarray) -> tuple[n
     return both[:, 1] / both.sum(1), pairs
 
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> LineField:
-    """A field learnt from at most ``rows`` labelled documents outside the held-out fold.  Null labels, ids and texts are not used."""
+def fitting(counts: list[tuple[int, int]], most: int) -> list[int]:
+    """The first ids of (id, lines) whose lines are ``most`` together; one that has more on its own is passed over."""
+    ids, total = [], 0
+    for i, lines in counts:
+        if lines > most:
+            continue
+        total += lines
+        if total > most:
+            break
+        ids.append(i)
+    return ids
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines: int = TRAINING_LINES) -> LineField:
+    """A field learnt from whole texts of at most ``rows`` labelled documents outside the held-out fold, in order of their hash
+    while their lines are at most ``lines`` together.  Null labels, ids and texts are not used."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality IN (0, 1)").dropna()
     marked = marked.where(fold(F.col("doc_id")) != HELD_OUT).dropDuplicates(["doc_id"])
-    chosen = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = cut_lineage(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
+    texts = docs.select(F.col("doc_id").cast("long"), "text").dropna()
+    breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
+    counts = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max(breaks + 1).alias("lines"))
+    counts = [(r["doc_id"], r["lines"]) for r in counts.orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    ids = fitting(counts, lines)
+    chosen = chosen.where(F.col("doc_id").isin(ids)) if len(ids) < len(counts) else chosen
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, sizes = [], []
             for text in batch.column("text").to_pylist():
                 own, lengths = line_features(text)
-                low = max(0, (len(own) - TRAINING_LINES) // 2)
-                found.append(own[low : low + TRAINING_LINES].astype("<f4").tobytes())
-                sizes.append(lengths[low : low + TRAINING_LINES].astype("<f4").tobytes())
+                found.append(own.astype("<f4").tobytes())
+                sizes.append(lengths.astype("<f4").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("quality"), pa.array(found, pa.binary()), pa.array(sizes, pa.binary())],
                 names=["doc_id", "quality", "found", "sizes"],
             )
 
-    texts = docs.select(F.col("doc_id").cast("long"), "text").dropna()
     made = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, found binary, sizes binary")
     sample = [r for _, r in sorted({r["doc_id"]: r for r in made.collect()}.items()) if r["sizes"]]
     owns = [np.frombuffer(r["found"], "<f4").reshape(-1, OWN).astype(np.float64) for r in sample]

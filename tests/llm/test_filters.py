@@ -268,6 +268,20 @@ def test_line_field_of_odd_rows(spark, odd, none):
     assert quality_crf.score_quality(none, field).collect() == []
 
 
+def test_line_field_learns_from_whole_texts(spark):
+    draw = random.Random(13)
+    clean = lambda n: [" ".join(draw.choice(["tree", "river", "house", "stone", "cloud"]) for _ in range(9)) + "." for _ in range(n)]
+    junk = lambda n: ["$$$ | FREE!!! | 77%%% | " * draw.randrange(1, 4) for _ in range(n)]
+    texts = [clean(600) if i % 2 else junk(180) + clean(240) + junk(180) for i in range(60)]
+    docs = spark.createDataFrame([(i, "\n".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, quality int")
+    for lines in (quality_crf.TRAINING_LINES, 12_000):
+        rows = quality_crf.score_quality(docs, quality_crf.train(docs, labels, lines=lines)).collect()
+        assert area([r["score"] for r in rows], [r["doc_id"] % 2 for r in rows]) > 0.95
+    assert quality_crf.fitting([(1, 5), (2, 99), (3, 5), (4, 1)], 10) == [1, 3]
+    assert quality_crf.fitting([], 10) == []
+
+
 def test_logistic_and_calibration():
     draw = np.random.default_rng(2)
     x = draw.normal(size=(400, 5))
