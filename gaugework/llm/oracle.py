@@ -185,7 +185,104 @@ FROM judged j LEFT JOIN trust_10 t ON t.host = j.host LEFT JOIN doubt_10 d ON d.
 """
 
 
+_NULLS = "coalesce(lang, '') AS lang, coalesce(source, '') AS source"
+_TERMS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"
+DIVERGENCE = f"""
+WITH docs AS (SELECT {_NULLS}, {_TERMS} AS terms FROM documents
+), kept AS (
+  SELECT lang, term FROM (SELECT lang, unnest(list_distinct(terms)) AS term FROM docs) GROUP BY lang, term HAVING count(*) >= 10
+), found AS (
+  SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(terms) AS term FROM docs)
+  SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term
+), groups AS (SELECT DISTINCT lang, source FROM docs
+), sizes AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang
+), cells AS (
+  SELECT g.lang, g.source, k.term, coalesce(f.n, 0) AS n FROM groups g JOIN kept k ON k.lang = g.lang
+  LEFT JOIN found f ON f.lang = g.lang AND f.source = g.source AND f.term = k.term
+), totals AS (SELECT lang, term, sum(n) AS n FROM cells GROUP BY lang, term
+), shares AS (
+  SELECT c.*, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY c.lang, source) + 2 * v) AS BIGINT) AS p
+  FROM cells c JOIN sizes s ON s.lang = c.lang
+), common AS (
+  SELECT t.lang, term, CAST(1 + (1000000000::HUGEINT * (n + 2)) // (sum(n) OVER (PARTITION BY t.lang) + 2 * v) AS BIGINT) AS q
+  FROM totals t JOIN sizes s ON s.lang = t.lang
+), pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY a.lang, a.source, b.source
+), found_all AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source
+  LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL
+  SELECT s.lang, s.source, 'term', s.term, CAST((p - q) * (p - q) // (p + q) AS BIGINT)
+  FROM shares s JOIN common c ON c.lang = s.lang AND c.term = s.term WHERE s.n > 0 AND p > q
+)
+SELECT * FROM (
+  SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found_all
+) WHERE part = 'pair' OR rank <= 10
+"""
+
+
+def _code_steps(rounds: int = 2) -> str:
+    """Assignments and codebooks by turns; the first codebook is c0, the last assignment a{rounds}."""
+    steps = []
+    for i in range(rounds + 1):
+        steps.append(f"""a{i} AS (
+  SELECT row, part, arg_min({{'entry': entry, 'd': d}}, d * 64 + entry) AS got FROM (
+    SELECT p.row, p.part, c.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda j: (p.x[j] - c.x[j]) * (p.x[j] - c.x[j])))::BIGINT AS d
+    FROM pieces p JOIN c{i} c ON c.part = p.part) GROUP BY row, part)""")
+        if i < rounds:
+            steps.append(f"""m{i} AS (
+  SELECT part, entry, list(m ORDER BY j) AS x FROM (
+    SELECT a.part, a.got.entry AS entry, j, CAST(floor_div(sum(p.x[j]), count(*)) AS BIGINT) AS m
+    FROM a{i} a JOIN pieces p ON p.row = a.row AND p.part = a.part, LATERAL (SELECT unnest(range(1, len(p.x) + 1)) AS j)
+    GROUP BY a.part, a.got.entry, j) GROUP BY part, entry
+), c{i + 1} AS (SELECT c.part, c.entry, coalesce(m.x, c.x) AS x FROM c{i} c LEFT JOIN m{i} m ON m.part = c.part AND m.entry = c.entry)""")
+    return ", ".join(steps).replace("floor_div(sum(p.x[j]), count(*))", "(sum(p.x[j]) - ((sum(p.x[j]) % count(*)) + count(*)) % count(*)) // count(*)")
+
+
+CODES = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id, embedding) AS row, vec_id, label,
+    list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS x
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pieces AS (
+  SELECT row, part, x[part * len(x) // 16 + 1:(part + 1) * len(x) // 16] AS x FROM (SELECT row, x, unnest(range(16)) AS part FROM kept)
+), c0 AS (SELECT part, row - 1 AS entry, x FROM pieces WHERE row <= 64
+), {_code_steps()}
+, books AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS sha FROM c2
+), coded AS (
+  SELECT k.vec_id, k.label, string_agg(printf('%02x', a.got.entry), '' ORDER BY a.part) AS code, CAST(sum(a.got.d) AS BIGINT) AS error
+  FROM kept k JOIN a2 a ON a.row = k.row GROUP BY k.row, k.vec_id, k.label
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, sha AS codebooks_sha256
+FROM coded, books
+"""
+
+_LEAK_WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+LEAKS = f"""
+WITH docs AS (SELECT doc_id, {_LEAK_WORDS} AS w FROM documents
+), items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {_LEAK_WORDS} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT item, least(len(w), 10) AS k, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM (SELECT item, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS i FROM items WHERE len(w) > 0)
+), places AS (
+  SELECT doc_id, k, i, array_to_string(w[i:i + k - 1], ' ') AS g FROM (
+    SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM docs, (SELECT DISTINCT k FROM windows) WHERE len(w) >= k)
+), hits AS (SELECT p.doc_id, p.i, p.k, w.item FROM places p JOIN windows w ON w.k = p.k AND w.g = p.g
+), covered AS (
+  SELECT doc_id, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS spot FROM hits) GROUP BY doc_id
+), found AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item FROM hits) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(f.n_items, 0) AS n_items,
+  sha256(coalesce(f.ids, '')) AS items_sha256, coalesce(c.n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN covered c ON c.doc_id = d.doc_id LEFT JOIN found f ON f.doc_id = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op2_secret_scan": SECRETS, "op4_url_filter": URLS, "op7_ngram_jaccard_join": JACCARD, "op9_substring_dedup": REPEATS,
+        "op11_divergence_audit": DIVERGENCE, "op12_vector_codes": CODES, "op13_decontamination": LEAKS,
     }

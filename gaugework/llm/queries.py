@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gaugework.llm import fingerprints, ngram_join, packing, quality_crf, quality_rules, secret_scan
-from gaugework.llm import sentencepiece_codec, sharding, substring_dedup, url_filter
+from gaugework.llm import decontamination, divergence, fingerprints, ngram_join, packing, quality_crf, quality_rules
+from gaugework.llm import secret_scan, sentencepiece_codec, sharding, substring_dedup, url_filter, vector_codes
 from gaugework.llm.common import documents, text_or_empty
 
 PIECES = "piece_bpe_32k.model"
@@ -98,9 +98,27 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "quality.*")
 
 
+def op11_divergence_audit(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(documents(spark, sf).select("lang", "source", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf: str) -> DataFrame:
+    coded, books = vector_codes.compress(documents(spark, sf, "embeddings").select("vec_id", "embedding", "label"))
+    return coded.select("vec_id", "code", "error", "label_error", F.sha2(F.lit(books.decimals()), 256).alias("codebooks_sha256"))
+
+
+def op13_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    found = decontamination.find_benchmark(documents(spark, sf).select("doc_id", "text"), documents(spark, sf, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_sentencepiece, op2_secret_scan, op3_best_fit_packing, op4_url_filter, op5_sharding, op6_fingerprints,
-        op7_ngram_jaccard_join, op8_quality_crf, op9_substring_dedup, op10_quality_rules,
+        op7_ngram_jaccard_join, op8_quality_crf, op9_substring_dedup, op10_quality_rules, op11_divergence_audit, op12_vector_codes,
+        op13_decontamination,
     )
     return {f.__name__: f for f in found}
