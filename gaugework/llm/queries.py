@@ -19,10 +19,10 @@ BYTE_BPE, BYTE_RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 def op1_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     """Ids of each text, and whether decoding them gives the text back."""
     model = public_tokenizers.path(PIECES)
-    rows = sentencepiece_codec.encode(documents(spark, sf).select("doc_id", text_or_empty().alias("text")), model)
-    rows = sentencepiece_codec.decode(rows, model, into="decoded")
-    same = (F.col("decoded") == F.col("text")).alias("round_trip")
-    return rows.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", same)
+    texts = documents(spark, sf).select("doc_id", text_or_empty().alias("text"))
+    coded = sentencepiece_codec.round_trip(texts, model)
+    same = (F.col("coded.decoded") == F.col("text")).alias("round_trip")
+    return coded.select("doc_id", F.size("coded.ids").cast("long").alias("n_tokens"), "coded.ids", same)
 
 
 def _joined(spans: str, *kinds: str) -> Column:

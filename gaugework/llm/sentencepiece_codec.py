@@ -16,8 +16,12 @@ words one after another; each distinct word of a task is searched once.
 
 from __future__ import annotations
 
+import os
 import re
+import sys
 from array import array
+from collections.abc import Iterator
+from types import SimpleNamespace
 
 import ahocorasick
 import numpy as np
@@ -28,8 +32,8 @@ from pyspark.sql import functions as F
 MARK = "▁"  # stands for a blank
 UNKNOWN = 10.0
 UNIGRAM, BPE = 1, 2
-WORDS = 200_000  # words whose ids a task remembers
-PAIRS = 500_000  # pairs of pieces of which a task remembers whether they may be neighbours
+WORDS = 200_000  # words whose ids a worker remembers, and as many that it used before these
+PAIRS = 500_000  # pairs of pieces of which a worker remembers whether they may be neighbours
 ROWS = 200  # rows that are Python objects at a time
 
 
@@ -70,6 +74,7 @@ class PieceModel(dict):
 
     def __init__(self, path: str):
         super().__init__()
+        self.older: dict[str, bytes] = {}
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -217,8 +222,12 @@ class PieceModel(dict):
 
     def __missing__(self, word: str) -> bytes:
         if len(self) >= WORDS:
+            self.older = dict(self)
             self.clear()
-        found = self[word] = array("i", self.segment(word)).tobytes()
+        found = self.older.get(word)
+        if found is None:
+            found = array("i", self.segment(word)).tobytes()
+        self[word] = found
         return found
 
     def encode(self, text: str) -> bytes:
@@ -237,33 +246,59 @@ class PieceModel(dict):
         return text[1:] if text.startswith(" ") else text
 
 
+def _loaded(path: str) -> PieceModel:
+    """The model of a worker process, with the words it has met: functions that travel to the executors have globals of
+    their own in each task, so it is kept beside the modules."""
+    held = sys.modules.setdefault("_piece_models", SimpleNamespace(models={})).models
+    key = (path, os.path.getmtime(path))
+    if key not in held:
+        held.clear()
+        held[key] = PieceModel(path)
+    return held[key]
+
+
+def _encoded(model: PieceModel, texts: pa.Array) -> Iterator[bytes]:
+    """The ids of each text."""
+    for low in range(0, len(texts), ROWS):
+        yield from (model.encode(x or "") for x in texts.slice(low, ROWS).to_pylist())
+
+
+def _lists(buffers: list[bytes]) -> pa.ListArray:
+    bounds = np.cumsum([0, *(len(x) // 4 for x in buffers)], dtype=np.int32)
+    return pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(buffers), np.int32)))
+
+
 def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -> DataFrame:
     """``docs`` with the ids of a text column.  Null and empty texts have no ids.  All rows and columns stay; a column
     of that name is replaced.  A literal blank mark is read as a blank, as the format has it."""
-    loaded: list[PieceModel] = []
 
     def run(texts: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(PieceModel(model))
-        ends, buffers = [0], []
-        for low in range(0, len(texts), ROWS):
-            found = [loaded[0].encode(x or "") for x in texts.slice(low, ROWS).to_pylist()]
-            ends += [len(x) // 4 for x in found]
-            buffers.append(b"".join(found))
-        ids = pa.array(np.frombuffer(b"".join(buffers), np.int32))
-        return pa.ListArray.from_arrays(np.cumsum(ends, dtype=np.int32), ids)
+        return _lists(list(_encoded(_loaded(model), texts)))
 
     return docs.withColumn(into, F.arrow_udf(run, "array<int>")(text))
 
 
 def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "text") -> DataFrame:
     """``rows`` with the text of an array of ids; null and empty arrays give the empty text, null ids are skipped."""
-    loaded: list[PieceModel] = []
 
     def run(lists: pa.Array) -> pa.Array:
-        if not loaded:
-            loaded.append(PieceModel(model))
         parts = (lists.slice(low, ROWS).to_pylist() for low in range(0, len(lists), ROWS))
-        return pa.array([loaded[0].decode(x or []) for part in parts for x in part], pa.string())
+        return pa.array([_loaded(model).decode(x or []) for part in parts for x in part], pa.string())
 
     return rows.withColumn(into, F.arrow_udf(run, "string")(ids))
+
+
+def round_trip(docs: DataFrame, model: str, text: str = "text", into: str = "coded") -> DataFrame:
+    """``docs`` with a struct of ids, as encode gives them, and decoded, the text that decode makes of these ids.
+
+    Both in one step: a decoder that follows the encoder in the same plan would call it once more.
+    """
+
+    def run(texts: pa.Array) -> pa.Array:
+        known, buffers, decoded = _loaded(model), [], []
+        for found in _encoded(known, texts):
+            buffers.append(found)
+            decoded.append(known.decode(np.frombuffer(found, np.int32).tolist()))
+        return pa.StructArray.from_arrays([_lists(buffers), pa.array(decoded, pa.string())], names=["ids", "decoded"])
+
+    return docs.withColumn(into, F.arrow_udf(run, "ids array<int>, decoded string")(text))

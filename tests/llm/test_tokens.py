@@ -19,6 +19,27 @@ BPE, RANKS = (public_tokenizers.path(f"byte_bpe_50k.{x}") for x in ("json", "tik
 ODD_TEXTS = ["", " ", "  a", "a  b ", "a \n b", "a\n b", "\n\n x  ", "don't", " a", "a ", " \n", "x \t y", "é　漢字 😀", "x\0y z", "a" * 300]
 
 
+def test_texts_are_encoded_once(spark, sf, texts):
+    found = queries.op1_sentencepiece(spark, sf)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("run(") == 1, plan
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    rows = {r["doc_id"]: r for r in found.collect()}
+    assert len(rows) == len(texts)
+    for doc_id, text in texts:
+        ids = library.encode(text or "")
+        assert (rows[doc_id]["ids"], rows[doc_id]["n_tokens"]) == (ids, len(ids)), doc_id
+        assert rows[doc_id]["round_trip"] == (library.decode(ids) == text), doc_id
+
+
+def test_words_are_remembered_in_two_halves(monkeypatch, texts):
+    monkeypatch.setattr(sentencepiece_codec, "WORDS", 50)
+    model, library = PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    for text in [t for _, t in texts[:40]]:
+        assert np.frombuffer(model.encode(text), np.int32).tolist() == library.encode(text)
+        assert len(model) <= 50 and len(model.older) <= 50
+
+
 @pytest.fixture(scope="module")
 def unigram(tmp_path_factory):
     """The library's own best-score search over the same pieces: the model file with its type set to unigram."""
