@@ -352,6 +352,7 @@ def oracle_sql() -> dict[str, str]:
         "preview": messy(f"SELECT row_id, {ALL} FROM messy ORDER BY row_id LIMIT 10"),
         "write_csv": f"SELECT * REPLACE (strftime(ts, {DAY}) AS ts) FROM events",
         "csv_text_roundtrip": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
+        "csv_single_file": "SELECT doc_id, sha256(text) AS text_sha256 FROM documents",
         "write_parquet": f"SELECT * REPLACE (CASE WHEN event_id % 7 < 2 THEN NULL ELSE value END AS value, strftime(ts, {DAY}) AS ts) FROM events",
         "row_numbers": "SELECT row_number() OVER (ORDER BY c_custkey) - 1 AS _row_id, c_custkey FROM customer",
         "load_named": "SELECT c_mktsegment, count(*) AS rows FROM customer GROUP BY 1",

@@ -122,6 +122,13 @@ def csv_text_roundtrip(spark, sf):
     return files.read_csv(spark, path).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
 
 
+def csv_single_file(spark, sf):
+    """The same texts in one file, which several tasks read as soon as it is larger than a split."""
+    texts = table(spark, sf, "documents").select("doc_id", "text").coalesce(1)
+    path = files.write_csv(texts, scratch_path(spark, "texts") + ".csv")
+    return files.read_csv(spark, path).select("doc_id", F.sha2("text", 256).alias("text_sha256"))
+
+
 def write_parquet(spark, sf):
     path = files.write_parquet(events_null(spark, sf), scratch_path(spark, "out") + ".parquet")
     return _as_text(files.load_table(spark, path), "ts")
@@ -293,7 +300,8 @@ def _typed(spark, sf) -> tuple[DataFrame, dict, dict]:
 
 def missing_tests(spark, sf):
     """Every tested pair, and how many tests its target has."""
-    found = missing_p_values(spark, sf).select("target", "column", "method", "value", "tests")
+    messy, types, summary = _typed(spark, sf)
+    found = missing.associations(messy, types, summary).select("target", "column", "method", "value", "tests")
     return _rounded(found, 4, "value")
 
 
@@ -706,7 +714,7 @@ def queries() -> dict:
         "input_guards": input_guards,
         "preview": preview,
         "write_csv": write_csv,
-        "csv_text_roundtrip": csv_text_roundtrip,
+        "csv_text_roundtrip": csv_text_roundtrip, "csv_single_file": csv_single_file,
         "write_parquet": write_parquet,
         "row_numbers": row_numbers,
         "load_named": load_named,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -12,6 +12,7 @@ from gaugework.config import DEFAULTS, ROW_ID, Thresholds
 from gaugework.functions import scalars as S
 from gaugework.operators.summary import long_form
 from gaugework.session import col, cut_lineage, small_frame
+from gaugework.sources.records import PLACE, csv_records
 
 _MALFORMED = "_malformed_line"
 # Texts a CSV reader takes for a boolean.
@@ -20,57 +21,94 @@ _BOOLEAN_TEXTS = ("True", "TRUE", "true", "False", "FALSE", "false")
 
 @dataclass(frozen=True)
 class CsvFormat:
+    """How to read some files; ``broken`` are those with quoted values that run over lines, ``plain`` the others."""
+
     separator: str
     encoding: str
     header: list[str]
+    broken: tuple[str, ...] = ()
+    plain: tuple[str, ...] = ()
 
 
 # -- finding out the format --------------------------------------------------
 
 
+def look_at_files(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """file, semicolons, commas (both outside quotes), valid_utf8, breaks: one scan of the raw lines.
+
+    ``breaks`` says that some line has an odd number of quotes, as where a quoted value runs over it.  The text source
+    hands lines over as raw bytes, and no line break can fall inside a UTF-8 sequence, so files are checked split by split.
+    """
+    value = F.col("value")
+    marked = value.contains('"')
+    bare = F.when(marked, F.regexp_replace(value, r'"[^"]*"', "")).otherwise(value)
+
+    def held(text: Column, mark: str) -> Column:
+        return F.length(text) - F.length(F.replace(text, F.lit(mark), F.lit("")))
+
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
+    return lines.groupBy("file").agg(
+        F.sum(held(bare, ";")).alias("semicolons"),
+        F.sum(held(bare, ",")).alias("commas"),
+        F.bool_and(F.is_valid_utf8(value)).alias("valid_utf8"),
+        F.max(marked & (held(value, '"') % 2 == 1)).alias("breaks"),
+    )
+
+
+def _separator(looks: list[Row]) -> str:
+    """``;`` when the lines, outside quotes, hold more of them than commas."""
+    return ";" if sum(r["semicolons"] for r in looks) > sum(r["commas"] for r in looks) else ","
+
+
+def _encoding(looks: list[Row]) -> str:
+    """One encoding for all files: windows-1252, in which every byte is a character, as soon as one is not UTF-8."""
+    return "UTF-8" if all(r["valid_utf8"] for r in looks) else "windows-1252"
+
+
 def sniff_separator(spark: SparkSession, path: str) -> str:
-    """``;`` when the lines, outside quotes, hold more of them than commas: one count over all of them."""
-    bare = F.regexp_replace("value", r'"[^"]*"', "")
-    held = [F.sum(F.length(bare) - F.length(F.replace(bare, F.lit(mark), F.lit("")))) for mark in ";,"]
-    semicolons, commas = spark.read.text(path).agg(*held).first()
-    return ";" if (semicolons or 0) > (commas or 0) else ","
+    return _separator(look_at_files(spark, path).collect())
 
 
 def file_encodings(spark: SparkSession, path: str) -> DataFrame:
-    """file, encoding: UTF-8 when every line of the file is valid, else windows-1252.
-
-    Every byte is a windows-1252 character, so that reading cannot fail.  The
-    text source hands lines over as raw bytes, and no line break can fall
-    inside a UTF-8 sequence, so the whole file is checked split by split.
-    """
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), "value")
-    valid = F.bool_and(F.is_valid_utf8("value"))
-    return lines.groupBy("file").agg(F.when(valid, "UTF-8").otherwise("windows-1252").alias("encoding"))
+    """file, encoding: UTF-8 when every line of the file is valid, else windows-1252."""
+    encoding = F.when(F.col("valid_utf8"), "UTF-8").otherwise("windows-1252").alias("encoding")
+    return look_at_files(spark, path).select(F.substring_index("file", "/", -1).alias("file"), encoding)
 
 
 def sniff_encoding(spark: SparkSession, path: str) -> str:
-    """One encoding for all files: windows-1252 as soon as one of them needs it."""
-    found = file_encodings(spark, path).select("encoding").distinct().collect()
-    return "windows-1252" if any(r[0] != "UTF-8" for r in found) else "UTF-8"
+    return _encoding(look_at_files(spark, path).collect())
 
 
 def csv_format(
     spark: SparkSession, path: str, separator: str | None = None, encoding: str | None = None
 ) -> CsvFormat:
-    separator = separator or sniff_separator(spark, path)
-    encoding = encoding or sniff_encoding(spark, path)
-    header = _reader(spark, separator, encoding).option("multiLine", any(files_with_breaks(spark, path).values())).csv(path).columns
-    return CsvFormat(separator, encoding, header)
+    looks = look_at_files(spark, path).collect()
+    separator, encoding = separator or _separator(looks), encoding or _encoding(looks)
+    broken = tuple(sorted(r["file"] for r in looks if r["breaks"]))
+    header = _reader(spark, separator, encoding).option("multiLine", bool(broken)).csv(path).columns
+    return CsvFormat(separator, encoding, header, broken, tuple(sorted(r["file"] for r in looks if not r["breaks"])))
 
 
-def _reader(spark: SparkSession, separator: str, encoding: str):
+def _with_files(spark: SparkSession, path: str, form: CsvFormat) -> CsvFormat:
+    """A format with its files, which one made by hand may lack."""
+    if form.broken or form.plain:
+        return form
+    looks = look_at_files(spark, path).collect()
+    files = (tuple(sorted(r["file"] for r in looks if r["breaks"] == breaks)) for breaks in (True, False))
+    return CsvFormat(form.separator, form.encoding, form.header, *files)
+
+
+def _readable(encoding: str) -> str:
     # Spark reads no windows-1252; ISO-8859-1 is the same but for 0x80 to 0x9F,
-    # which read_csv_text puts right.
-    readable = "ISO-8859-1" if encoding == "windows-1252" else encoding
+    # which is put right after reading.
+    return "ISO-8859-1" if encoding == "windows-1252" else encoding
+
+
+def _reader(spark: SparkSession, separator: str, encoding: str):
     return (
         spark.read.option("header", True)
         .option("sep", separator)
-        .option("encoding", readable)
+        .option("encoding", _readable(encoding))
         .option("escape", '"')
         .option("inferSchema", False)
     )
@@ -80,53 +118,74 @@ def _reader(spark: SparkSession, separator: str, encoding: str):
 
 
 def _fields(line: Column, separator: str) -> Column:
-    """Number of fields on a line; separators inside quotes do not count."""
+    """Number of fields of a record; separators inside quotes do not count."""
     bare = F.regexp_replace(line, r'"[^"]*"', "")
     return F.length(bare) - F.length(F.replace(bare, F.lit(separator), F.lit(""))) + 1
 
 
-def files_with_breaks(spark: SparkSession, path: str) -> dict[str, bool]:
-    """Each file, and whether some quoted value of it runs over a line: then a line has an odd number of quotes."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), "value")
-    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
-    return {r[0]: r[1] for r in lines.groupBy("file").agg(F.max(quotes % 2 == 1)).collect()}
+def read_csv_text(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
+    """All columns as text.  Records with too many fields are left out, short ones
+    are padded with NULL.  Files are cut into splits, also those whose quoted values run over lines.
+    """
+    return _placed_records(spark, path, form).select(*map(col, form.header))
 
 
-def read_csv_text(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
-    """All columns as text.  Lines with too many fields are left out, short ones
-    are padded with NULL.
+def _placed_records(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
+    """The columns, and where each record stands: _file, _start of its split and _at, ascending within it."""
+    form = _with_files(spark, path, form)
+    if form.broken:
+        joined = _joined_records(spark, form)
+        return joined.unionByName(_read_records(spark, list(form.plain), form)) if form.plain else joined
+    return _read_records(spark, path, form)
 
-    Files are cut into splits, except those with quoted line breaks: each of
-    these is read by one task, since only its beginning says which breaks are quoted.
-    """
-    broken = files_with_breaks(spark, path)
-    if not any(broken.values()):
-        return _read_records(spark, path, form, False)
-    whole = _read_records(spark, [f for f, breaks in broken.items() if breaks], form, True)
-    plain = [f for f, breaks in broken.items() if not breaks]
-    return whole.unionByName(_read_records(spark, plain, form, False)) if plain else whole
+
+def _schema(form: CsvFormat) -> T.StructType:
+    return T.StructType([T.StructField(c, T.StringType()) for c in [*form.header, _MALFORMED]])
 
 
-def _read_records(spark: SparkSession, path: str | list[str], form: CsvFormat, over_lines: bool) -> DataFrame:
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*form.header, _MALFORMED]])
+def _read_records(spark: SparkSession, path: str | list[str], form: CsvFormat) -> DataFrame:
+    """Records that are lines."""
     lines = (
         _reader(spark, form.separator, form.encoding)
-        .schema(schema)
+        .schema(_schema(form))
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", _MALFORMED)
         .option("columnPruning", False)  # a pruned parse does not see surplus fields
-        .option("multiLine", over_lines)
         .csv(path)
     )
     malformed = F.col(_MALFORMED)
-    too_long = malformed.isNotNull() & (_fields(malformed, form.separator) > len(form.header))
     # A scan of the malformed-line column alone is refused, so the filter always
     # reads a data column as well.
     with_data = F.length(F.concat_ws("", col(form.header[0]), malformed)) >= 0
-    kept = lines.filter(~too_long & with_data)
-    if form.encoding != "windows-1252":
-        return kept.select(*map(col, form.header))
-    return kept.select(*[F.translate(col(c), *_upper_windows()).alias(c) for c in form.header])
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    placed = [x.alias(n) for x, n in zip(place, PLACE)]
+    return lines.filter(~_too_long(malformed, form) & with_data).select(*_columns(form), *placed)
+
+
+def _too_long(malformed: Column, form: CsvFormat) -> Column:
+    return malformed.isNotNull() & (_fields(malformed, form.separator) > len(form.header))
+
+
+def _columns(form: CsvFormat, source: Column | None = None) -> list[Column]:
+    cells = [col(c) if source is None else source[c] for c in form.header]
+    if form.encoding == "windows-1252":
+        cells = [F.translate(c, *_upper_windows()) for c in cells]
+    return [c.alias(n) for c, n in zip(cells, form.header)]
+
+
+def _record_texts(spark: SparkSession, form: CsvFormat) -> DataFrame:
+    """_file, _start, _at and text of the records of files whose quoted values run over lines."""
+    records = csv_records(spark, list(form.broken), form.separator)
+    text = F.col("text").cast("string") if form.encoding == "UTF-8" else F.decode("text", _readable(form.encoding))
+    return records.withColumn("text", text)
+
+
+def _joined_records(spark: SparkSession, form: CsvFormat) -> DataFrame:
+    options = {"sep": form.separator, "escape": '"', "mode": "PERMISSIVE", "columnNameOfCorruptRecord": _MALFORMED}
+    schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in [*form.header, _MALFORMED])
+    parsed = _record_texts(spark, form).withColumn("record", F.from_csv("text", schema, options))
+    record = F.col("record")
+    return parsed.where(~_too_long(record[_MALFORMED], form)).select(*_columns(form, record), *PLACE)
 
 
 def _upper_windows() -> tuple[str, str]:
@@ -137,9 +196,14 @@ def _upper_windows() -> tuple[str, str]:
 
 
 def bad_lines(spark: SparkSession, path: str, form: CsvFormat) -> DataFrame:
-    """The lines with too many fields: file, line."""
-    lines = spark.read.text(path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
-    return lines.filter(_fields(F.col("line"), form.separator) > len(form.header))
+    """The records with too many fields: file, line (several lines where a quoted value runs over them)."""
+    form = _with_files(spark, path, form)
+    name = F.substring_index(F.col("_file"), "/", -1).alias("file")
+    found = _record_texts(spark, form).select(name, F.col("text").alias("line")) if form.broken else None
+    if form.plain or found is None:
+        lines = spark.read.text(list(form.plain) or path).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("line"))
+        found = lines if found is None else found.unionByName(lines)
+    return found.filter(_fields(F.col("line"), form.separator) > len(form.header))
 
 
 def map_null_tokens(df: DataFrame) -> DataFrame:
@@ -192,9 +256,13 @@ def read_csv(
 ) -> DataFrame:
     """A CSV file or folder as a typed table; quoted values may hold line breaks."""
     form = csv_format(spark, path, separator, encoding)
-    table = map_null_tokens(read_csv_text(spark, path, form))
-    typed = apply_storage(table, infer_storage(table))
-    return with_row_id(typed) if row_ids else typed
+    placed = _placed_records(spark, path, form)
+    table = map_null_tokens(placed.select(*map(col, form.header)))
+    storage = infer_storage(table)
+    if not row_ids:
+        return apply_storage(table, storage)
+    typed = apply_storage(map_null_tokens(placed.select(*map(col, form.header), *PLACE)), storage)
+    return _numbered(typed, form.header, ROW_ID)
 
 
 def load_table(spark: SparkSession, path: str, row_ids: bool = False) -> DataFrame:
@@ -214,26 +282,26 @@ def load_named(spark: SparkSession, folder: str, name: str, suffix: str = "parqu
 
 
 def with_row_id(df: DataFrame, row_id: str = ROW_ID) -> DataFrame:
-    """Number the rows of a file-backed table 0, 1, 2 ... in file order.
+    """Number the rows of a file-backed table 0, 1, 2 ... in file order."""
+    place = (F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    return _numbered(df.select("*", *[x.alias(n) for x, n in zip(place, PLACE)]), df.columns, row_id)
+
 
-    Rows are tagged with their file and split and written once; each split then
-    gets the number of rows before it.  Only the table of splits is ordered in
-    one place.
+def _numbered(placed: DataFrame, columns: list[str], row_id: str) -> DataFrame:
+    """Rows by file, split and place in the split; numbers in a split may have gaps.
+
+    Rows are written once; each split then gets the number of rows before it.  A split's rows are ordered by one task,
+    and only the table of splits is ordered in one place.
     """
-    place = ["_file", "_start"]
-    tagged = cut_lineage(
-        df.select(
-            "*",
-            F.col("_metadata.file_path").alias("_file"),
-            F.col("_metadata.file_block_start").alias("_start"),
-            F.monotonically_increasing_id().alias("_at"),
-        )
-    )
-    splits = tagged.groupBy(*place).agg(F.min("_at").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    before = Window.orderBy(*place).rowsBetween(Window.unboundedPreceding, -1)
+    file, start, at = PLACE
+    tagged = cut_lineage(placed)
+    splits = tagged.groupBy(file, start).agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy(file, start).rowsBetween(Window.unboundedPreceding, -1)
     offsets = splits.withColumn("_offset", F.coalesce(F.sum("_rows").over(before), F.lit(0))).drop("_rows")
-    number = F.col("_offset") + F.col("_at") - F.col("_first")
-    return tagged.join(offsets, place).select(number.alias(row_id), *map(col, df.columns))
+    within = F.row_number().over(Window.partitionBy(file, start).orderBy(at)) - 1
+    number = F.col("_offset") + F.col("_within")
+    placed_in = tagged.withColumn("_within", within)
+    return placed_in.join(offsets, [file, start]).select(number.alias(row_id), *map(col, columns))
 
 
 # -- guards and sinks --------------------------------------------------------

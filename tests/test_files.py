@@ -1,8 +1,11 @@
 """CSV rules, encodings, row numbers and sinks."""
 
+import random
+
+import numpy as np
 import pytest
 
-from gaugework.sources import files, mess
+from gaugework.sources import files, mess, records
 from gaugework.sources.files import CsvFormat
 
 
@@ -92,3 +95,80 @@ def test_mess_is_repeatable(spark):
 
 def test_format_dataclass():
     assert CsvFormat(",", "UTF-8", ["a"]).separator == ","
+
+
+BREAKS = 'k,t,x\n1,"a\nb, ""c""\n\n",u\n2,plain,v\n\n3,"5"" wide",w\n4,5" tall,w\n5,"last\r\nline",z\n'
+
+
+@pytest.mark.parametrize("size", [40, 90])
+def test_quoted_line_breaks_in_splits_of_any_size(spark, tmp_path, size):
+    """Records over the borders of many splits of one file, next to a file without line breaks."""
+    path = write(tmp_path, BREAKS + "".join(f'{i},"{"p" * (i % 9)}\n{"q" * (i % 5)}",{i}\r\n' for i in range(6, 20)), "k,t,x\n70,a,b\n")
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, size)
+    try:
+        form = files.csv_format(spark, path)
+        assert [f.rsplit("/", 1)[-1] for f in form.broken] == ["part-0.csv"]
+        rows = files.read_csv_text(spark, path, form).collect()
+        numbered = files.read_csv(spark, path, row_ids=True).collect()
+    finally:
+        spark.conf.set(key, before)
+    expected = [
+        ("1", 'a\nb, "c"\n\n', "u"), ("2", "plain", "v"), ("3", '5" wide', "w"), ("4", '5" tall', "w"), ("5", "last\r\nline", "z"),
+        *[(str(i), f"{'p' * (i % 9)}\n{'q' * (i % 5)}", str(i)) for i in range(6, 20)], ("70", "a", "b"),
+    ]
+    assert sorted(map(tuple, rows), key=lambda r: int(r[0])) == expected
+    assert [r["k"] for r in sorted(numbered, key=lambda r: r["_row_id"])] == [int(r[0]) for r in expected]
+    assert sorted(r["_row_id"] for r in numbered) == list(range(len(expected)))
+
+
+def test_bad_records_run_over_lines(spark, tmp_path):
+    path = write(tmp_path, 'a,b\n"x\ny",2\n"x,\ny",2,3\n4,5,"\n"\n6\n')
+    form = files.csv_format(spark, path)
+    assert sorted(r["line"] for r in files.bad_lines(spark, path, form).collect()) == ['"x,\ny",2,3', '4,5,"\n"']
+    assert sorted(map(tuple, files.read_csv_text(spark, path, form).collect()), key=str) == [("6", None), ("x\ny", "2")]
+
+
+def test_line_breaks_in_windows_1252_and_open_quotes(spark, tmp_path):
+    path = write(tmp_path, 'a;b\n"é\n“";1\n"never closed;2\n', encoding="cp1252")
+    rows = files.read_csv(spark, path).collect()
+    assert {(r["a"] or "").strip('"\n') for r in rows} == {"é\n“", "never closed;2"}
+
+
+def test_states_of_lines_agree_with_reading_every_character():
+    def slow(lines, inside):
+        states, state = [inside], "q" if inside else "s"
+        for line in lines:
+            for c in line:
+                if c == '"':
+                    state = {"s": "q", "m": "m", "q": "c", "c": "q"}[state]
+                elif state != "q":
+                    state = "s" if c == "," else "m"
+            state = "q" if state == "q" else "s"
+            states.append(int(state == "q"))
+        return states
+
+    draw = random.Random(4)
+    for _ in range(400):
+        lines = ["".join(draw.choices('",a', [3, 2, 2], k=draw.randint(0, 7))) for _ in range(draw.randint(0, 6))]
+        data = np.frombuffer("".join(lines).encode(), np.uint8)
+        offsets = np.cumsum([0, *map(len, lines)])
+        for inside in (0, 1):
+            assert records.line_states(data, offsets, b",", inside).tolist() == slow(lines, inside), lines
+
+
+def test_one_big_file_is_read_by_several_tasks(spark, tmp_path):
+    texts = [f'line {i}\n"quoted", {"x" * 200}\nlast' for i in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
+    path = files.write_csv(frame, str(tmp_path / "big.csv"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before = spark.conf.get(key)
+    spark.conf.set(key, 200_000)
+    try:
+        form = files.csv_format(spark, path)
+        found = files._placed_records(spark, path, form)
+        assert len(form.broken) == 1 and found.select("_start").distinct().count() > 3
+        assert {r["k"]: r["t"] for r in found.collect()} == {str(i): t for i, t in enumerate(texts)}
+    finally:
+        spark.conf.set(key, before)
