@@ -54,6 +54,11 @@ def top_values(df: DataFrame, columns: list[str], k: int = 5) -> DataFrame:
     )
 
 
+def normal_counts(df: DataFrame, columns: list[str]) -> dict[str, int]:
+    """Distinct values per text column after trimming and lower case."""
+    return distinct_counts(df, {c: compact_text(S.normal_label(col(c))) for c in columns})
+
+
 def raw_and_normal(df: DataFrame, columns: list[str]) -> tuple[dict[str, int], dict[str, int]]:
     """Distinct values per text column as stored, and after trimming and lower case."""
     values = {}

@@ -1,9 +1,13 @@
-"""The wide pass: every one-scan fact about every column.
+"""The wide pass: every fact about every column that needs no order.
 
 Columns of one storage kind are unpivoted into (column, value) rows and
 aggregated by column.  Partial aggregation leaves one small row per task and
-column, so nothing else is shuffled; the generated code stays the same size for
-a table of ten or a thousand columns, and each scan reads only its own columns.
+column; the generated code stays the same size for a table of ten or a thousand
+columns, and each scan reads only its own columns.
+
+Texts are first counted by value: what a text is read as is worked out once for
+each distinct text, not for each cell.  Long texts that can be neither number nor
+date take part as digests.
 """
 
 from __future__ import annotations
@@ -14,6 +18,8 @@ from pyspark.sql import functions as F
 from gaugework.functions import scalars as S
 from gaugework.session import col
 
+# what a long text must look like to be a number: the characters of numbers, maybe between blanks
+_NUMBER_LIKE = f"^[{S.BLANKS}]*[-+.0-9eEinftyINFTY]+[{S.BLANKS}]*$"
 _KIND_TYPE = {"number": "double", "string": "string", "datetime": "timestamp"}
 
 _NUMBER_METRICS = [
@@ -30,21 +36,26 @@ _NUMBER_METRICS = [
     "bool_and(fin % 1 = 0) AS whole",
 ]
 _TIME_METRICS = ["count(time) AS dates", "min(time) AS date_low", "max(time) AS date_high"]
+_METRICS = {"number": _NUMBER_METRICS, "datetime": _TIME_METRICS}
+# What a distinct text counts for, as often as it occurs (n).
+_TEXT_TESTS = {
+    "nulls": "missing", "present": "NOT missing", "numbers": "number IS NOT NULL", "infinite": "abs(number) = double('infinity')",
+    "finite": "fin IS NOT NULL", "dates": "time IS NOT NULL", "words": "word IS NOT NULL", "iso": "iso", "zoned": "zoned",
+}
 _TEXT_METRICS = [
-    "count(word) AS words",
+    "sum(n) AS rows",
+    "count_if(NOT missing) AS distinct",
+    *(f"sum({name}) AS {name}" for name in _TEXT_TESTS),
+    "min(time) AS date_low",
+    "max(time) AS date_high",
     "min(word) AS word_low",
     "max(word) AS word_high",
-    "count_if(iso) AS iso",
-    "count_if(zoned) AS zoned",
-    "avg(length) AS length_mean",
-    "min(length) AS length_min",
-    "max(length) AS length_max",
+    "sum(length) AS length",
+    "min(shortest) AS length_min",
+    "max(longest) AS length_max",
 ]
-_METRICS = {
-    "number": _NUMBER_METRICS,
-    "datetime": _TIME_METRICS,
-    "string": _NUMBER_METRICS + _TIME_METRICS + _TEXT_METRICS,
-}
+_TEXT_COUNTS = ("rows", "distinct", *_TEXT_TESTS)
+_MOMENTS = [m for m in _NUMBER_METRICS if m.rsplit(" AS ", 1)[1] not in _TEXT_COUNTS]
 
 
 def kinds(df: DataFrame, columns: list[str] | None = None) -> dict[str, str]:
@@ -71,32 +82,55 @@ def long_form(df: DataFrame, values: dict[str, Column]) -> DataFrame:
     return wide.unpivot([], [col(n) for n in values], "column", "value")
 
 
-def _read_cells(cells: DataFrame, kind: str) -> DataFrame:
-    """What a value is read as, worked out once per cell before the aggregates.
+def _read_numbers(cells: DataFrame, kind: str) -> DataFrame:
+    read = cells.withColumn("number", S.as_number(F.col("value"), kind))
+    return read.withColumn("fin", S.finite(F.col("number")))
+
+
+def _read_texts(values: DataFrame) -> DataFrame:
+    """What distinct texts are read as.
 
     A text that is a number is no date, and only dates are tested for ISO form,
-    so most cells meet one or two patterns.
+    so most texts meet one or two patterns.
     """
     value = F.col("value")
-    if kind == "datetime":
-        return cells.withColumn("time", value)
-    read = cells.withColumn("number", S.as_number(value, kind)).withColumn("fin", S.finite(F.col("number")))
-    if kind == "number":
-        return read
     # the position of the yes/no word: a number, so the aggregation stays hash-based
-    word = F.array_position(F.array(*map(F.lit, S.BOOLEAN_TOKENS)), S.normal_label(value))
-    read = read.withColumns(
-        {
-            # every spelling of a date has a year of four digits
-            "time": F.when(F.col("number").isNull() & value.rlike(r"\d{4}"), S.text_to_timestamp(value)),
-            "word": F.nullif(word, F.lit(0)),
-            "length": F.length(value),
-        }
-    )
+    word = F.array_position(F.array(*map(F.lit, S.BOOLEAN_TOKENS)), F.col("normal"))
+    # every spelling of a date has a year of four digits
+    time = F.when(F.col("number").isNull() & value.rlike(r"\d{4}"), S.text_to_timestamp(value))
+    read = _read_numbers(values, "string").withColumns({"time": time, "word": F.nullif(word, F.lit(0))})
     dated = F.col("time").isNotNull()
-    return read.withColumns(
+    read = read.withColumns(
         {"iso": F.when(dated, S.is_iso_text(value)), "zoned": F.when(dated, S.has_zone(value))}
     )
+    counts = {name: F.when(F.expr(test), F.col("n")).otherwise(0) for name, test in _TEXT_TESTS.items()}
+    kept = [c for c in (*values.columns, "time", "word") if c not in counts]
+    return read.select(*kept, *[c.alias(n) for n, c in counts.items()])
+
+
+def text_values(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, value, normal, missing, n, length, shortest, longest: the distinct texts of each column, combined in the
+    tasks before they are shuffled.
+
+    ``normal`` is the text without blanks around, in lower case.  Texts longer than any date that cannot be numbers have
+    no value: they are told apart by digests, and ``normal`` is that of their normal form.
+    """
+    value = F.col("value")
+    # one key expression, used once: shared parts of expressions over unpivoted cells do not always compile
+    readable = (F.length(value) <= S.LONGEST_DATE) | (F.length(S.strip(value)) <= S.LONGEST_DATE) | value.rlike(_NUMBER_LIKE)
+    digests = F.concat(F.lit("#"), F.sha2(value, 256), F.sha2(S.normal_label(value), 256))
+    key = F.when(value.isNotNull(), F.when(readable, F.concat(F.lit("="), value)).otherwise(digests))
+    cells = long_form(df, {c: col(c) for c in columns}).select("column", key.alias("key"), F.length(value).alias("length"))
+    counted = cells.groupBy("column", "key").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("length").alias("length"),
+        F.min("length").alias("shortest"), F.max("length").alias("longest"),
+    )
+    key = F.col("key")
+    own = F.when(key.startswith("="), key.substr(F.lit(2), F.length(key)))
+    return counted.select(
+        "column", own.alias("value"), F.coalesce(S.normal_label(own), key.substr(66, 64)).alias("normal"),
+        key.isNull().alias("missing"), "n", "length", "shortest", "longest",
+    )
 
 
 def summarise(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict]:
@@ -106,7 +140,7 @@ def summarise(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict
     for kind, stored_as in _KIND_TYPE.items():
         names = [n for n, k in of_kind.items() if k == kind]
         if names:
-            result |= _summarise_kind(df, names, kind, stored_as)
+            result |= _summarise_texts(df, names) if kind == "string" else _summarise_kind(df, names, kind, stored_as)
     rest = [n for n, k in of_kind.items() if k not in _KIND_TYPE]
     if rest:
         found = df.agg(F.count(F.lit(1)), *[F.count(col(n)) for n in rest]).first()
@@ -114,25 +148,46 @@ def summarise(df: DataFrame, columns: list[str] | None = None) -> dict[str, dict
     return {n: result[n] for n in of_kind}
 
 
+def _with_shape(counted: DataFrame) -> DataFrame:
+    return counted.withColumns(
+        {
+            "skewness": S.unbiased_skewness(F.col("g1"), F.col("finite")),
+            "kurtosis": S.unbiased_kurtosis(F.col("g2"), F.col("finite")),
+        }
+    )
+
+
+def _nothing(kind: str, metrics: list[str]) -> dict:
+    """Facts of a column of a table without rows."""
+    nothing = {"kind": kind, "rows": 0, "nulls": 0} | {m.rsplit(" AS ", 1)[1]: None for m in metrics}
+    if kind != "datetime":
+        nothing |= {"skewness": None, "kurtosis": None}
+    return nothing | {zero: 0 for zero in (*_TEXT_COUNTS, "zeros") if zero in nothing}
+
+
 def _summarise_kind(df: DataFrame, names: list[str], kind: str, stored_as: str) -> dict[str, dict]:
     cells = long_form(df, {n: col(n).cast(stored_as) for n in names})
-    read = _read_cells(cells, kind)
-    numeric = kind in ("number", "string")
+    read = _read_numbers(cells, kind) if kind == "number" else cells.withColumn("time", F.col("value"))
     present = "number" if kind == "number" else "value"
     metrics = ["count(1) AS rows", f"count(1) - count({present}) AS nulls", *_METRICS[kind]]
     counted = read.groupBy("column").agg(*map(F.expr, metrics))
-    if numeric:
-        counted = counted.withColumns(
-            {
-                "skewness": S.unbiased_skewness(F.col("g1"), F.col("finite")),
-                "kurtosis": S.unbiased_kurtosis(F.col("g2"), F.col("finite")),
-            }
-        )
+    counted = _with_shape(counted) if kind == "number" else counted
     found = {r["column"]: {"kind": kind, **r.asDict()} for r in counted.collect()}
-    nothing = {"kind": kind, "rows": 0, "nulls": 0} | {m.rsplit(" AS ", 1)[1]: None for m in _METRICS[kind]}
-    for zero in ("numbers", "infinite", "finite", "zeros", "dates", "words", "iso", "zoned"):
-        if zero in nothing:
-            nothing[zero] = 0
+    return {n: found.get(n, _nothing(kind, _METRICS[kind])) for n in names}
+
+
+def _summarise_texts(df: DataFrame, names: list[str]) -> dict[str, dict]:
+    """Counts from distinct texts; then the moments of the columns that hold numbers, from their cells."""
+    counted = _read_texts(text_values(df, names)).groupBy("column").agg(*map(F.expr, _TEXT_METRICS))
+    found = {}
+    for r in counted.collect():
+        present, length = r["present"], r["length"]
+        found[r["column"]] = {"kind": "string", **r.asDict(), "length_mean": length / present if present else None}
+    numeric = [n for n in names if n in found and found[n]["finite"]]
     if numeric:
-        nothing |= {"skewness": None, "kurtosis": None}
-    return {n: found.get(n, dict(nothing)) for n in names}
+        cells = _read_numbers(long_form(df, {n: col(n) for n in numeric}), "string")
+        moments = cells.groupBy("column").agg(*map(F.expr, _NUMBER_METRICS))
+        for r in _with_shape(moments).collect():
+            found[r["column"]] |= r.asDict()
+    nothing = _nothing("string", [*_TEXT_METRICS, *_MOMENTS])
+    return {n: nothing | found.get(n, {}) for n in names}

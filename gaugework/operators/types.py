@@ -1,8 +1,8 @@
 """Semantic types: what a column holds, whatever it is stored as.
 
-One scan decides boolean, numeric, mixed and datetime columns, because each of
-those rules is a share of rows.  Only the text columns left over need distinct
-counts, and so a shuffle.
+Shares of rows and distinct counts come from the summary, which reads each
+distinct text once.  Only the columns of labels need another scan, for labels
+that differ in case or blanks.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from gaugework.config import DEFAULTS, Thresholds
-from gaugework.operators.frequency import raw_and_normal
+from gaugework.operators.frequency import normal_counts, raw_and_normal
 from gaugework.operators.stats import present_counts
 from gaugework.operators.summary import summarise
 from gaugework.session import small_frame
@@ -52,26 +52,22 @@ def infer_types(
     thresholds: Thresholds = DEFAULTS,
 ) -> dict[str, dict]:
     """{column: storage_type, inferred_type, type_mismatch, distinct when counted}."""
-    result, open_columns = {}, []
+    found = {c: _from_shares(f, iso_dates_typed, thresholds) for c, f in summary.items()}
+    few = {
+        c: f["distinct"] / f["present"] <= thresholds.high_cardinality
+        for c, f in summary.items() if found[c] is None and f["kind"] == "string"
+    }
+    normal = normal_counts(df, [c for c, labels in few.items() if labels])
+    result = {}
     for name, facts in summary.items():
-        settled = _from_shares(facts, iso_dates_typed, thresholds)
-        result[name] = {"storage_type": df.schema[name].dataType.simpleString()}
-        if settled:
-            result[name] |= dict(zip(("inferred_type", "type_mismatch"), settled))
+        own = {"storage_type": df.schema[name].dataType.simpleString()}
+        if name in normal:
+            own["distinct_normal"] = normal[name]
+            kind = ("categorical", normal[name] < facts["distinct"])
         else:
-            open_columns.append(name)
-    texts = [c for c in open_columns if summary[c]["kind"] == "string"]
-    raw, normal = raw_and_normal(df, texts) if texts else ({}, {})
-    for name in open_columns:
-        present = summary[name]["rows"] - summary[name]["nulls"]
-        if name in raw and raw[name] / present <= thresholds.high_cardinality:
-            found = ("categorical", normal[name] < raw[name])
-        else:
-            found = ("text", False)
-        result[name] |= dict(zip(("inferred_type", "type_mismatch"), found))
-        if name in raw:
-            result[name]["distinct"] = raw[name]
-            result[name]["distinct_normal"] = normal[name]
+            kind = found[name] or ("text", False)
+        own |= {"distinct": facts["distinct"]} if "distinct" in facts else {}
+        result[name] = own | dict(zip(("inferred_type", "type_mismatch"), kind))
     return result
 
 
