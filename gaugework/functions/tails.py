@@ -83,10 +83,7 @@ def correlation_p(r: float, n: float) -> float:
 
 
 @F.pandas_udf(T.DoubleType())
-def correlation_p_udf(r: pd.Series, n: pd.Series) -> pd.Series:
-    return pd.Series([correlation_p(a, b) for a, b in zip(r, n)], dtype=float)
-
-
-@F.pandas_udf(T.DoubleType())
-def chi_square_p_udf(chi2: pd.Series, free: pd.Series) -> pd.Series:
-    return pd.Series([gamma_tail(f / 2, c / 2) for c, f in zip(chi2, free)], dtype=float)
+def association_p_udf(value: pd.Series, size: pd.Series, free: pd.Series) -> pd.Series:
+    """Of a correlation ``value`` over ``size`` rows, or, with degrees of freedom, of a chi-squared of that size."""
+    tails = [correlation_p(v, n) if f != f else gamma_tail(f / 2, n / 2) for v, n, f in zip(value, size, free)]
+    return pd.Series(tails, dtype=float)

@@ -1,8 +1,9 @@
 """Missing values: counts, which gaps occur together, and what gaps go with.
 
-Each row with gaps becomes one row per gap (its ``target``) and is aggregated
-by target at once, so every table shuffled here is bounded by the number of
-tested columns, not by rows.
+The gaps of a row are one bitmap per block of eight columns. Rows are summed
+per distinct bitmap, of which a block has 255 at most, and only these sums are
+spread over the columns of the bitmap (its targets): what is shuffled is
+bounded by the number of columns (and of labels), not by rows or gaps.
 """
 
 from __future__ import annotations
@@ -14,15 +15,16 @@ from pyspark.sql import functions as F
 
 from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
-from gaugework.functions.tails import chi_square_p_udf, correlation_p_udf
+from gaugework.functions.tails import association_p_udf
 from gaugework.operators.stats import rounded
-from gaugework.operators.summary import finite_view, long_form, summarise
+from gaugework.operators.summary import finite_view, summarise
 from gaugework.operators.types import CATEGORY_TYPES, NUMERIC_TYPES
 from gaugework.session import chunks, col, cut_lineage, small_frame
 
 PER_COLUMN_SCHEMA = "column string, missing_count bigint, missing_pct double"
 OVERALL_SCHEMA = "total_missing_cells bigint, overall_missing_pct double"
 MIXED_METHOD = "point_biserial"
+BLOCK = 8  # columns in a bitmap of gaps: at most 255 bitmaps a block
 
 
 def null_counts(df: DataFrame, columns: list[str]) -> tuple[int, dict[str, int]]:
@@ -55,49 +57,79 @@ def missing_overall(df: DataFrame, columns: list[str]) -> DataFrame:
     return small_frame(df.sparkSession, [overall(*null_counts(df, columns))], OVERALL_SCHEMA)
 
 
-def _by_target(df: DataFrame, targets: list[str], kept: dict[str, Column]) -> DataFrame:
-    """One row per gap: ``target`` and the ``kept`` expressions of its row."""
-    gap = [F.when(col(t).isNull(), F.lit(i)) for i, t in enumerate(targets)]
-    narrow = df.select(F.array_compact(F.array(*gap)).alias("_gaps"), *[c.alias(n) for n, c in kept.items()])
-    names = F.array(*map(F.lit, targets))
-    return (
-        narrow.filter(F.size("_gaps") > 0)
-        .withColumn("_gap", F.explode("_gaps"))
-        .select(F.element_at(names, F.col("_gap") + 1).alias("target"), *kept)
+def _by_pattern(df: DataFrame, targets: list[str], kept: dict[str, Column], complete: bool = False) -> DataFrame:
+    """``_block``, ``_gaps`` (bitmap) and the ``kept`` expressions of each row, once for each
+    block of targets with a gap; with ``complete`` block 0 also has the rows without gaps."""
+    bits = [
+        reduce(Column.bitwiseOR, [F.when(col(t).isNull(), F.lit(1 << i)).otherwise(F.lit(0)) for i, t in enumerate(part)])
+        for part in chunks(targets, BLOCK)
+    ]
+    values = [c.alias(n) for n, c in kept.items()]
+    if len(bits) == 1:
+        rows = df.select(F.lit(0).alias("_block"), bits[0].alias("_gaps"), *values)
+    else:
+        entries = F.array(*[F.struct(F.lit(i).alias("_block"), b.alias("_gaps")) for i, b in enumerate(bits)])
+        rows = df.select(F.explode(entries).alias("_e"), *values).select("_e.*", *kept)
+    wanted = F.col("_gaps") > 0
+    return rows.filter(wanted | (F.col("_block") == 0) if complete else wanted)
+
+
+def _spread(patterns: DataFrame, targets: list[str], kept: list[Column], whole: bool = False) -> DataFrame:
+    """One row per pattern and target in it; with ``whole`` also one of no target for each row of block 0."""
+    bit, names = F.col("_bit"), F.array(*map(F.lit, targets))
+    present = (bit >= 0) & (F.getbit("_gaps", F.greatest(bit, F.lit(0))) == 1)
+    named = F.when(bit >= 0, F.get(names, F.col("_block") * BLOCK + bit))
+    spread = patterns.withColumn("_bit", F.explode(F.array(*map(F.lit, range(-1 if whole else 0, BLOCK)))))
+    wanted = present | ((bit < 0) & (F.col("_block") == 0)) if whole else present
+    return spread.filter(wanted).select(named.alias("target"), *kept)
+
+
+def gap_sums(df: DataFrame, targets: list[str], numbers: dict[str, Column], partners: list[str]) -> DataFrame:
+    """target, column, numeric, k, s: over the rows where ``target`` is missing, how many values
+    a number has (``k``) and their sum (``s``); for ``partners``, how many of their gaps are there."""
+    kept = {f"x{i}": x for i, x in enumerate(numbers.values())}
+    flags = {f"n{i}": col(c).isNull() for i, c in enumerate(partners)}
+    counts = {**{f"k{i}": F.count(x) for i, x in enumerate(kept)}, **{n: F.count_if(F.col(n)) for n in flags}}
+    totals = {f"s{i}": F.sum(x) for i, x in enumerate(kept)}
+    patterns = _by_pattern(df, targets, kept | flags).groupBy("_block", "_gaps").agg(
+        *[x.alias(n) for n, x in {**counts, **totals}.items()]
     )
+    spread = _spread(patterns, targets, [F.col(n) for n in [*counts, *totals]])
+    sums = spread.groupBy("target").agg(*[F.sum(n).alias(n) for n in [*counts, *totals]])
+
+    def entry(name: str, numeric: bool, k: str, s: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("column"), F.lit(numeric).alias("numeric"), F.col(k).alias("k"), s.alias("s")
+        )
+
+    entries = [entry(c, True, f"k{i}", F.col(f"s{i}")) for i, c in enumerate(numbers)]
+    entries += [entry(c, False, f"n{i}", F.lit(None).cast("double")) for i, c in enumerate(partners)]
+    return sums.select("target", F.explode(F.array(*entries)).alias("e")).select("target", "e.*")
 
 
 def co_occurrence(df: DataFrame, columns: list[str]) -> DataFrame:
     """column_a, column_b, rows: pairs of columns missing on the same rows."""
     if len(columns) < 2:
         return small_frame(df.sparkSession, [], "column_a string, column_b string, rows bigint")
-    order = {c: i for i, c in enumerate(columns)}
-    flags = _by_target(df, columns, {f"n{i}": col(c).isNull() for c, i in order.items()})
-    together = flags.groupBy("target").agg(*[F.count_if(f"n{i}").alias(f"n{i}") for i in order.values()])
-    pairs = long_form_of(together, "target", {c: f"n{i}" for c, i in order.items()})
     position = F.array(*map(F.lit, columns))
     later = F.array_position(position, F.col("column")) > F.array_position(position, F.col("target"))
-    return pairs.filter(later & (F.col("value") > 0)).select(
-        F.col("target").alias("column_a"), F.col("column").alias("column_b"), F.col("value").alias("rows")
+    return gap_sums(df, columns, {}, columns).filter(later & (F.col("k") > 0)).select(
+        F.col("target").alias("column_a"), F.col("column").alias("column_b"), F.col("k").alias("rows")
     )
 
 
-def long_form_of(frame: DataFrame, key: str, columns: dict[str, str]) -> DataFrame:
-    """key, column, value of a small aggregated table."""
-    entries = [F.struct(F.lit(n).alias("column"), F.col(c).alias("value")) for n, c in columns.items()]
-    return frame.select(key, F.explode(F.array(*entries)).alias("e")).select(key, "e.*")
-
-
 def missing_phi(
     df: DataFrame,
     columns: list[str] | None = None,
     thresholds: Thresholds = DEFAULTS,
     known_counts: tuple[int, dict[str, int]] | None = None,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """target, column, n, value: correlation of the two missing indicators.
 
     Only columns with enough missing and enough present rows take part.
-    ``known_counts`` are the rows and the gaps per column, when already counted.
+    ``known_counts`` are the rows and the gaps per column, and ``sums`` is the
+    table of ``gap_sums``, when already made.
     """
     rows, counts = known_counts or null_counts(df, columns or df.columns)
     least = thresholds.pattern_min_rows
@@ -105,45 +137,43 @@ def missing_phi(
     empty = small_frame(df.sparkSession, [], "target string, column string, n bigint, value double")
     if len(tested) < 2:
         return empty
-    flags = _by_target(df, tested, {f"n{i}": col(c).isNull().cast("int") for i, c in enumerate(tested)})
-    # cut here: with many columns the plan of the two parts together takes long to optimise
-    together = cut_lineage(flags.groupBy("target").agg(*[F.sum(f"n{i}").alias(f"n{i}") for i in range(len(tested))]))
-    pairs = long_form_of(together, "target", {c: f"n{i}" for i, c in enumerate(tested)})
+    pairs = gap_sums(df, tested, {}, tested) if sums is None else sums.filter(
+        ~F.col("numeric") & F.col("target").isin(tested) & F.col("column").isin(tested)
+    )
     known = F.create_map(*[x for c in tested for x in (F.lit(c), F.lit(float(counts[c])))])
     n, n1, n2 = F.lit(float(rows)), known[F.col("target")], known[F.col("column")]
-    phi = (n * F.col("value") - n1 * n2) / F.sqrt(n1 * (n - n1) * n2 * (n - n2))
+    phi = (n * F.col("k") - n1 * n2) / F.sqrt(n1 * (n - n1) * n2 * (n - n2))
     return pairs.filter(F.col("target") != F.col("column")).select(
         "target", "column", F.lit(rows).cast("bigint").alias("n"), phi.alias("value")
     )
 
 
+def centred(df: DataFrame, numeric: list[str], summary: dict[str, dict]) -> dict[str, Column]:
+    """Numbers that vary, less their known mean, so that sums do not suffer from a large common offset."""
+    varied = [c for c in numeric if summary[c]["finite"] and summary[c]["min"] < summary[c]["max"]]
+    return {c: finite_view(df, c) - F.lit(summary[c]["mean"]) for c in varied}
+
+
 def point_biserial(
     df: DataFrame,
     targets: list[str],
     numeric: list[str],
     summary: dict[str, dict],
     thresholds: Thresholds = DEFAULTS,
+    sums: DataFrame | None = None,
 ) -> DataFrame:
     """target, column, n, value: correlation of a missing indicator with a number,
-    over the rows where the number is finite.
-
-    Numbers are centred on their known mean before they are summed, so the
-    result does not suffer from a large common offset.
-    """
+    over the rows where the number is finite. ``sums`` is the table of
+    ``gap_sums`` over the centred numbers, when already made."""
     empty = small_frame(df.sparkSession, [], "target string, column string, n bigint, value double")
-    varied = [c for c in numeric if summary[c]["finite"] and summary[c]["min"] < summary[c]["max"]]
-    if not targets or not varied:
+    numbers = centred(df, numeric, summary)
+    if not targets or not numbers:
         return empty
-    centred = {f"x{i}": finite_view(df, c) - F.lit(summary[c]["mean"]) for i, c in enumerate(varied)}
-    gaps = _by_target(df, targets, centred)
-    sums = gaps.groupBy("target").agg(
-        *[F.struct(F.count(x).alias("k"), F.sum(x).alias("s")).alias(x) for x in centred]
-    )
-    pairs = long_form_of(sums, "target", {c: f"x{i}" for i, c in enumerate(varied)})
+    pairs = (gap_sums(df, targets, numbers, []) if sums is None else sums).filter("numeric")
     known = F.create_map(
         *[
             x
-            for c in varied
+            for c in numbers
             for x in (
                 F.lit(c),
                 F.struct(
@@ -154,10 +184,10 @@ def point_biserial(
         ]
     )
     fact = known[F.col("column")]
-    n, missing = fact["n"], F.col("value.k").cast("double")
+    n, missing = fact["n"], F.col("k").cast("double")
     present = n - missing
     least = thresholds.pattern_min_rows
-    r = F.col("value.s") / F.sqrt(fact["sxx"] * missing * present / n)
+    r = F.col("s") / F.sqrt(fact["sxx"] * missing * present / n)
     return pairs.filter(
         (F.col("target") != F.col("column")) & (missing >= least) & (present >= least)
     ).select("target", "column", n.cast("bigint").alias("n"), r.alias("value"))
@@ -168,41 +198,44 @@ def missing_cramers(
 ) -> DataFrame:
     """target, column, n, levels, chi2, value: missing indicator against a category.
 
-    Categories are counted once over all rows and once over the rows with a
-    gap; both tables hold at most (targets x) columns x levels rows.
+    One scan counts the rows per column, label and bitmap of gaps. A label's
+    total is the sum over its bitmaps; rare labels are left out.
     """
     schema = "target string, column string, n bigint, levels bigint, chi2 double, value double"
     if not targets or not categories:
         return small_frame(df.sparkSession, [], schema)
     labels = {f"c{i}": col(c).cast("string") for i, c in enumerate(categories)}
-    cells = long_form(df, {c: col(c).cast("string") for c in categories}).filter(F.col("value").isNotNull())
-    totals = cells.groupBy("column", "value").agg(F.count(F.lit(1)).alias("total"))
-    gaps = _by_target(df, targets, labels)
-    entries = [F.struct(F.lit(c).alias("column"), F.col(f"c{i}").alias("value")) for i, c in enumerate(categories)]
+    entries = [F.struct(F.lit(c).alias("column"), F.col(x).alias("value")) for c, x in zip(categories, labels)]
     counted = (
-        gaps.select("target", F.explode(F.array(*entries)).alias("e"))
-        .select("target", "e.*")
+        _by_pattern(df, targets, labels, complete=True)
+        .select("_block", "_gaps", F.explode(F.array(*entries)).alias("e"))
+        .select("_block", "_gaps", "e.*")
         .filter(F.col("value").isNotNull())
-        .groupBy("target", "column", "value")
-        .agg(F.count(F.lit(1)).alias("missing"))
+        .groupBy("column", "value", "_block", "_gaps")
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
-    every = totals.filter(F.col("total") >= thresholds.pattern_category_rows)
-    every = every.withColumn("target", F.explode(F.array(*map(F.lit, targets))))
-    table = every.join(counted, ["target", "column", "value"], "left").select(
-        "target", "column", F.col("total").cast("double").alias("t"),
-        F.coalesce(F.col("missing"), F.lit(0)).cast("double").alias("m"),
-    )
-    per_pair = table.filter(F.col("target") != F.col("column")).groupBy("target", "column").agg(
-        F.sum("t").alias("n"),
+    total = F.sum(F.when(F.col("_block") == 0, F.col("rows"))).over(Window.partitionBy("column", "value"))
+    common = counted.withColumn("total", total).filter(F.col("total") >= thresholds.pattern_category_rows)
+    # no target: all rows of the label
+    cells = (
+        _spread(common, targets, [F.col(c) for c in ("column", "value", "total", "rows")], whole=True)
+        .groupBy("column", "value", "target")
+        .agg(F.sum("rows").cast("double").alias("m"), F.first("total").alias("t"))
+    )
+    per_pair = cells.filter(F.col("target").isNull() | (F.col("target") != F.col("column"))).groupBy("column", "target").agg(
         F.sum("m").alias("m"),
-        F.count(F.lit(1)).alias("levels"),
+        F.count(F.lit(1)).alias("labels"),
         F.sum(F.col("m") * F.col("m") / F.col("t")).alias("mm"),
-        F.sum((F.col("t") - F.col("m")) * (F.col("t") - F.col("m")) / F.col("t")).alias("pp"),
     )
+    whole, of_column = F.col("target").isNull(), Window.partitionBy("column")
+    facts = per_pair.withColumns({
+        "n": F.max(F.when(whole, F.col("m"))).over(of_column),
+        "levels": F.max(F.when(whole, F.col("labels"))).over(of_column),
+    })
     least = thresholds.pattern_min_rows
     n, m = F.col("n"), F.col("m")
-    usable = per_pair.filter((F.col("levels") >= 2) & (m >= least) & (n - m >= least))
-    chi2 = n * (F.col("mm") / m + F.col("pp") / (n - m) - 1)
+    usable = facts.filter(~whole & (F.col("levels") >= 2) & (m >= least) & (n - m >= least))
+    chi2 = n * (n * F.col("mm") / m - m) / (n - m)
     return usable.withColumn("chi2", F.greatest(chi2, F.lit(0.0))).select(
         "target", "column", n.cast("bigint").alias("n"), "levels", "chi2",
         S.corrected_v(F.col("chi2"), n, F.lit(2), F.col("levels")).alias("value"),
@@ -226,22 +259,26 @@ def associations(
     """All tested pairs: target, column, method, value, p_value, tests (per target)."""
     nulls = {c: f["nulls"] for c, f in summary.items()}
     targets, numeric, categories = eligible_columns(types, nulls)
-    with_number = point_biserial(df, targets, numeric, summary, thresholds)
-    with_category = missing_cramers(df, targets, categories, thresholds)
     rows = next((f["rows"] for f in summary.values()), 0)
-    with_gap = missing_phi(df, targets, thresholds, (rows, {c: nulls[c] for c in targets})) if targets else with_number.limit(0)
-
-    def tested(frame: DataFrame, method: str, p: Column) -> DataFrame:
-        return frame.select("target", "column", F.lit(method).alias("method"), "value", p.alias("p_value"))
-
-    correlation = correlation_p_udf(F.col("value"), F.col("n").cast("double"))
-    free = (F.col("levels") - 1).cast("double")
-    tests = [
-        tested(with_number, MIXED_METHOD, correlation),
-        tested(with_category, "cramers_v", chi_square_p_udf(F.col("chi2"), free)),
-        tested(with_gap, "missing_together", correlation),
-    ]
-    united = reduce(DataFrame.unionByName, tests)
+    sums = None
+    if targets:
+        # written once for both tests that read it; it also keeps the plan short with many columns
+        sums = cut_lineage(gap_sums(df, targets, centred(df, numeric, summary), targets))
+    with_number = point_biserial(df, targets, numeric, summary, thresholds, sums)
+    with_category = missing_cramers(df, targets, categories, thresholds)
+    with_gap = missing_phi(df, targets, thresholds, (rows, {c: nulls[c] for c in targets}), sums)
+
+    def tested(frame: DataFrame, method: str, size: Column, free: Column | None = None) -> DataFrame:
+        freedom = F.lit(None).cast("double") if free is None else free.cast("double")
+        return frame.select("target", "column", F.lit(method).alias("method"), "value",
+                            size.cast("double").alias("size"), freedom.alias("free"))
+
+    united = reduce(DataFrame.unionByName, [
+        tested(with_number, MIXED_METHOD, F.col("n")),
+        tested(with_category, "cramers_v", F.col("chi2"), F.col("levels") - 1),
+        tested(with_gap, "missing_together", F.col("n")),
+    ]).withColumn("p_value", association_p_udf(F.col("value"), F.col("size"), F.col("free")))
+    united = united.drop("size", "free")
     return united.withColumn("tests", F.count(F.lit(1)).over(Window.partitionBy("target")))
 
 
