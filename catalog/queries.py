@@ -306,9 +306,9 @@ def missing_tests(spark, sf):
 
 
 def missing_p_values(spark, sf):
-    """The p-values as far as they are not too small to compare; on this many rows t is normal."""
+    """The p-value of every tested pair, to six places."""
     messy, types, summary = _typed(spark, sf)
-    p = F.round(F.col("p_value"), 3).alias("p_value")
+    p = F.round(F.col("p_value"), 6).alias("p_value")
     return missing.associations(messy, types, summary).select("target", "column", "method", p, "tests")
 
 
