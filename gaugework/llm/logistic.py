@@ -10,7 +10,9 @@ def sigmoid(z):
 
 
 def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> tuple[np.ndarray, float]:
-    """Weights and intercept by accelerated gradient descent; both classes weigh the same.  One class gives zero weights."""
+    """Weights and intercept by accelerated gradient descent; both classes weigh the same.  One class gives zero weights.
+
+    Products are taken in the type of ``x``, so that single precision is not widened to a second, larger matrix each round."""
     n, d = x.shape
     share = y.mean() if n else 0.5
     if not 0 < share < 1:
@@ -20,7 +22,7 @@ def fit(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300)
     w, b = np.zeros(d), 0.0
     ahead_w, ahead_b = w, b
     for i in range(rounds):
-        error = weight * (sigmoid(x @ ahead_w + ahead_b) - y)
+        error = weight * (sigmoid(x @ ahead_w.astype(x.dtype) + ahead_b) - y)
         new_w = ahead_w - step * (error.astype(x.dtype) @ x + penalty * ahead_w)
         new_b = ahead_b - step * error.sum()
         pull = i / (i + 3)

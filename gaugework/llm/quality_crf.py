@@ -142,9 +142,10 @@ def fitting(counts: list[tuple[int, int]], most: int) -> list[int]:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines: int = TRAINING_LINES) -> LineField:
     """A field learnt from whole texts of at most ``rows`` labelled documents outside the held-out fold, in order of their hash
-    while their lines are at most ``lines`` together.  Null labels, ids and texts are not used."""
+    while their lines are at most ``lines`` together.  Null labels, ids and texts are not used.  Of several labels of a doc_id
+    the smallest counts, of several texts the one whose features come first, whatever the order of rows."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality IN (0, 1)").dropna()
-    marked = marked.where(fold(F.col("doc_id")) != HELD_OUT).dropDuplicates(["doc_id"])
+    marked = marked.where(fold(F.col("doc_id")) != HELD_OUT).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = cut_lineage(marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows))
     texts = docs.select(F.col("doc_id").cast("long"), "text").dropna()
     breaks = F.length("text") - F.length(F.replace("text", F.lit("\n")))
@@ -166,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS, lines:
             )
 
     made = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, found binary, sizes binary")
-    sample = [r for _, r in sorted({r["doc_id"]: r for r in made.collect()}.items()) if r["sizes"]]
+    made = made.groupBy("doc_id", "quality").agg(F.min(F.struct("found", "sizes")).alias("first"))
+    sample = [r for r in sorted(made.select("doc_id", "quality", "first.*").collect()) if r["sizes"]]
     owns = [np.frombuffer(r["found"], "<f4").reshape(-1, OWN).astype(np.float64) for r in sample]
     sizes = [np.frombuffer(r["sizes"], "<f4").astype(np.float64) for r in sample]
     return learn(owns, sizes, np.array([r["quality"] for r in sample], np.float64))

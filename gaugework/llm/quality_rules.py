@@ -69,9 +69,10 @@ def features(text: str, hashes: np.ndarray) -> np.ndarray:
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> QualityModel:
     """A model of quality 1 against 0 from at most ``rows`` labelled documents.  Null labels, ids and texts are not used;
-    without both classes each document scores 0.5 or its class."""
+    without both classes each document scores 0.5 or its class.  Of several labels of a doc_id the smallest counts, of
+    several texts the one whose features come first, so the model does not depend on the order of rows."""
     marked = labels.select(F.col("doc_id").cast("long"), F.col("quality").cast("int")).where("quality IN (0, 1)").dropna()
-    chosen = marked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    chosen = marked.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = WordHasher()
@@ -89,7 +90,10 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAINING_ROWS) -> Qual
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").dropna()
     rows_of = texts.join(F.broadcast(chosen), "doc_id").mapInArrow(run, "doc_id long, quality int, at binary, found binary")
-    sample = sorted({r["doc_id"]: r for r in rows_of.collect()}.items())
+    rows_of = rows_of.groupBy("doc_id", "quality").agg(F.min(F.struct("at", "found")).alias("first")).select(
+        "doc_id", "quality", "first.*"
+    )
+    sample = sorted((r["doc_id"], r) for r in rows_of.collect())
     x = np.zeros((len(sample), FAMILIES * BUCKETS), np.float32)
     for row, (_, r) in zip(x, sample):
         row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["found"], "<f4")

@@ -7,8 +7,11 @@ are removed.
    words.  From each window the phrase (a few words) of the smallest hash is taken, so equal windows give equal phrases.
 2. *Confirm.*  Phrases that only one document has are dropped: no window around them can recur.
 3. *Locate.*  Each task compiles the recurring phrases of its documents into automata of a bounded number of phrases, and
-   streams its documents through them.  Documents without a recurring phrase hold no recurring window.
+   streams its documents through them.  Documents without a recurring phrase hold no recurring window.  Automata of all
+   phrases over all documents would find the same places: equal windows choose equal phrases, so a document's own
+   phrases already say which of the recurring ones it can hold.
 4. *Decide.*  Windows around a located phrase are keyed by 96 bits of their words; the smallest doc_id of each key decides.
+   A key with more windows than a task should hold is cut, and its decision repeated for each cut.
 
 Rows that travel are hashes; texts are scanned where they lie, or shuffled once per join when the other side is too
 large for a broadcast.
@@ -26,11 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.common import WordHasher, as_bytes, distinct_sorted, each_shingles, mixed, shingles
+from gaugework.operators.skew import join_on_counted_keys
 from gaugework.session import cut_lineage
 
 PHRASE = 8  # words of a phrase
 SHARD_PHRASES = 20_000  # phrases of one automaton
 BROADCAST_VALUES = 4_000_000  # largest number of 8-byte values in a side that is broadcast (32 MB)
+HOT_WINDOWS = 50_000  # windows of one key that meet in a task; a key with more is cut
+HOT_KEYS = 1_000_000  # most keys that are cut: their list is broadcast
 LAST = (1 << 63) - 1  # a null doc_id counts as larger than any other
 
 _BASES = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F], np.uint64)
@@ -232,8 +238,13 @@ def remove_repeats(docs: DataFrame, window: int = 50, joined: bool = False) -> D
     searched = slim.join(_sized(wanted, values), ["ord", "row_key"])
     schema = "ord long, row_key long, start int, k1 long, k2 int"
     windows = cut_lineage(searched.mapInArrow(_locate(window), schema))
-    owner = windows.groupBy("k1", "k2").agg(F.min("ord").alias("low"), F.max("ord").alias("high")).where("low < high")
-    repeated = windows.join(owner.select("k1", "k2", "low"), ["k1", "k2"]).where("ord > low")
+    owner = windows.groupBy("k1", "k2").agg(
+        F.min("ord").alias("low"), F.max("ord").alias("high"), F.count(F.lit(1)).alias("rows")
+    )
+    share = max(HOT_WINDOWS, windows.count() // HOT_KEYS)
+    repeated = join_on_counted_keys(
+        windows, owner.where("low < high").drop("high"), ["k1", "k2"], "rows", "inner", ["ord", "start"], share
+    ).where("ord > low")
     starts = repeated.groupBy("ord", "row_key").agg(F.collect_set("start").alias("starts"))
     covered = F.arrow_udf(_covered(window), "array<int>")
     gone = cut_lineage(
