@@ -57,9 +57,7 @@ def test_joins_without_a_broadcast_give_the_same(spark, sf, texts, monkeypatch):
     assert results(spark.read.parquet(f"{sf}/documents.parquet")) == expected(texts, 50)
 
 
-def test_one_passage_in_nine_of_ten_documents(spark, monkeypatch):
-    """Keys with more windows than a task should hold are cut."""
-    monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", 7)
+def test_one_passage_in_nine_of_ten_documents(spark):
     common = " ".join(f"c{j}" for j in range(23))
     rows = [(300 - i, f"d{i} e{i} {common if i % 10 else 'f'} g{i}") for i in range(200)] + [(None, common)]
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
