@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
+from gaugework.operators.contingency import coded_cells
 from gaugework.operators.skew import join_on_counted_keys
 from gaugework.operators.summary import finite_view, summarise
 from gaugework.session import col, cut_lineage, round_small, small_frame
@@ -124,49 +124,34 @@ def pearson_matrix(long: DataFrame, columns: list[str]) -> DataFrame:
 
 def contingency(df: DataFrame, columns: list[str]) -> DataFrame:
     """col_a, col_b, value_a, value_b, count over the rows holding both values."""
-    places = {c: f"c{i}" for i, c in enumerate(columns)}
-    labels = df.select(*[col(c).cast("string").alias(n) for c, n in places.items()])
-    # rows alike in all labels are counted first, so that pairs are made of far fewer rows
-    labels = labels.groupBy(*places.values()).agg(F.count(F.lit(1)).alias("rows"))
-    entries = [
-        F.struct(
-            F.lit(i).alias("i"), F.lit(j).alias("j"),
-            F.col(f"c{i}").alias("value_a"), F.col(f"c{j}").alias("value_b"),
-        )
-        for i, j in combinations(range(len(columns)), 2)
-    ]
-    cells = (
-        labels.select("rows", F.explode(F.array(*entries)).alias("e"))
-        .select("rows", "e.*")
-        .filter(F.col("value_a").isNotNull() & F.col("value_b").isNotNull())
-        .groupBy("i", "j", "value_a", "value_b")
-        .agg(F.sum("rows").alias("count"))
-    )
+    cells, labels = coded_cells(df, columns)
+    for side, place in (("a", "i"), ("b", "j")):
+        named = labels.select(F.col("i").alias(place), F.col("code").alias(f"code_{side}"), F.col("label").alias(f"value_{side}"))
+        cells = cells.join(named, [place, f"code_{side}"])
+    return cells.select(*_pair_names(columns), "value_a", "value_b", "count")
+
+
+def _pair_names(columns: list[str]) -> list[Column]:
     names = F.array(*map(F.lit, columns))
-    return cells.select(
-        F.element_at(names, F.col("i") + 1).alias("col_a"),
-        F.element_at(names, F.col("j") + 1).alias("col_b"),
-        "value_a",
-        "value_b",
-        "count",
-    )
+    return [F.element_at(names, F.col("i") + 1).alias("col_a"), F.element_at(names, F.col("j") + 1).alias("col_b")]
 
 
 def cramers_pairs(df: DataFrame, columns: list[str], thresholds: Thresholds = DEFAULTS) -> DataFrame:
     """col_a, col_b, n, chi2, rows_a, rows_b (levels), unrounded V.
 
-    The sum of count² / (row total x column total) needs one join, to the column
+    Works on the codes of the labels, whose texts it never needs.  The sum of
+    count² / (row total x column total) needs one join, to the column
     totals; the row total is the sum over the very group being summed.  NULL
     below the shared-row minimum; 0 when a side has fewer than two levels.
     """
     if len(columns) < 2:
         return small_frame(df.sparkSession, [], V_SCHEMA)
-    pair = ["col_a", "col_b"]
-    cells = contingency(df, columns)
-    totals = cells.groupBy(*pair, "value_b").agg(F.sum("count").alias("total_b"), F.count(F.lit(1)).alias("_cells"))
-    weighted = join_on_counted_keys(cells, totals, [*pair, "value_b"], "_cells", "inner", ["value_a"])
+    pair = ["i", "j"]
+    cells, _ = coded_cells(df, columns)
+    totals = cells.groupBy(*pair, "code_b").agg(F.sum("count").alias("total_b"), F.count(F.lit(1)).alias("_cells"))
+    weighted = join_on_counted_keys(cells, totals, [*pair, "code_b"], "_cells", "inner", ["code_a"])
     share = F.col("count").cast("double") * F.col("count") / F.col("total_b")
-    by_a = weighted.groupBy(*pair, "value_a").agg(F.sum(share).alias("share"), F.sum("count").alias("total_a"))
+    by_a = weighted.groupBy(*pair, "code_a").agg(F.sum(share).alias("share"), F.sum("count").alias("total_a"))
     sides = by_a.groupBy(*pair).agg(
         F.sum(F.col("share") / F.col("total_a")).alias("t"),
         F.sum("total_a").alias("n"),
@@ -181,9 +166,10 @@ def cramers_pairs(df: DataFrame, columns: list[str], thresholds: Thresholds = DE
         *pair, "n", "chi2", "rows_a", "rows_b",
         F.when(F.col("n") >= thresholds.min_shared_rows, v).alias("value"),
     )
-    named = [{"col_a": a, "col_b": b} for a, b in combinations(columns, 2)]
-    every = small_frame(df.sparkSession, named, "col_a string, col_b string")
-    return every.join(found, pair, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    k = len(columns)
+    places = df.sparkSession.range(k * k).select(F.floor(F.col("id") / k).cast("int").alias("i"), (F.col("id") % k).cast("int").alias("j"))
+    every = places.filter("i < j").join(found, pair, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    return every.select(*_pair_names(columns), "n", "chi2", "rows_a", "rows_b", "value")
 
 
 def high_pairs(
