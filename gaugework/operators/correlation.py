@@ -17,6 +17,7 @@ from gaugework.operators.summary import finite_view, summarise
 from gaugework.session import col, cut_lineage, round_small, small_frame
 
 PEARSON_SCHEMA = "col_a string, col_b string, n bigint, value double"
+STRIP = 256  # columns whose sums with one column travel in one row
 V_SCHEMA = "col_a string, col_b string, n bigint, chi2 double, rows_a bigint, rows_b bigint, value double"
 
 
@@ -27,71 +28,73 @@ def pearson_pairs(
     shared-row minimum or when a side is constant on the shared rows."""
     if len(columns) < 2:
         return small_frame(df.sparkSession, [], PEARSON_SCHEMA)
-    total = _sums(df, columns, summary or summarise(df, columns))
-    other = total.select(
-        F.col("a").alias("b"), F.col("b").alias("a"), F.col("sx").alias("sy"), F.col("sxx").alias("syy"),
-        F.col("low").alias("low_y"), F.col("high").alias("high_y"),
-    )
-    both = total.where("a < b").join(other, ["a", "b"])
+    both = _sums(df, columns, summary or summarise(df, columns))
     n = F.col("n")
     cov = F.col("sxy") - F.col("sx") * F.col("sy") / n
     spread = (F.col("sxx") - F.col("sx") * F.col("sx") / n) * (F.col("syy") - F.col("sy") * F.col("sy") / n)
-    varied = (F.col("low") < F.col("high")) & (F.col("low_y") < F.col("high_y")) & (spread > 0)
+    varied = (F.col("low_x") < F.col("high_x")) & (F.col("low_y") < F.col("high_y")) & (spread > 0)
     r = F.when((n >= thresholds.min_shared_rows) & varied, cov / F.sqrt(spread))
-    names = F.array(*map(F.lit, columns))
-    return cut_lineage(
-        both.select(
-            F.element_at(names, F.col("a") + 1).alias("col_a"), F.element_at(names, F.col("b") + 1).alias("col_b"),
-            n.cast("bigint").alias("n"), F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r))).alias("value"),
-        )
-    )
+    inside = F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))
+    return cut_lineage(both.select(*_pair_names(columns), n.cast("bigint").alias("n"), inside.alias("value")))
+
+
+_MERGED = {
+    "n": F.sum, "sxy": F.sum, "sx": F.sum, "sxx": F.sum, "sy": F.sum, "syy": F.sum,
+    "low_x": F.min, "high_x": F.max, "low_y": F.min, "high_y": F.max,
+}
 
 
-def _sums(df: DataFrame, columns: list[str], summary: dict[str, dict]) -> DataFrame:
-    """Sums over the rows where both columns have a number, for each ordered pair of columns.
+def _sums(df: DataFrame, columns: list[str], summary: dict[str, dict], strip: int = STRIP) -> DataFrame:
+    """i, j and sums over the rows where both columns have a number, for each pair of columns i < j.
 
     One scan for any number of columns: each task reduces its rows to k x k
-    sums of centred numbers (NumPy matrix products), and only those are shuffled.
+    sums of centred numbers (NumPy matrix products).  It sends them in strips:
+    one row holds a column's sums with up to ``strip`` following columns, as
+    arrays.  Strips are dealt out whole and added up where they arrive, so there
+    is one shuffle, of k * k / ``strip`` rows a task, and no join of the two sides.
     """
     k = len(columns)
     centre = np.array([summary[c]["mean"] or 0.0 for c in columns])
     numbers = df.select(*[finite_view(df, c).alias(f"x{i}") for i, c in enumerate(columns)])
 
     def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((5, k, k))  # n, sum x, sum xx, sum y is sum x transposed, sum xy
+        n, sx, sxx, sxy = np.zeros((4, k, k))  # [a, b]: of column a, where b is present
         low, high = np.full((k, k), np.inf), np.full((k, k), -np.inf)
         seen = False
         for batch in batches:
+            if not batch.num_rows:
+                continue
             seen = True
             raw = np.column_stack([c.to_numpy(zero_copy_only=False).astype(float) for c in batch.columns])
             mask = ~np.isnan(raw)
             x = np.where(mask, raw - centre, 0.0)
             present = mask.astype(float)
-            sums[0] += present.T @ present
-            sums[1] += x.T @ present
-            sums[2] += (x * x).T @ present
-            sums[3] += x.T @ x
-            for j in range(k):  # range of every column on the rows where column j is present
-                rows = raw[mask[:, j]]
-                if len(rows):
-                    at = ~np.isnan(rows)
-                    low[:, j] = np.minimum(low[:, j], np.where(at, rows, np.inf).min(axis=0))
-                    high[:, j] = np.maximum(high[:, j], np.where(at, rows, -np.inf).max(axis=0))
+            n += present.T @ present
+            sx += x.T @ present
+            sxx += (x * x).T @ present
+            sxy += x.T @ x
+            least, most = np.where(mask, raw, np.inf), np.where(mask, raw, -np.inf)
+            whole = mask.all(axis=0)
+            if whole.any():  # columns without a gap leave the range of the others as it is
+                low[:, whole] = np.minimum(low[:, whole], least.min(axis=0)[:, None])
+                high[:, whole] = np.maximum(high[:, whole], most.max(axis=0)[:, None])
+            for j in np.flatnonzero(~whole & mask.any(axis=0)):
+                rows = mask[:, j]
+                low[:, j] = np.minimum(low[:, j], least[rows].min(axis=0))
+                high[:, j] = np.maximum(high[:, j], most[rows].max(axis=0))
         if seen:
-            a, b = np.divmod(np.arange(k * k), k)
-            flat = [a.astype(np.int32), b.astype(np.int32), *(s.ravel() for s in sums[:4]), low.ravel(), high.ravel()]
-            yield pa.RecordBatch.from_arrays([pa.array(f) for f in flat], names=list(_PARTIAL))
-
-    partial = numbers.mapInArrow(reduce_rows, ", ".join(f"{n} {t}" for n, t in _PARTIAL.items()))
-    return partial.groupBy("a", "b").agg(
-        *[F.sum(c).alias(c) for c in ("n", "sx", "sxx", "sxy")], F.min("low").alias("low"), F.max("high").alias("high")
-    )
-
-
-_PARTIAL = {
-    "a": "int", "b": "int", "n": "double", "sx": "double", "sxx": "double", "sxy": "double",
-    "low": "double", "high": "double",
-}
+            sides = [n, sxy, sx, sxx, sx.T, sxx.T, low, high, low.T, high.T]
+            for a in range(k - 1):
+                first = np.arange(a + 1, k, strip, dtype=np.int32)
+                ends = pa.array(np.append(first, k) - a - 1, pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(m[a, a + 1 :])) for m in sides]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), a, np.int32)), pa.array(first), *lists], names=["i", "first", *_MERGED])
+
+    schema = "i int, first int, " + ", ".join(f"{name} array<double>" for name in _MERGED)
+    strips = numbers.mapInArrow(reduce_rows, schema).repartition("i", "first")
+    cells = strips.select("i", "first", F.posexplode(F.arrays_zip(*_MERGED)).alias("at", "s")).select("i", "first", "at", "s.*")
+    merged = cells.groupBy("i", "first", "at").agg(*[merge(name).alias(name) for name, merge in _MERGED.items()])
+    return merged.select("i", (F.col("first") + F.col("at")).alias("j"), *_MERGED)
 
 
 def pearson(pairs: DataFrame, columns: list[str], diagonal: dict[str, bool]) -> DataFrame:
