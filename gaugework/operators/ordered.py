@@ -3,9 +3,10 @@
 The order is cut into consecutive buckets of similar size.  A window runs inside
 each bucket; what has to cross a bucket border (the last known value, the last
 timestamp) is one row per bucket, carried over in a table of one row per
-``ROWS_PER_BUCKET`` rows.  Bucket borders come from a bounded sample and are
-literals, so every task and every retry cuts alike; they only steer balance,
-never the result.  Where many rows have equal order keys, or none, buckets are
+``ROWS_PER_BUCKET`` rows.  Bucket borders come from a sample that grows with the
+number of buckets and are a sorted array sent with the plan, so every task and
+every retry cuts alike; they only steer balance, never the result.  A row finds
+its bucket by binary search, and what belongs to the bucket by its number.  Where many rows have equal order keys, or none, buckets are
 cut among them too: by a hash of the whole row.
 """
 
@@ -15,6 +16,7 @@ import math
 from collections import Counter
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,6 +27,7 @@ from gaugework.session import col, cut_lineage
 ROWS_PER_BUCKET = 1_000_000
 MIN_ROWS_PER_BUCKET = 5_000
 SAMPLE_ROWS = 100_000
+SAMPLE_PER_BUCKET = 50
 
 _BUCKET, _KEY, _TIE, _CARRY = "_bucket", "_bucket_key", "_bucket_tie", "_carry"
 _MOST_PARTS = 1 << 32
@@ -63,7 +66,7 @@ def order_borders(df: DataFrame, order_by: str, buckets: int | None = None) -> B
     null_parts = max(1, -(-nulls // ROWS_PER_BUCKET))
     if buckets == 1:
         return Borders([], null_parts)
-    share = min(1.0, SAMPLE_ROWS / max(rows, 1))
+    share = min(1.0, max(SAMPLE_ROWS, SAMPLE_PER_BUCKET * buckets) / max(rows, 1))
     sampled = keys.sample(share, seed=17) if share < 1.0 else keys
     cuts = [i / buckets for i in range(1, buckets)]
     found = sampled.agg(F.approx_percentile("k", cuts, 10 * buckets)).first()[0]
@@ -90,8 +93,9 @@ def cut_in_order(df: DataFrame, order_by: str, borders: Borders | list[float]) -
         tied = tied.withColumn(_BUCKET, F.lit(1).cast("bigint"))
     own = F.lit(1)
     if parts:
-        counts = F.create_map(*[F.lit(x) for v, n in parts.items() for x in (v, n)])
-        own = F.coalesce(counts[F.col(_KEY)], own)
+        # such a value begins the bucket that ends at the next number, so it is alone in it
+        counts = np.array([1, *(parts.get(v, 1) for v in edges)], dtype=np.int32)
+        own = F.coalesce(F.get(F.lit(counts), (F.col(_BUCKET) - 1).cast("int")), own)
     own = F.when(F.col(_KEY).isNull(), F.lit(borders.null_parts)).otherwise(own)
     place = F.when(F.col(_KEY).isNull(), F.lit(0).cast("bigint")).otherwise(F.col(_BUCKET))
     share = F.col(_TIE) / F.lit(2.0**64) + 0.5
