@@ -540,6 +540,15 @@ def oracle_sql() -> dict[str, str]:
                 ORDER BY (row_id % 2147483647 * 2654435761 + 42) % 4294967296, row_id LIMIT 300)""",
             NUM, FENCES, FLAGS,
         ),
+        "histograms_all": " UNION ALL ".join(
+            f"""SELECT '{c}' AS "column", * FROM ({bins(f"SELECT CAST({c} AS DOUBLE) AS x FROM lineitem", "least(40, greatest(5, count(*) // 5))")})""" for c in LINE_NUMBERS
+        ),
+        "boxplot_points_all": messy(
+            """SELECT "column", 'outlier' AS kind, row_id, x AS value FROM flags WHERE iqr
+              UNION ALL (SELECT "column", 'normal', row_id, x FROM flags WHERE NOT iqr
+                QUALIFY row_number() OVER (PARTITION BY "column" ORDER BY (row_id % 2147483647 * 2654435761 + 42) % 4294967296, row_id) <= 300)""",
+            NUM, FENCES, FLAGS,
+        ),
         "rec_counts": messy("SELECT severity, count(*) AS count FROM ranked GROUP BY 1", COLUMN_TABLE),
         "overview_facts": messy(
             """SELECT q.rows, q.columns, q.quality_score, q.quality_grade,

@@ -703,6 +703,15 @@ def boxplot_points(spark, sf):
     return views.boxplot_points(_profile(spark, sf), "price")
 
 
+def histograms_all(spark, sf):
+    found = views.histograms(table(spark, sf, "lineitem"), LINE_NUMBERS)
+    return _rounded(_rounded(found, 4, "bin_start", "bin_end"), 12, "density")
+
+
+def boxplot_points_all(spark, sf):
+    return views.boxplot_points_all(_profile(spark, sf))
+
+
 def queries() -> dict:
     return {
         # sources and sinks
@@ -844,6 +853,8 @@ def queries() -> dict:
         "outlier_ranking": _light(lambda p, t: views.outlier_ranking(t)),
         "boxplot": boxplot,
         "boxplot_points": boxplot_points,
+        "histograms_all": histograms_all,
+        "boxplot_points_all": boxplot_points_all,
         "rec_counts": _light(lambda p, t: views.recommendation_counts(p.recommendations(t))),
         # facts
         "overview_facts": _light(facts.overview_facts),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.config import DEFAULTS, Thresholds
@@ -142,6 +142,36 @@ def histogram(df: DataFrame, column: str) -> DataFrame:
     return _equal_bins(values, low, high, min(40, max(5, rows // 5)), rows)
 
 
+def histograms(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, bin, bin_start, bin_end, count, density: ``histogram`` of every column, from two scans.
+
+    The first finds each column's edges, one row a column; these are broadcast to the second, which
+    counts by column and bin.  Nothing comes to the driver.  Columns without a finite number have no bins.
+    """
+    entries = [F.struct(F.lit(c).alias("column"), finite_view(df, c).alias("x")) for c in columns]
+    cells = df.select(F.explode(F.array(*entries)).alias("e")).select("e.*").filter(F.col("x").isNotNull())
+    bins = F.least(F.lit(40), F.greatest(F.lit(5), F.floor(F.col("rows") / 5))).cast("int")
+    width = (F.col("high") - F.col("low")) / F.col("bins")
+    edges = (
+        cells.groupBy("column")
+        .agg(F.count("x").alias("rows"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .withColumn("bins", bins)
+        .withColumn("width", F.when(width == 0, 1.0).otherwise(width))
+    )
+    at = F.least(F.floor((F.col("x") - F.col("low")) / F.col("width")).cast("int"), F.col("bins") - 1)
+    counted = (
+        cells.join(F.broadcast(edges), "column")
+        .groupBy("column", at.alias("bin"))
+        .agg(F.count(F.lit(1)).alias("count"), *[F.first(n).alias(n) for n in ("rows", "low", "width")])
+    )
+    return counted.select(
+        "column", "bin",
+        (F.col("low") + F.col("bin") * F.col("width")).alias("bin_start"),
+        (F.col("low") + (F.col("bin") + 1) * F.col("width")).alias("bin_end"),
+        "count", (F.col("count") / (F.col("rows") * F.col("width"))).alias("density"),
+    )
+
+
 def length_histogram(df: DataFrame, column: str) -> DataFrame:
     """Bins over the text lengths: at most 30, at most one per distinct length."""
     lengths = df.select(F.length(col(column)).cast("double").alias("x")).filter(F.col("x").isNotNull())
@@ -203,6 +233,12 @@ def five_numbers(df: DataFrame, columns: list[str]) -> DataFrame:
     return small_frame(df.sparkSession, rows, schema)
 
 
+def _draw_order(df: DataFrame, row_id: str, seed: int) -> Column:
+    whole = df.schema[row_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    spread = F.pmod(col(row_id).cast("bigint"), F.lit(2**31 - 1)) * F.lit(2_654_435_761) + F.lit(seed)
+    return F.pmod(spread, F.lit(2**32)) if whole else F.xxhash64(col(row_id), F.lit(seed))
+
+
 def boxplot_points(
     profile: Profile, column: str, method: str = "iqr", seed: int = 42, thresholds: Thresholds = DEFAULTS
 ) -> DataFrame:
@@ -214,8 +250,27 @@ def boxplot_points(
     outliers = marked.select(F.lit("outlier").alias("kind"), row_id, "value")
     values = df.select(col(row_id), finite_view(df, column).alias("value"), rule.alias("out"))
     normal = values.filter(F.col("value").isNotNull() & ~F.col("out"))
-    whole = df.schema[row_id].dataType.typeName() in ("byte", "short", "integer", "long")
-    spread = F.pmod(col(row_id).cast("bigint"), F.lit(2**31 - 1)) * F.lit(2_654_435_761) + F.lit(seed)
-    order = F.pmod(spread, F.lit(2**32)) if whole else F.xxhash64(col(row_id), F.lit(seed))
-    shown = normal.orderBy(order, col(row_id)).limit(thresholds.boxplot_sample)
+    shown = normal.orderBy(_draw_order(df, row_id, seed), col(row_id)).limit(thresholds.boxplot_sample)
     return outliers.unionByName(shown.select(F.lit("normal").alias("kind"), row_id, "value"))
+
+
+def boxplot_points_all(
+    profile: Profile, method: str = "iqr", seed: int = 42, thresholds: Thresholds = DEFAULTS
+) -> DataFrame:
+    """column, kind, row id, value: ``boxplot_points`` of every number column, from one scan for the outliers
+    and one for the others, of which each task passes on its first 300 a column."""
+    df, row_id = profile.frame, profile.row_id
+    rules = {c: {method: profile.outlier_rules[c][method]} for c in profile.numeric}
+    marked = rows_matching(df, row_id, rules, (method,))
+    outliers = marked.select("column", F.lit("outlier").alias("kind"), row_id, "value")
+    entries = [
+        F.when(~rules[c][method], F.struct(F.lit(c).alias("column"), finite_view(df, c).alias("value")))
+        for c in profile.numeric
+    ]
+    if not entries:
+        return outliers
+    cells = df.select(col(row_id), F.explode(F.array_compact(F.array(*entries))).alias("e")).select(col(row_id), "e.*")
+    order = Window.partitionBy("column").orderBy(_draw_order(df, row_id, seed), col(row_id))
+    shown = cells.filter(F.col("value").isNotNull()).withColumn("_drawn", F.row_number().over(order))
+    shown = shown.filter(F.col("_drawn") <= thresholds.boxplot_sample)
+    return outliers.unionByName(shown.select("column", F.lit("normal").alias("kind"), row_id, "value"))
