@@ -113,18 +113,15 @@ def fill_in_order(
     """
     cut = cut_in_order(df, order_by, order_borders(df, order_by) if borders is None else borders)
     value, order = col(column), F.struct(col(order_by), F.col(_TIE))
-    inside = Window.partitionBy(_BUCKET).orderBy(col(order_by), _TIE)
     known_at = F.when(value.isNotNull(), order)
-    if backward:
-        near = F.first(value, ignorenulls=True).over(inside.rowsBetween(0, Window.unboundedFollowing))
-        edge = F.min_by(value, known_at)
-        reach = Window.orderBy(_BUCKET).rowsBetween(1, Window.unboundedFollowing)
-        carry = F.first("_edge", ignorenulls=True).over(reach)
-    else:
-        near = F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
-        edge = F.max_by(value, known_at)
-        reach = Window.orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        carry = F.last("_edge", ignorenulls=True).over(reach)
+    edge = F.min_by(value, known_at) if backward else F.max_by(value, known_at)
+    # Backwards it is the same running value over the opposite order: a frame that ends at the last row
+    # would be added up anew for each row.
+    turn = F.desc_nulls_last if backward else F.asc_nulls_first
+    inside = Window.partitionBy(_BUCKET).orderBy(turn(col(order_by)), turn(_TIE))
+    near = F.last(value, ignorenulls=True).over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    reach = Window.orderBy(turn(_BUCKET)).rowsBetween(Window.unboundedPreceding, -1)
+    carry = F.last("_edge", ignorenulls=True).over(reach)
     carried = cut.groupBy(_BUCKET).agg(edge.alias("_edge")).select(_BUCKET, carry.alias(_CARRY))
     filled = cut.withColumn(column, near).join(F.broadcast(carried), _BUCKET, "left")
     return filled.withColumn(column, F.coalesce(value, F.col(_CARRY))).select(*map(col, df.columns))
