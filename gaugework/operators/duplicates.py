@@ -15,11 +15,12 @@ from pyspark.sql import functions as F
 from gaugework.config import DEFAULTS
 from gaugework.functions import scalars as S
 from gaugework.operators.skew import join_on_counted_keys
-from gaugework.session import col, cut_lineage
+from gaugework.session import col, cut_lineage, cut_wide_lineage
 
 _FIRST, _LAST = ["_first_a", "_first_b"], ["_last_a", "_last_b"]
 _PRINT = [*_FIRST, *_LAST]
 _COPIES, _POSITION, _KEY = "_copies", "_position", ["_key_a", "_key_b"]
+_SIDE, _ODD = "_side", ["_odd_a", "_odd_b"]
 BROADCAST_IDS = 1_000_000  # ids of a side that is broadcast, at most
 OWN_ID = "_own_id"
 
@@ -37,20 +38,26 @@ def _term(df: DataFrame, name: str, position: int, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), F.lit(position), value.isNull(), value)
 
 
-def _halves(df: DataFrame, columns: list[str]) -> dict[str, Column]:
-    """The fingerprint: per half and seed the exclusive or of the cells' hashes."""
+def _parts(columns: list[str]) -> tuple[range, range]:
+    """Positions of the first and of the last columns."""
     middle = len(columns) // 2
+    return range(middle), range(middle, len(columns))
+
+
+def _halves(df: DataFrame, columns: list[str]) -> dict[str, Column]:
+    """The fingerprint: per half and seed one hash over all cells; NULL differs from every value."""
     found = {}
-    for names, part in ((_FIRST, range(middle)), (_LAST, range(middle, len(columns)))):
+    for names, part in zip((_FIRST, _LAST), _parts(columns)):
+        values = [_plain(df, columns[i]) for i in part]
+        cells = [x for value in values for x in (value.isNull(), value)]
         for seed, name in enumerate(names, 1):
-            terms = [_term(df, columns[i], i, seed) for i in part]
-            found[name] = reduce(lambda a, b: a.bitwiseXOR(b), terms, F.lit(0).cast("bigint"))
+            found[name] = F.xxhash64(F.lit(seed), *cells)
     return found
 
 
 def fingerprints(df: DataFrame, columns: list[str], row_id: str) -> DataFrame:
     """Row id and fingerprint of every row, written once for all that follows."""
-    return cut_lineage(df.select(col(row_id), *[v.alias(n) for n, v in _halves(df, columns).items()]))
+    return cut_wide_lineage(df.select(col(row_id), *[v.alias(n) for n, v in _halves(df, columns).items()]))
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -95,42 +102,43 @@ def near_duplicate_ids(
 
     Two such rows agree on one half of their columns, so first the rows that
     share a half with a different row are found.  Each of these gives one key
-    per column, its fingerprint without that column; a key counts when rows
-    under it differ.  ``unique_columns`` are columns known to repeat no value;
+    per column of the other half, its fingerprint without that column; a key
+    counts when rows under it differ there.  ``unique_columns`` are columns known to repeat no value;
     two rows always differ there, so with one such column no other column can
     be the odd one out, and with two there are no near-duplicates.
     """
     if len(columns) < 2 or len(unique_columns) > 1:
         return df.select(col(row_id)).limit(0)
     prints = fingerprints(df, columns, row_id) if prints is None else prints
-    halves = [_differing(prints, half, row_id) for half in (_FIRST, _LAST)]
-    thinned = cut_lineage(halves[0].unionByName(halves[1]).distinct())
-    rows = rows_with_ids(df, thinned, row_id)
-    odd = [i for i, c in enumerate(columns) if not unique_columns or c in unique_columns]
-    whole = _halves(rows, columns)
-    sides = [whole[a].bitwiseXOR(whole[b]) for a, b in zip(_FIRST, _LAST)]
-    keys = [
-        F.struct(
-            F.lit(i).alias(_POSITION),
-            *[F.col(f"_side{s}").bitwiseXOR(_term(rows, columns[i], i, s + 1)).alias(_KEY[s]) for s in (0, 1)],
-        )
-        for i in odd
+    shared = [
+        _differing(prints, same, other, row_id).withColumn(_SIDE, F.lit(side))
+        for side, (same, other) in enumerate(((_LAST, _FIRST), (_FIRST, _LAST)))
     ]
-    rows = rows.withColumns({f"_side{s}": side for s, side in enumerate(sides)} | whole)
-    keyed = cut_lineage(rows.select(col(row_id), *_PRINT, F.explode(F.array(*keys)).alias("k")).select(row_id, *_PRINT, "k.*"))
-    candidates = _differing(keyed, [_POSITION, *_KEY], row_id).distinct()
+    sides = F.collect_set(_SIDE).alias(_SIDE)  # of the odd column: 0 among the first, 1 among the last
+    thinned = cut_lineage(shared[0].unionByName(shared[1]).groupBy(col(row_id)).agg(sides))
+    rows = rows_with_ids(df, thinned, row_id, "inner")
+    whole, keys = _halves(rows, columns), []
+    for side, (part, same) in enumerate(zip(_parts(columns), (_LAST, _FIRST))):
+        terms = {i: [_term(rows, columns[i], i, seed) for seed in (1, 2)] for i in part}
+        rest = [reduce(lambda a, b: a.bitwiseXOR(b), t, whole[name]) for t, name in zip(zip(*terms.values()), same)]
+        rows = rows.withColumns({f"_rest{side}{s}": x for s, x in enumerate(rest)})
+        for i in part:
+            if unique_columns and columns[i] not in unique_columns:
+                continue
+            without = [F.col(f"_rest{side}{s}").bitwiseXOR(terms[i][s]).alias(_KEY[s]) for s in (0, 1)]
+            own = [t.alias(name) for t, name in zip(terms[i], _ODD)]
+            keys.append(F.when(F.array_contains(_SIDE, side), F.struct(F.lit(i).alias(_POSITION), *without, *own)))
+    exploded = rows.select(col(row_id), F.explode(F.array_compact(F.array(*keys))).alias("k"))
+    keyed = cut_wide_lineage(exploded.select(col(row_id), "k.*"))
+    candidates = _differing(keyed, [_POSITION, *_KEY], _ODD, row_id).distinct()
     return candidates.join(duplicate_ids(prints, row_id), row_id, "left_anti")
 
 
-def _differing(rows: DataFrame, on: list[str], row_id: str) -> DataFrame:
-    """Ids of the rows that share a key with a different row."""
-    whole = F.struct(*_PRINT)
-    shared = (
-        rows.groupBy(*on)
-        .agg(F.count(F.lit(1)).alias(_COPIES), F.min(whole).alias("_low"), F.max(whole).alias("_high"))
-        .filter(F.col("_low") != F.col("_high"))
-        .select(*on, _COPIES)
-    )
+def _differing(rows: DataFrame, on: list[str], told_by: list[str], row_id: str) -> DataFrame:
+    """Ids of the rows that share a key with a row of another ``told_by``."""
+    ends = [f(c).alias(f"{end}{c}") for c in told_by for f, end in ((F.min, "_low"), (F.max, "_high"))]
+    differ = reduce(lambda a, b: a | b, [F.col(f"_low{c}") != F.col(f"_high{c}") for c in told_by])
+    shared = rows.groupBy(*on).agg(F.count(F.lit(1)).alias(_COPIES), *ends).filter(differ).select(*on, _COPIES)
     return join_on_counted_keys(rows, shared, on, _COPIES, "left_semi", [row_id]).select(col(row_id))
 
 
@@ -152,7 +160,7 @@ def first_ids(ids: DataFrame, row_id: str, limit: int = DEFAULTS.sample_ids) ->
     return ids.select(col(row_id)).orderBy(col(row_id)).limit(limit)
 
 
-def rows_with_ids(df: DataFrame, ids: DataFrame, row_id: str) -> DataFrame:
+def rows_with_ids(df: DataFrame, ids: DataFrame, row_id: str, how: str = "left_semi") -> DataFrame:
     """The rows behind some ids; these are broadcast only when they have been counted and are few."""
     small = ids.count() <= BROADCAST_IDS
-    return df.join(F.broadcast(ids) if small else ids, row_id, "left_semi")
+    return df.join(F.broadcast(ids) if small else ids, row_id, how)
