@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.config import DEFAULTS, Thresholds
 from gaugework.functions import scalars as S
-from gaugework.operators.outliers import rows_matching
+from gaugework.operators.outliers import outlier_rules, rows_matching
 from gaugework.operators.quantiles import exact_quantiles
-from gaugework.operators.summary import finite_view, kinds
+from gaugework.operators.summary import finite_view, kinds, number_view
 from gaugework.plans.profile import Profile, one_decimal
-from gaugework.session import col, round_small, small_frame
+from gaugework.session import col, cut_lineage, round_small, small_frame
 
 KDE_REACH = 9.0  # in bandwidths; beyond it a kernel adds less than 1e-17 of its peak
 
@@ -239,6 +241,12 @@ def _draw_order(df: DataFrame, row_id: str, seed: int) -> Column:
     return F.pmod(spread, F.lit(2**32)) if whole else F.xxhash64(col(row_id), F.lit(seed))
 
 
+def _strip(df: DataFrame, row_id: str, draw: Column) -> Column:
+    """Strip of the draw order, rising with it: 4,096 of equal width."""
+    whole = df.schema[row_id].dataType.typeName() in ("byte", "short", "integer", "long")
+    return F.shiftright(draw, 20 if whole else 52)
+
+
 def boxplot_points(
     profile: Profile, column: str, method: str = "iqr", seed: int = 42, thresholds: Thresholds = DEFAULTS
 ) -> DataFrame:
@@ -257,10 +265,13 @@ def boxplot_points(
 def boxplot_points_all(
     profile: Profile, method: str = "iqr", seed: int = 42, thresholds: Thresholds = DEFAULTS
 ) -> DataFrame:
-    """column, kind, row id, value: ``boxplot_points`` of every number column, from one scan for the outliers
-    and one for the others, of which each task passes on its first 300 a column."""
-    df, row_id = profile.frame, profile.row_id
-    rules = {c: {method: profile.outlier_rules[c][method]} for c in profile.numeric}
+    """column, kind, row id, value: ``boxplot_points`` of every number column.  One scan gives the outliers; one counts
+    the others by strips of the draw order, and one orders only those in the strips that hold the first 300 a column."""
+    row_id, frame = profile.row_id, profile.frame
+    # texts are read as numbers once, not in every rule of every scan
+    df = cut_lineage(frame.select(col(row_id), *[number_view(frame, c).alias(c) for c in profile.numeric]))
+    found = outlier_rules(df, profile.numeric, profile.summary, profile.quartiles, profile.thresholds)
+    rules = {c: {method: found[c][method]} for c in profile.numeric}
     marked = rows_matching(df, row_id, rules, (method,))
     outliers = marked.select("column", F.lit("outlier").alias("kind"), row_id, "value")
     entries = [
@@ -269,8 +280,17 @@ def boxplot_points_all(
     ]
     if not entries:
         return outliers
-    cells = df.select(col(row_id), F.explode(F.array_compact(F.array(*entries))).alias("e")).select(col(row_id), "e.*")
-    order = Window.partitionBy("column").orderBy(_draw_order(df, row_id, seed), col(row_id))
-    shown = cells.filter(F.col("value").isNotNull()).withColumn("_drawn", F.row_number().over(order))
+    draw = _draw_order(df, row_id, seed)
+    cells = df.select(col(row_id), draw.alias("_draw"), _strip(df, row_id, draw).alias("_strip"), F.array_compact(F.array(*entries)).alias("e"))
+    cells = cells.select(col(row_id), "_draw", "_strip", F.explode("e").alias("e")).select(col(row_id), "_draw", "_strip", "e.*")
+    cells = cells.filter(F.col("value").isNotNull())
+    counted = cells.groupBy("column", "_strip").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("column").orderBy("_strip").rowsBetween(Window.unboundedPreceding, -1)
+    needed = counted.withColumn("_before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    needed = needed.filter(F.col("_before") < thresholds.boxplot_sample)
+    last = {r["column"]: r["last"] for r in needed.groupBy("column").agg(F.max("_strip").alias("last")).collect()}
+    reach = reduce(lambda a, b: a | b, [(F.col("column") == c) & (F.col("_strip") <= n) for c, n in last.items()], F.lit(False))
+    order = Window.partitionBy("column").orderBy("_draw", col(row_id))
+    shown = cells.filter(reach).withColumn("_drawn", F.row_number().over(order))
     shown = shown.filter(F.col("_drawn") <= thresholds.boxplot_sample)
     return outliers.unionByName(shown.select("column", F.lit("normal").alias("kind"), row_id, "value"))
