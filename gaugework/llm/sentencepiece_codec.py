@@ -10,14 +10,15 @@ first (its output links), and each of them relaxes the best way to reach the pos
 
 Characters without a piece cost the lowest score less ``UNKNOWN``, merge with nothing, and become their bytes' pieces.
 
-Pieces hold a blank mark only at their beginning (checked when the model is loaded), so the ids of a text are those of its
-words one after another; each distinct word of a task is searched once.
+Two neighbouring bytes that stand together in no piece can be parted: no piece covers both, and no merge joins them.  So a
+text's ids are those of its words one after another, where a word goes on as long as its neighbours may share a piece (blanks
+are cut from what is before them, digits and marks from letters, as far as the model's pieces allow).  The words of many texts
+are found, told apart and looked up as Arrow arrays; each distinct word that a worker does not remember is searched once.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import sys
 from array import array
 from collections.abc import Iterator
@@ -26,6 +27,7 @@ from types import SimpleNamespace
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +36,7 @@ UNKNOWN = 10.0
 UNIGRAM, BPE = 1, 2
 WORDS = 200_000  # words whose ids a worker remembers, and as many that it used before these
 PAIRS = 500_000  # pairs of pieces of which a worker remembers whether they may be neighbours
-ROWS = 200  # rows that are Python objects at a time
+BYTES = 1 << 22  # bytes of texts (or as many ids) whose words are told apart at a time; a longer row is taken alone
 
 
 def model_kind(path: str) -> int:
@@ -85,37 +87,37 @@ class PieceModel(dict):
         self.scores: dict[int, float] = {}
         self.ranks: dict[int, float] = {}
         self.split: dict[int, tuple[int, int]] = {}
-        self.follows: dict[tuple[int, int], bool] = {}
+        self.follows: list[dict[int, bool]] = []  # of each piece: the pieces that it may follow, as far as looked up
+        self.pairs = 0
         self.bytes: dict[int, int] = {}
-        self.decoded: list[bytes] = []
-        self.unknown, lowest, cuttable = model.unk_id(), 0.0, True
-        inner: set[str] = set()
+        self.unknown, lowest, decoded = model.unk_id(), 0.0, []
+        # whether a byte goes on with the next in some piece or in a character, by 256 * byte + next
+        together = np.zeros((256, 256), bool)
+        together[:, 0x80:0xC0] = True
         for i in range(model.get_piece_size()):
             piece = model.id_to_piece(i)
-            self.decoded.append(b"" if model.is_control(i) else piece.replace(MARK, " ").encode())
+            decoded.append(b"" if model.is_control(i) else piece.replace(MARK, " ").encode())
             if model.is_unknown(i):
-                self.decoded[i] = b" \xe2\x81\x87 "
+                decoded[i] = b" \xe2\x81\x87 "
             elif model.is_byte(i):
                 self.bytes[int(piece[3:5], 16)] = i
-                self.decoded[i] = bytes([int(piece[3:5], 16)])
+                decoded[i] = bytes([int(piece[3:5], 16)])
             elif not model.is_control(i) and not model.is_unused(i):
                 score = model.get_score(i)
                 lowest = min(lowest, score)
-                self.automaton.add_word(piece, (len(piece), i))
+                self.follows.append({})
+                self.automaton.add_word(piece, (len(piece), i, self.follows[-1]))
                 self.pieces[piece] = (score, i)
                 self.texts[i], self.scores[i] = piece, score
                 self.ranks[i] = -score if len(piece) > 1 else -1.0  # a character is merged from nothing
-                cuttable = cuttable and MARK not in piece.lstrip(MARK)
                 if len(piece) == 1:
                     self.single.add(piece)
-                else:
-                    inner.update(piece)
+                raw = np.frombuffer(decoded[i], np.uint8)
+                together[raw[:-1], raw[1:]] = True
         self.automaton.make_automaton()
         self.cost = lowest - UNKNOWN
         self.merging = model_kind(path) == BPE
-        # where a text can be cut: before a blank mark that follows another character, and around lonely line ends
-        lonely = "" if "\n" in inner else "\n"
-        self.cut = re.compile(f"{MARK}*[^{MARK}{lonely}]+|{MARK}+" + ("|\n" if lonely else "")) if cuttable else None
+        self.decoded, self.together = pa.array(decoded, pa.large_binary()), together.ravel()
 
     def merged(self, text: str, last: bool = False) -> list[str]:
         """Symbols of a short text after all merges (or all but the last), best score first and leftmost among equals."""
@@ -163,7 +165,7 @@ class PieceModel(dict):
         back = (self.by_merges if self.merging else self.by_scores)(text)
         ids, at = [], len(text)
         while at:
-            length, piece = back[at]
+            length, piece = back[at][:2]
             ids += [piece] if piece >= 0 else self.spelled(text[at - 1])
             at -= length
         return ids[::-1]
@@ -177,7 +179,7 @@ class PieceModel(dict):
                 if text[i] not in self.single and best[i] + self.cost > best[i + 1]:
                     best[i + 1], back[i + 1] = best[i] + self.cost, (1, -1)
 
-        for end, (length, piece) in self.automaton.iter(text):
+        for end, (length, piece, _) in self.automaton.iter(text):
             if end > done:
                 lone(end)
                 done = end
@@ -187,28 +189,30 @@ class PieceModel(dict):
         lone(len(text))
         return back
 
-    def by_merges(self, text: str) -> list[tuple[int, int]]:
+    def by_merges(self, text: str) -> list[tuple]:
         """As by_scores, with steps that score 0 or minus infinity: a position without a way has no entry."""
-        follows = self.follows
-        if len(follows) > PAIRS:
-            follows.clear()
-        back: list[tuple[int, int] | None] = [(0, -1)] + [None] * len(text)
-        for i, c in enumerate(text):
-            if c not in self.single:
-                back[i + 1] = (1, -1)
+        if self.pairs > PAIRS:
+            self.pairs = 0
+            for known in self.follows:
+                known.clear()
+        back: list[tuple | None] = [(0, -1)] + [None] * len(text)
+        if not self.single.issuperset(text):
+            for i, c in enumerate(text):
+                if c not in self.single:
+                    back[i + 1] = (1, -1)
         for end, match in self.automaton.iter(text):
-            if back[end + 1] is not None:
-                continue
-            length, piece = match
-            way = back[end + 1 - length]
-            if way is None:
-                continue
-            before = way[1]
-            known = follows.get((before, piece))
-            if known is None:
-                known = follows[before, piece] = self.may_follow(before, piece) if before >= 0 else self.whole(piece)
-            if known:
-                back[end + 1] = match
+            end += 1
+            if back[end] is None:
+                length, piece, follows = match
+                way = back[end - length]
+                if way is not None:
+                    before = way[1]
+                    known = follows.get(before)
+                    if known is None:
+                        known = follows[before] = self.may_follow(before, piece) if before >= 0 else self.whole(piece)
+                        self.pairs += 1
+                    if known:
+                        back[end] = match
         return back
 
     def whole(self, piece: int) -> bool:
@@ -230,20 +234,61 @@ class PieceModel(dict):
         self[word] = found
         return found
 
-    def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        text = MARK + text.replace(" ", MARK)
-        if self.cut is None:
-            return array("i", self.segment(text)).tobytes()
-        return b"".join(map(self.__getitem__, self.cut.findall(text)))
+    def words(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The words of texts that begin with a blank or are empty, and where each text's begin among them."""
+        _, offsets, data = texts.buffers()
+        offsets = np.frombuffer(offsets, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+        size, begins = int(offsets[-1]), np.zeros(offsets[-1] + 1, bool)
+        if data is not None:
+            raw = np.frombuffer(data, np.uint8, size)
+            begins[1:size] = ~self.together[(raw[:-1].astype(np.uint16) << 8) | raw[1:]]
+        begins[: offsets[0]] = False
+        begins[offsets] = True
+        begins[size] = False
+        starts = np.flatnonzero(begins).astype(np.int32)
+        ends = pa.py_buffer(np.append(starts, np.int32(size)))
+        return pa.StringArray.from_buffers(len(starts), ends, data), np.searchsorted(starts, offsets)
+
+    def encode_all(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts one after another, and where each text's begin; null and empty texts have none."""
+        texts = pc.replace_substring(pc.fill_null(texts, ""), MARK, " ")
+        lead = pc.if_else(pc.equal(pc.binary_length(texts), 0), "", " ")
+        words, bounds = self.words(pc.binary_join_element_wise(lead, texts, ""))
+        told = words.dictionary_encode()
+        distinct = pc.replace_substring(told.dictionary, " ", MARK).to_pylist()
+        found = pa.array([self[word] for word in distinct], pa.large_binary()).take(told.indices)
+        offsets, raw = _parts(found)
+        return raw.view(np.int32), (offsets // 4)[bounds]
 
-    def decode(self, ids: list[int]) -> str:
-        """Text of ids; bytes that are no UTF-8 become the replacement character, ids out of range are skipped."""
-        size = len(self.decoded)
-        raw = b"".join([self.decoded[i] for i in ids if i is not None and 0 <= i < size])
-        text = raw.decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+    def encode(self, text: str) -> bytes:
+        return self.encode_all(pa.array([text], pa.string()))[0].tobytes()
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> pa.Array:
+        """Texts of ids that stand one after another; bytes that are no UTF-8 become the replacement character, ids out
+        of range are skipped."""
+        known = (ids >= 0) & (ids < len(self.decoded))
+        if not known.all():
+            bounds = np.append(0, np.cumsum(known))[bounds]
+            ids = ids[known]
+        offsets, raw = _parts(self.decoded.take(pa.array(ids)))
+        offsets = offsets[bounds]
+        first = offsets[:-1][offsets[:-1] < offsets[1:]]
+        blank = first[raw[first] == ord(" ")]  # the one that encoding put before the text
+        raw, offsets = np.delete(raw, blank), offsets - np.searchsorted(blank, offsets)
+        try:
+            buffers = [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+            return pa.Array.from_buffers(pa.large_binary(), len(offsets) - 1, buffers).cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            whole, at = raw.tobytes(), offsets.tolist()
+            return pa.array([whole[a:b].decode("utf-8", "replace") for a, b in zip(at, at[1:])], pa.string())
+
+
+def _parts(values: pa.LargeBinaryArray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value begins, and the bytes of all."""
+    _, offsets, raw = values.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[values.offset : values.offset + len(values) + 1]
+    raw = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], raw
 
 
 def _loaded(path: str) -> PieceModel:
@@ -257,15 +302,19 @@ def _loaded(path: str) -> PieceModel:
     return held[key]
 
 
-def _encoded(model: PieceModel, texts: pa.Array) -> Iterator[bytes]:
-    """The ids of each text."""
-    for low in range(0, len(texts), ROWS):
-        yield from (model.encode(x or "") for x in texts.slice(low, ROWS).to_pylist())
+def _slices(rows: pa.Array, sizes: np.ndarray) -> Iterator[pa.Array]:
+    """The rows in parts of about BYTES, by the size of each."""
+    borders = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // BYTES)) + 1
+    for low, high in zip([0, *borders.tolist()], [*borders.tolist(), len(rows)]):
+        yield rows.slice(low, high - low)
+
+
+def _text_slices(texts: pa.Array) -> Iterator[pa.Array]:
+    return _slices(texts, pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
 
 
-def _lists(buffers: list[bytes]) -> pa.ListArray:
-    bounds = np.cumsum([0, *(len(x) // 4 for x in buffers)], dtype=np.int32)
-    return pa.ListArray.from_arrays(bounds, pa.array(np.frombuffer(b"".join(buffers), np.int32)))
+def _lists(ids: np.ndarray, bounds: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(ids))
 
 
 def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -> DataFrame:
@@ -273,7 +322,8 @@ def encode(docs: DataFrame, model: str, text: str = "text", into: str = "ids") -
     of that name is replaced.  A literal blank mark is read as a blank, as the format has it."""
 
     def run(texts: pa.Array) -> pa.Array:
-        return _lists(list(_encoded(_loaded(model), texts)))
+        known = _loaded(model)
+        return pa.concat_arrays([_lists(*known.encode_all(part)) for part in _text_slices(texts)])
 
     return docs.withColumn(into, F.arrow_udf(run, "array<int>")(text))
 
@@ -282,8 +332,13 @@ def decode(rows: DataFrame, model: str, ids: str = "ids", into: str = "text") ->
     """``rows`` with the text of an array of ids; null and empty arrays give the empty text, null ids are skipped."""
 
     def run(lists: pa.Array) -> pa.Array:
-        parts = (lists.slice(low, ROWS).to_pylist() for low in range(0, len(lists), ROWS))
-        return pa.array([_loaded(model).decode(x or []) for part in parts for x in part], pa.string())
+        known, sizes = _loaded(model), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+        done = []
+        for part in _slices(lists, sizes):
+            bounds = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(part), 0).to_numpy(zero_copy_only=False)))
+            flat = pc.fill_null(part.flatten(), -1).to_numpy(zero_copy_only=False)
+            done.append(known.decode_all(flat, bounds))
+        return pa.concat_arrays(done)
 
     return rows.withColumn(into, F.arrow_udf(run, "string")(ids))
 
@@ -295,10 +350,11 @@ def round_trip(docs: DataFrame, model: str, text: str = "text", into: str = "cod
     """
 
     def run(texts: pa.Array) -> pa.Array:
-        known, buffers, decoded = _loaded(model), [], []
-        for found in _encoded(known, texts):
-            buffers.append(found)
-            decoded.append(known.decode(np.frombuffer(found, np.int32).tolist()))
-        return pa.StructArray.from_arrays([_lists(buffers), pa.array(decoded, pa.string())], names=["ids", "decoded"])
+        known, lists, decoded = _loaded(model), [], []
+        for part in _text_slices(texts):
+            found = known.encode_all(part)
+            lists.append(_lists(*found))
+            decoded.append(known.decode_all(*found))
+        return pa.StructArray.from_arrays([pa.concat_arrays(lists), pa.concat_arrays(decoded)], names=["ids", "decoded"])
 
     return docs.withColumn(into, F.arrow_udf(run, "ids array<int>, decoded string")(text))

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -40,6 +41,52 @@ def test_words_are_remembered_in_two_halves(monkeypatch, texts):
         assert len(model) <= 50 and len(model.older) <= 50
 
 
+def test_a_word_is_searched_once_whatever_it_touches():
+    model, library, seen = PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES), []
+    search = model.segment
+    model.segment = lambda word: seen.append(word) or search(word)
+    text = "Ththreor1 Ththreor2 Ththreor34\nTorent5 Ththreor6"
+    assert np.frombuffer(model.encode(text), np.int32).tolist() == library.encode(text)
+    assert sorted(seen) == ["\n", *"123456", "Torent", "▁Ththreor"]
+
+
+def odd_strings():
+    draw = random.Random(8)
+    marks = ["a", "the", "zqxj", " ", "  ", "▁", "\n", "\t", "\0", ",", "1", "é", "漢", "😀", "\u0600", "\x7f", "\x80", "\u2581x"]
+    return ["".join(draw.choices(marks, k=draw.randint(0, 12))) for _ in range(600)]
+
+
+@pytest.mark.parametrize("size", [1, 25, 1 << 22])
+def test_texts_in_slices_of_any_size(spark, monkeypatch, size):
+    monkeypatch.setattr(sentencepiece_codec, "BYTES", size)
+    model, library = PieceModel(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    texts = [None, *ODD_TEXTS, None, *odd_strings(), "", None]
+    for array in (pa.array(texts, pa.string()), pa.array(["x", *texts], pa.string())[1:], pa.array([], pa.string())):
+        ids, decoded = [], []
+        for part in sentencepiece_codec._text_slices(array):
+            found, bounds = model.encode_all(part)
+            ids += [found[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+            decoded += model.decode_all(found, bounds).to_pylist()
+        assert ids == [library.encode(x or "") for x in array.to_pylist()]
+        assert decoded == [(x or "").replace("▁", " ") for x in array.to_pylist()]
+
+
+def test_decoding_of_any_ids(spark):
+    """Bytes that are no UTF-8, control and unknown pieces, gaps, ids out of range."""
+    model, draw = PieceModel(PIECES), random.Random(9)
+    kinds = [0, 1, 2, -1, 10**6, None, *model.bytes.values(), *[model.pieces[x][1] for x in ("▁", "▁the", "a")]]
+    rows = [None, [], *[[draw.choice(kinds) for _ in range(draw.randint(0, 6))] for _ in range(400)]]
+    parts = model.decoded.to_pylist()
+
+    def slow(ids):
+        text = b"".join(parts[i] for i in ids or [] if i is not None and 0 <= i < len(parts)).decode("utf-8", "replace")
+        return text[1:] if text.startswith(" ") else text
+
+    frame = spark.createDataFrame(list(enumerate(rows)), "k int, ids array<int>")
+    found = {r["k"]: r["text"] for r in sentencepiece_codec.decode(frame, PIECES).collect()}
+    assert found == {k: slow(ids) for k, ids in enumerate(rows)}
+
+
 @pytest.fixture(scope="module")
 def unigram(tmp_path_factory):
     """The library's own best-score search over the same pieces: the model file with its type set to unigram."""
