@@ -1,10 +1,13 @@
 """CSV rules, encodings, row numbers and sinks."""
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+from catalog import queries
 from gaugework.sources import files, mess, records
 from gaugework.sources.files import CsvFormat
 
@@ -158,6 +161,29 @@ def test_states_of_lines_agree_with_reading_every_character():
             assert records.line_states(data, offsets, b",", inside).tolist() == slow(lines, inside), lines
 
 
+@pytest.mark.parametrize("size, least", [(30_000, 3), (1 << 40, 1)])
+def test_texts_of_many_bytes_do_not_go_through_one_task(spark, sf, monkeypatch, size, least):
+    """One file for a small table; beyond that no file, and so no task, takes much more than its share."""
+    monkeypatch.setattr(files, "FILE_BYTES", size, raising=False)
+    write, written = files.write_csv, []
+    monkeypatch.setattr(files, "write_csv", lambda df, path: written.append(path) or write(df, path))
+    found = {r["doc_id"]: r["text_sha256"] for r in queries.csv_single_file(spark, sf).collect()}
+    texts = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "sha2(text, 256)", "octet_length(text)").collect()
+    assert found == {r[0]: r[1] for r in texts}
+    sizes = [f.stat().st_size for f in Path(written[0]).glob("part-*")]
+    assert len(sizes) == max(1, -(-sum(r[2] or 0 for r in texts) // size)) >= least
+    assert size > 1 << 30 or max(sizes) < 3 * size, sizes
+
+
+def test_large_files_keep_all_rows(spark, monkeypatch):
+    monkeypatch.setattr(files, "FILE_BYTES", 100)
+    for rows, parts, count in ((0, 4, 1), (40, 20, 4), (40, 1, 4), (9, 3, 1)):
+        frame = spark.range(0, rows, 1, parts).select("id", F.when(F.col("id") != 5, 10).alias("size"))
+        large = files.in_large_files(frame, F.col("size"))
+        assert large.rdd.getNumPartitions() == count
+        assert sorted(r["id"] for r in large.collect()) == list(range(rows))
+
+
 def test_one_big_file_is_read_by_several_tasks(spark, tmp_path):
     texts = [f'line {i}\n"quoted", {"x" * 200}\nlast' for i in range(3000)]
     frame = spark.createDataFrame(list(enumerate(texts)), "k long, t string").coalesce(1)
